@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import encode_documents
 from gridloom.llm.common import table
 from gridloom.llm.fingerprints import fingerprint_documents
+from gridloom.llm.language import identify_documents
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
 
@@ -18,6 +19,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -34,6 +39,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
+        "op4_language_id": op4_language_id,
         "op6_bpe": op6_bpe,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
