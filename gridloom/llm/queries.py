@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.bpe import encode_documents
 from gridloom.llm.common import table
 from gridloom.llm.fingerprints import fingerprint_documents
+from gridloom.llm.html import extract_pages
 from gridloom.llm.language import identify_documents
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
@@ -28,6 +29,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_fingerprints": op2_fingerprints,
         "op4_language_id": op4_language_id,
         "op6_bpe": op6_bpe,
+        "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
     }
