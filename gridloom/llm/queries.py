@@ -12,6 +12,7 @@ from gridloom.llm.common import table
 from gridloom.llm.fingerprints import fingerprint_documents
 from gridloom.llm.html import extract_pages
 from gridloom.llm.language import identify_documents
+from gridloom.llm.neighbours import search_embeddings
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
 
@@ -24,6 +25,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
@@ -45,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
         "op4_language_id": op4_language_id,
+        "op5_neighbours": op5_neighbours,
         "op6_bpe": op6_bpe,
         "op8_html": op8_html,
         "op9_packing": op9_packing,
