@@ -12,11 +12,17 @@ from gridloom.llm.common import table
 from gridloom.llm.fingerprints import fingerprint_documents
 from gridloom.llm.html import extract_pages
 from gridloom.llm.language import identify_documents
+from gridloom.llm.lines import ORACLE_SQL as LINES_SQL
+from gridloom.llm.lines import dedup_report
 from gridloom.llm.neighbours import search_embeddings
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_fingerprints": op2_fingerprints,
         "op4_language_id": op4_language_id,
         "op5_neighbours": op5_neighbours,
@@ -59,4 +66,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_line_dedup": LINES_SQL,
+    }
