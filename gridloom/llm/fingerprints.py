@@ -55,7 +55,8 @@ def class_ids(prints: DataFrame, keyed: DataFrame) -> DataFrame:
     shared = keyed.join(buckets.where("_n > 1").select("fingerprint"), "fingerprint", "left_semi")
     # Grouping by key and bytes compares the bytes; copies fold before the shuffle.
     kinds = shared.select(F.reverse("fingerprint").alias("_key"), "_text", "doc_id").groupBy("_key", "_text").agg(F.min("doc_id").alias("_own"))
-    kinds = kinds.select("_key", "_own", third(F.col("_text")).alias("_third"))
+    # Read twice below: one short row for each kind is kept, so whole texts move once.
+    kinds = cut(kinds.select("_key", "_own", third(F.col("_text")).alias("_third")))
     clashing = kinds.groupBy("_key").agg(F.count("*").alias("_kinds")).where("_kinds > 1").select("_key")
     split = kinds.join(clashing, "_key", "left_semi").select(F.reverse("_key").alias("fingerprint"), "_third", "_own")
     first = buckets.select("fingerprint", "_first")
