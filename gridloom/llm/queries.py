@@ -17,6 +17,7 @@ from gridloom.llm.lines import dedup_report
 from gridloom.llm.neighbours import search_embeddings
 from gridloom.llm.packing import pack_documents
 from gridloom.llm.sharding import shard_documents
+from gridloom.llm.substrings import report_repeats
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +41,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_neighbours": op5_neighbours,
         "op6_bpe": op6_bpe,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
