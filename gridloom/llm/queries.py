@@ -11,6 +11,7 @@ from gridloom.llm.bpe import encode_documents
 from gridloom.llm.common import table
 from gridloom.llm.fingerprints import fingerprint_documents
 from gridloom.llm.html import extract_pages
+from gridloom.llm.jaccard import link_documents
 from gridloom.llm.language import identify_documents
 from gridloom.llm.lines import ORACLE_SQL as LINES_SQL
 from gridloom.llm.lines import dedup_report
@@ -28,6 +29,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_fingerprints": op2_fingerprints,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_language_id": op4_language_id,
         "op5_neighbours": op5_neighbours,
         "op6_bpe": op6_bpe,
