@@ -16,6 +16,8 @@ from gridloom.llm.common import cut
 
 #: Documents that one cell of the id order should hold.
 ROWS_PER_CELL = 1000
+#: Buckets of two or more that are broadcast; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 500_000
 
 
 def canonical(text: Column) -> Column:
@@ -52,7 +54,10 @@ def class_ids(prints: DataFrame, keyed: DataFrame) -> DataFrame:
     canonical ``_text``. Only buckets of two or more are compared byte by byte.
     """
     buckets = prints.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first"))
-    shared = keyed.join(buckets.where("_n > 1").select("fingerprint"), "fingerprint", "left_semi")
+    crowd = cut(buckets.where("_n > 1").select("fingerprint"))
+    # Within a checked size the list of buckets goes to the texts, else the texts to the buckets.
+    listed = F.broadcast(crowd) if crowd.count() <= BROADCAST_ROWS else crowd
+    shared = keyed.join(listed, "fingerprint", "left_semi")
     # Grouping by key and bytes compares the bytes; copies fold before the shuffle.
     kinds = shared.select(F.reverse("fingerprint").alias("_key"), "_text", "doc_id").groupBy("_key", "_text").agg(F.min("doc_id").alias("_own"))
     # Read twice below: one short row for each kind is kept, so whole texts move once.
