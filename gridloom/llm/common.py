@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +30,30 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df`` with a compressed table in the shared folder."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def listed(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
+    """``df``, to be broadcast if its rows weigh at most ``most`` together (1 each, if no weight is given).
+
+    ``df`` should be cut, as it is summed up here.
+    """
+    total = df.count() if weight is None else df.agg(F.sum(weight)).first()[0] or 0
+    return F.broadcast(df) if total <= most else df
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is among ``ids``, if those are few enough to broadcast; else all.
+
+    It lessens what a later join on doc_id has to move, and never changes its result.
+    """
+    if ids.count() > most:
+        return docs
+    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_only"))), F.col("doc_id") == F.col("_only"), "left_semi")

@@ -20,15 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import listed, only_ids, stored
 from gridloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, RUN = 100, 20
 CHUNK_BYTES = 1 << 20
 #: Bytes of pieces in one shard, and the most differing pieces of one run that are sorted together.
-SHARD_BYTES, MOST_PIECES = 3 << 20, 500
-#: Documents whose spans are broadcast; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 200_000
+SHARD_BYTES, MOST_PIECES = 3 << 20, 10_000
+#: Ids or spans that are broadcast; beyond, texts are shuffled to them.
+BROADCAST_ROWS = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(12345)
@@ -80,7 +80,8 @@ def pieces_of(texts: list[bytes], length: int = LENGTH, run: int = RUN) -> tuple
 
     A string belongs to the leftmost of its least run hashes, so that equal
     strings belong to equal runs at equal places; a piece is a longest stretch
-    of starts with one such run.
+    of starts with one such run. Of a run's hash 40 bits are kept: runs that
+    share them by chance only meet in vain.
     """
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -100,7 +101,7 @@ def pieces_of(texts: list[bytes], length: int = LENGTH, run: int = RUN) -> tuple
     start = np.flatnonzero(fresh)
     owner = np.searchsorted(ends, start, side="right")
     stop = np.minimum(np.append(start[1:], len(raw)), ends[owner] - length + 1)
-    return owner, start - (ends - sizes)[owner], stop - start, least[start], rolling.of(start, stop + length - 1)
+    return owner, start - (ends - sizes)[owner], stop - start, least[start] >> np.uint64(24), rolling.of(start, stop + length - 1)
 
 
 def chunks(texts: list[bytes], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -177,8 +178,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, at, starts: runs of starts in each document whose string also starts earlier."""
     pieces = all_pieces(docs, length)
     again = pieces.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    matched = cut(pieces.join(again, "run", "left_semi"))
-    kinds = cut(matched.groupBy("run", "content", "starts").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
+    matched = stored(pieces.join(again, "run", "left_semi"))
+    kinds = stored(matched.groupBy("run", "content", "starts").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     copies = (matched.withColumn("place", _place()).join(kinds.where("n > 1").select("run", "content", "starts", "first"), ["run", "content", "starts"])
               .where(F.col("place") != F.col("first")).select("doc_id", "at", "starts"))
 
@@ -187,7 +188,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     first = kinds.join(variety, "run").select(
         F.expr(f"cast(floor(first / {PLACE}) as bigint)").alias("doc_id"), F.expr(f"cast(first - floor(first / {PLACE}) * {PLACE} as int)").alias("at"),
         "starts", "run", (F.col("kinds") > MOST_PIECES).alias("crowded"))
-    wanted = cut(first.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts", "run", "crowded")).alias("pieces")))
+    wanted = stored(first.groupBy("doc_id").agg(F.collect_list(F.struct("at", "starts", "run", "crowded")).alias("pieces")))
     total = wanted.agg(F.sum(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["starts"] + length))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
 
@@ -202,8 +203,8 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                          pa.array([text[p["at"] : p["at"] + p["starts"] + length - 1] for p in found], pa.binary())],
                         names=["doc_id", "at", "starts", "run", "crowded", "bytes"])
 
-    located = docs.select("doc_id", "text").join(wanted, "doc_id").mapInArrow(bring, SPAN + ", run long, crowded boolean, bytes binary")
-    located = cut(located)
+    located = only_ids(docs.select("doc_id", "text"), wanted, BROADCAST_ROWS).join(wanted, "doc_id").mapInArrow(bring, SPAN + ", run long, crowded boolean, bytes binary")
+    located = stored(located)
 
     def sort_shard(table: pa.Table) -> pa.Table:
         doc, at, n = repeated_in_shard(table["doc_id"].to_numpy(), table["at"].to_numpy().astype(np.int64), table["starts"].to_numpy().astype(np.int64), table["bytes"].to_pylist(), length)
@@ -245,9 +246,8 @@ def kept_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = cut(removed_spans(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans"))
-    small = spans.count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(spans) if small else spans, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = stored(removed_spans(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans"))
+    return docs.join(listed(spans, BROADCAST_ROWS, F.size("_spans") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
 
 
 def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
