@@ -147,7 +147,7 @@ def repeated_in_shard(doc_ids: np.ndarray, starts_at: np.ndarray, starts: np.nda
     """Runs of starts (doc_id, first, number) whose string also starts earlier in this shard."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
     raw = np.frombuffer(b"\xff".join(texts), dtype=np.uint8)  # no UTF-8 text holds this byte
-    array = suffix_array(np.append(raw.astype(np.int64) + 1, 0), 258, length)
+    array = suffix_array(np.append(raw.astype(np.int64) + 1, 0), 258)
     shared = permuted_prefixes(raw, array)
     begins = np.cumsum(sizes + 1) - sizes - 1
     piece = np.repeat(np.arange(len(texts)), starts)

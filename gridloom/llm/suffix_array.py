@@ -109,8 +109,8 @@ def _names(text: np.ndarray, ordered: np.ndarray, leftmost: np.ndarray) -> np.nd
     return np.concatenate([[0], np.cumsum(fresh)])
 
 
-def _double(text: np.ndarray, depth: int) -> np.ndarray:
-    """Order of suffixes by their first ``depth`` symbols at least."""
+def _double(text: np.ndarray) -> np.ndarray:
+    """Order of all suffixes by ranks of their first 1, 2, 4, ... symbols."""
     rank, reach = text.astype(np.int64), 1
     while True:
         following = np.zeros_like(rank)
@@ -119,16 +119,16 @@ def _double(text: np.ndarray, depth: int) -> np.ndarray:
         order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank[order] = fresh
-        reach *= 2
-        if fresh[-1] == len(text) - 1 or reach >= min(depth, len(text)):
+        if fresh[-1] == len(text) - 1:
             return order
+        reach *= 2
 
 
-def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in order of their first ``depth`` symbols at least.
+def suffix_array(text: np.ndarray, symbols: int) -> np.ndarray:
+    """All suffixes of ``text`` in order.
 
     ``text`` ends in 0, which occurs nowhere else; its symbols are below
-    ``symbols``. Suffixes alike that far lie together, in some order.
+    ``symbols``.
     """
     if len(text) == 1:
         return np.zeros(1, dtype=np.int64)
@@ -143,10 +143,8 @@ def suffix_array(text: np.ndarray, symbols: int, depth: int) -> np.ndarray:
         reduced = np.empty(len(text), dtype=np.int64)
         reduced[ordered] = names
         reduced = reduced[leftmost]
-        # Every name stands for two symbols or more of the text.
-        count, deep = int(names[-1]) + 1, depth // 2 + 1
-        inner = suffix_array(reduced, count, deep) if count <= RECURSE_BELOW else _double(reduced, deep)
-        ordered = leftmost[inner]
+        count = int(names[-1]) + 1
+        ordered = leftmost[suffix_array(reduced, count) if count <= RECURSE_BELOW else _double(reduced)]
     return buckets.induce(ordered)
 
 

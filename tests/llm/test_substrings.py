@@ -69,7 +69,7 @@ def test_suffix_array_and_prefixes(text, recurse):
     kept, A.RECURSE_BELOW = A.RECURSE_BELOW, 1024 if recurse else 0
     try:
         symbols = np.append(raw.astype(np.int64) + 1, 0)
-        array = A.suffix_array(symbols, 258, 10**6)
+        array = A.suffix_array(symbols, 258)
     finally:
         A.RECURSE_BELOW = kept
     assert array.tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())
@@ -92,3 +92,18 @@ def test_pieces_cover_every_start_once_and_depend_on_content(seed):
             assert 0 <= p <= len(texts[o]) - 100
     assert sum(starts) == sum(max(0, len(t) - 99) for t in texts)
     assert all(len(v) == 1 for v in keys.values())
+
+
+def test_long_repeats_are_fully_ordered():
+    rng = random.Random(3)
+    block = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    text = "|".join(block[rng.randrange(300) : rng.randrange(400, 700)] for _ in range(40)).encode()
+    raw = np.frombuffer(text, np.uint8)
+    array = A.suffix_array(np.append(raw.astype(np.int64) + 1, 0), 258)
+    assert array.tolist() == sorted(range(len(text) + 1), key=lambda i: text[i:])
+    shared = A.permuted_prefixes(raw, array)
+    for x, y in zip(array[:-1:7].tolist(), array[1::7].tolist(), strict=False):
+        k = 0
+        while max(x, y) + k < len(text) and text[x + k] == text[y + k]:
+            k += 1
+        assert shared[y] == k
