@@ -18,6 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import small_batches
+
 #: Distinct words that a worker keeps with their ids, and characters of one block.
 WORDS_KEPT = 400_000
 BLOCK_CHARS = 12_000_000
@@ -195,6 +197,19 @@ def blocks(texts: list[str], most_chars: int = BLOCK_CHARS) -> Iterator[tuple[in
         yield begin, len(texts)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = BLOCK_CHARS) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches joined until they hold about ``most`` bytes, as words repeat more in larger blocks."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens and digests of every whole text's ids and of their decoded bytes.
 
@@ -205,7 +220,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in blocks(texts):
                 coded = codes.encode_all(texts[begin:end])
@@ -216,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                      pa.array([hashlib.sha256(codes.decode(c)).hexdigest() for c in coded], pa.string())],
                     names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, ENCODED)
 
 
 def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -224,7 +239,7 @@ def token_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = word_codes(path, pattern)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for begin, end in blocks(texts):
                 coded = codes.encode_all(texts[begin:end])

@@ -14,6 +14,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of one Arrow batch where rows hold whole texts.
+TEXT_ROWS = 512
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session's Arrow batches are set to at most ``TEXT_ROWS`` rows.
+
+    A worker holds a batch several times over; the default of 10,000 whole texts
+    would not fit one that is bounded.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, ``spark.checkpoint.dir``.
 
@@ -56,4 +72,4 @@ def only_ids(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     """
     if ids.count() > most:
         return docs
-    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("_only"))), F.col("doc_id") == F.col("_only"), "left_semi")
+    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("only doc_id"))), F.col("doc_id") == F.col("only doc_id"), "left_semi")

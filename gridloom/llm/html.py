@@ -16,6 +16,8 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from gridloom.llm.common import small_batches
+
 GOOD, BAD, NEAR, SHORT = "good", "bad", "near", "short"
 
 SHORT_LENGTH, LONG_LENGTH = 70, 200
@@ -253,4 +255,4 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                              names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return small_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")

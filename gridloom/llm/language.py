@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.llm.common import small_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -177,7 +179,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> ByteNetw
     Rows are chosen by a hash of their id among those not held out; each brings
     ``WINDOWS_PER_ROW`` windows spread over its whole text.
     """
-    usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
+    usable = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = F.lit(0.0)
     for row in counts:
@@ -208,7 +210,7 @@ def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select("doc_id", held_out_column().alias("held_out"), "text").mapInArrow(run, PREDICTED)
+    return small_batches(docs).select("doc_id", held_out_column().alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
 def keep_identified(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
@@ -219,7 +221,7 @@ def keep_identified(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
             langs, _ = predict(net, batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([lang != "und" for lang in langs]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, small_batches
 
 CAPACITY = 2048
 #: Pieces that one cell of a length should hold.
@@ -112,7 +112,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 at = end
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def plan_best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -226,7 +226,7 @@ def packed_sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str) ->
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), batch.column("offset"), pa.array(out, pa.list_(pa.int32()))],
                                              names=["sequence_id", "offset", "ids"])
 
-    texts = packed.join(docs.select("doc_id", "text"), "doc_id")
+    texts = small_batches(packed).join(docs.select("doc_id", "text"), "doc_id")
     parts = texts.select("sequence_id", "offset", "text", "start", "length").mapInArrow(run, "sequence_id long, offset long, ids array<int>")
     gathered = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("_parts"))
     return gathered.select("sequence_id", F.flatten(F.transform("_parts", lambda p: p["ids"])).alias("ids"))
