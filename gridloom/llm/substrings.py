@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import listed, only_ids, stored
+from gridloom.llm.common import listed, only_ids, small_batches, stored
 from gridloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, RUN = 100, 20
 CHUNK_BYTES = 1 << 20
 #: Bytes of pieces in one shard, and the most differing pieces of one run that are sorted together.
-SHARD_BYTES, MOST_PIECES = 3 << 20, 10_000
+SHARD_BYTES, MOST_PIECES = 2 << 20, 10_000
 #: Ids or spans that are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
 
@@ -131,7 +131,7 @@ def all_pieces(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                     [pa.array(ids[begin + owner], pa.int64()), pa.array(at, pa.int32()), pa.array(starts, pa.int32()), pa.array(run.view(np.int64)), pa.array(content.view(np.int64))],
                     names=["doc_id", "at", "starts", "run", "content"])
 
-    usable = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
+    usable = small_batches(docs).where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= length)).select("doc_id", "text")
     return usable.mapInArrow(scan, "doc_id long, at int, starts int, run long, content long")
 
 
@@ -177,7 +177,8 @@ SPAN = "doc_id long, at int, starts int"
 def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, at, starts: runs of starts in each document whose string also starts earlier."""
     pieces = all_pieces(docs, length)
-    again = pieces.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    # Kept by itself, so that the join below can split the pieces of a run that very many documents share.
+    again = stored(pieces.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run"))
     matched = stored(pieces.join(again, "run", "left_semi"))
     kinds = stored(matched.groupBy("run", "content", "starts").agg(F.min(_place()).alias("first"), F.count("*").alias("n")))
     copies = (matched.withColumn("place", _place()).join(kinds.where("n > 1").select("run", "content", "starts", "first"), ["run", "content", "starts"])
@@ -246,8 +247,8 @@ def kept_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = stored(removed_spans(docs, length).withColumnRenamed("doc_id", "_id").withColumnRenamed("spans", "_spans"))
-    return docs.join(listed(spans, BROADCAST_ROWS, F.size("_spans") + 1), F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    spans = stored(removed_spans(small_batches(docs), length).withColumnRenamed("doc_id", "span doc_id").withColumnRenamed("spans", "span list"))
+    return docs.join(listed(spans, BROADCAST_ROWS, F.size("span list") + 1), F.col("doc_id") == F.col("span doc_id"), "left").drop("span doc_id")
 
 
 def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -268,7 +269,7 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = _with_spans(docs.select("doc_id", "text"), length)
-    return joined.select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "span list").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -279,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column("span list").to_pylist(), strict=True):
                 raw = (text or "").encode()
                 gone = merged(spans, len(raw), length)
                 texts.append(kept_bytes(raw, gone).decode("utf-8", "ignore") if gone else text)

@@ -107,3 +107,8 @@ def test_long_repeats_are_fully_ordered():
         while max(x, y) + k < len(text) and text[x + k] == text[y + k]:
             k += 1
         assert shared[y] == k
+
+
+def test_extra_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "w" * 99 + "v", 7, "x"), (2, "w" * 99 + "v" + "!", 8, "y")], "doc_id long, text string, _id int, spans string")
+    assert sorted(map(tuple, S.remove_repeats(docs).collect())) == [(1, "w" * 99 + "v", 7, "x"), (2, "!", 8, "y")]
