@@ -10,6 +10,8 @@ Only lines that can have a partner emit their forms. Of two lines one edit
 apart either the first or the last words agree (any number below half of them),
 so a line that shares neither with another is left alone. Copies fold into one
 row first, and a form is joined to its earliest holder, never in all pairs.
+The hash of a form is the exclusive or of the hashes of its words with their
+places, so all forms of a line follow from two running totals.
 """
 
 from __future__ import annotations
@@ -17,105 +19,137 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut
+from gridloom.llm.common import cut, listed
 
 #: Lines of fewer words take no part: one edit must leave a similarity of 0.8.
 MIN_WORDS = 5
-#: Ids of candidate lines are broadcast up to this many; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 500_000
+#: Keys, forms and documents that are broadcast up to this many; beyond, the other side is shuffled to them.
+BROADCAST_ROWS = 200_000
+#: Document and line number as one number in reading order.
+PLACE = 2**32
 
 
 def normal_words(line: Column) -> Column:
     """Lower-cased words of letters, marks and digits; every digit counts as 0."""
-    letters = F.regexp_replace(F.lower(line), r"[^\p{L}\p{M}\p{N}]+", " ")
-    return F.split(F.trim(F.regexp_replace(letters, r"\p{N}", "0")), " ")
+    return F.array_remove(F.split(F.regexp_replace(F.lower(line), r"\p{N}", "0"), r"[^\p{L}\p{M}0]+"), "")
+
+
+def _place(id_: Column, at: Column) -> Column:
+    return (id_.cast("decimal(20,0)") * PLACE + at).cast("decimal(38,0)")
 
 
 def _part(n: Column) -> Column:
     """How many first or last words make a key: the largest of 2, 3, 4, 6, 8, 12, ... below half of ``n``."""
     half = F.floor((n - 1) / 2).cast("int")
-    power = F.pow(F.lit(2), F.length(F.bin(half)) - 1).cast("int")
+    power = F.pow(F.lit(2.0), F.floor(F.log2(half) + 1e-9)).cast("int")
     return F.when((power >= 2) & (half * 2 >= power * 3), (power * 3 / 2).cast("int")).otherwise(power)
 
 
-def _part_keys(words: Column, n: Column) -> Column:
-    """Keys of the first and last words; where the part grows with ``n``, also those of the shorter part."""
-    def keys(part: Column) -> Column:
-        return F.array(F.xxhash64(F.lit(0), part, F.slice(words, F.lit(1), part)), F.xxhash64(F.lit(1), part, F.slice(words, n - part + 1, part)))
+def keyed_lines(docs: DataFrame) -> DataFrame:
+    """id, at, n, two hashes of the words and ``keys`` of every line; a line that takes no part has none.
 
-    own, less = _part(n), _part(n - 1)
-    return F.when((n > MIN_WORDS) & (own != less), F.concat(keys(own), keys(less))).otherwise(keys(own))
+    Keys are hashes of the first and of the last words; where that part grows
+    with ``n``, also those of the shorter part.
+    """
+    lines = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    hashed = lines.select("id", "at", F.transform(normal_words(F.col("line")), lambda w: F.xxhash64(w)).alias("words")).withColumn("n", F.size("words"))
+    sized = hashed.withColumn("own", _part(F.col("n"))).withColumn("less", _part(F.col("n") - 1))
 
+    def keys(part: str) -> Column:
+        size = F.col(part)
+        return F.array(F.xxhash64(F.lit(0), size, F.slice("words", F.lit(1), size)), F.xxhash64(F.lit(1), size, F.slice("words", F.col("n") - size + 1, size)))
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``id``, ``at`` (from 0), ``words`` and ``n`` of every line that takes part."""
-    lines = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    words = lines.select("id", "at", normal_words(F.col("line")).alias("words"))
-    return words.withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS)
+    both = F.when((F.col("n") > MIN_WORDS) & (F.col("own") != F.col("less")), F.concat(keys("own"), keys("less"))).otherwise(keys("own"))
+    # Short lines stay, without keys: a filter here would be pushed down and split every line twice.
+    none = F.array().cast("array<bigint>")
+    return sized.select("id", "at", "n", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.when(F.col("n") >= MIN_WORDS, both).otherwise(none).alias("keys"))
 
 
 def sharing_lines(docs: DataFrame) -> DataFrame:
-    """Lines that share a key with another: id, at, two hashes of the words, whether with one of other words."""
-    keyed = lines_of(docs).select("id", "at", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"),
-                                  F.explode(_part_keys(F.col("words"), F.col("n"))).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h1").alias("low"), F.max("h1").alias("high")).where("n > 1")
-    met = keyed.join(shared.select("key", (F.col("low") != F.col("high")).alias("other")), "key")
-    return met.groupBy("id", "at", "h1", "h2").agg(F.max("other").alias("other"))
+    """Lines that share a key with another.
+
+    id, at, n, two hashes of the words, and whether some line of other words and
+    of as many words, one less or one more shares a key (same, less, more).
+    """
+    lines = cut(keyed_lines(docs))
+    keyed = lines.select("id", "at", "n", "h1", "h2", F.explode("keys").alias("key"))
+    shared = cut(keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+                 .where("held > 1").select("key", (F.col("low") != F.col("high")).alias("other"), "least", "most"))
+    met = keyed.join(listed(shared, BROADCAST_ROWS), "key")
+    return met.groupBy("id", "at", "n", "h1", "h2").agg(
+        F.max("other").alias("same"), F.max(F.col("other") & (F.col("least") < F.col("n"))).alias("less"), F.max(F.col("other") & (F.col("most") > F.col("n"))).alias("more"))
 
 
 def forms(lines: DataFrame) -> DataFrame:
-    """Every form of ``lines`` (line struct, words, n) as a hashed key.
+    """Every form of ``lines`` (line, words, n, same, less, more) as a hashed key.
 
-    A form with one word left out is keyed by its place too (``replaced``), for
-    lines that differ in that word, and without it (``shorter``), for a line
-    that is this form (``whole``).
+    A form with one word left out is keyed by its place too (role 1), for lines
+    that differ in that word, and without it (role 2), for a line that is this
+    form (role 0).
     """
-    without = lambda i: F.concat(F.slice("words", F.lit(1), i), F.slice("words", i + 2, F.col("n")))
-    places = F.sequence(F.lit(0), F.col("n") - 1)
-    pairs = F.flatten(F.transform(places, lambda i: F.array(
-        F.struct(F.xxhash64(F.lit(2), F.col("n"), i, without(i)).alias("key"), F.lit("replaced").alias("role")),
-        F.struct(F.xxhash64(F.lit(3), F.col("n") - 1, without(i)).alias("key"), F.lit("shorter").alias("role")))))
-    whole = F.array(F.struct(F.xxhash64(F.lit(3), F.col("n"), F.col("words")).alias("key"), F.lit("whole").alias("role")))
-    return lines.select("line", F.explode(F.concat(pairs, whole)).alias("form")).select("line", "form.*").distinct()
+    def running(shift: int) -> Column:
+        hashed = F.transform("words", lambda w, j: F.xxhash64(w, j - shift))
+        return F.aggregate(hashed, F.array(F.lit(0).cast("long")), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1).bitwiseXOR(x))))
+
+    totals = lines.withColumn("left", running(0)).withColumn("right", running(1))
+    end = F.element_at("right", -1)
+    rest = lambda i: F.element_at("left", i + 1).bitwiseXOR(end).bitwiseXOR(F.element_at("right", i + 2))
+    n = F.col("n")
+    form = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
+    places = F.sequence(F.lit(0), n - 1)
+    none = F.array().cast("array<struct<key:bigint,role:int>>")
+    replaced = F.when(F.col("same"), F.transform(places, lambda i: form(F.xxhash64(F.lit(2), n, i, rest(i)), 1))).otherwise(none)
+    shorter = F.when(F.col("less"), F.transform(places, lambda i: form(F.xxhash64(F.lit(3), n - 1, rest(i)), 2))).otherwise(none)
+    whole = F.when(F.col("more"), F.array(form(F.xxhash64(F.lit(3), n, F.element_at("left", -1)), 0))).otherwise(none)
+    return totals.select("line", F.explode(F.concat(F.array_distinct(replaced), F.array_distinct(shorter), whole)).alias("form")).select("line", "form.*")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
-    """True if one word added, removed or replaced at most turns array ``a`` into ``b``."""
+    """True if one word added, removed or replaced at most turns array ``a`` into ``b``.
+
+    The first difference is found once; past it the rests must be equal, without
+    the differing word of the longer one, or of both if they are as long.
+    """
     longer, shorter = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    differ = F.zip_with(longer, shorter, lambda x, y: ~x.eqNullSafe(y))
-    first = F.array_position(differ, True).cast("int")
+    seen = F.struct(longer.alias("long"), shorter.alias("short"), F.array_position(F.zip_with(longer, shorter, lambda x, y: ~x.eqNullSafe(y)), True).cast("int").alias("first"))
     rest = lambda words, start: F.slice(words, start, F.greatest(F.size(words) - start + 1, F.lit(0)))
-    same = F.size(a) == F.size(b)
-    return (F.when(first == 0, F.size(longer) - F.size(shorter) <= 1)
-            .when(same, rest(longer, first + 1) == rest(shorter, first + 1))
-            .otherwise((F.size(longer) - F.size(shorter) == 1) & (rest(longer, first + 1) == rest(shorter, first))))
+
+    def check(s: Column) -> Column:
+        more = F.size(s["long"]) - F.size(s["short"])
+        after = rest(s["long"], s["first"] + 1)
+        return F.when(s["first"] == 0, more <= 1).otherwise((more <= 1) & (after == rest(s["short"], s["first"] + 1 - more)))
+
+    return F.element_at(F.transform(F.array(seen), check), 1)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``id`` and ``at`` of every line with an earlier line within the bound."""
-    sharing = cut(sharing_lines(docs).select(F.struct("id", "at").alias("line"), "h1", "h2", "other"))
-    kinds = cut(sharing.groupBy("h1", "h2").agg(F.min("line").alias("line"), F.max("other").alias("other"), F.count("*").alias("copies")))
-    later = sharing.join(kinds.where("copies > 1").select("h1", "h2", F.col("line").alias("first")), ["h1", "h2"]).where(F.col("line") != F.col("first"))
+    sharing = cut(sharing_lines(docs).withColumn("line", _place(F.col("id"), F.col("at"))))
+    kinds = cut(sharing.groupBy("h1", "h2", "n").agg(F.min("line").alias("first"), F.max("same").alias("same"), F.max("less").alias("less"), F.max("more").alias("more"), F.count("*").alias("copies")))
+    later = sharing.join(kinds.where("copies > 1").select("h1", "h2", "n", "first"), ["h1", "h2", "n"]).where(F.col("line") != F.col("first"))
 
     # The words of the lines that may have a partner are read again from their documents.
-    wanted = kinds.where("other").select("line.id", "line.at").groupBy("id").agg(F.collect_list("at").alias("places"))
-    wanted = cut(wanted.withColumnRenamed("id", "doc_id"))
-    sought = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    texts = docs.select("doc_id", "text").join(sought, "doc_id")
-    lines = texts.select(F.col("doc_id").alias("id"), "places", F.posexplode(F.split("text", "\n")).alias("at", "text"))
-    lines = lines.where(F.array_contains("places", F.col("at"))).select(F.struct("id", "at").alias("line"), normal_words(F.col("text")).alias("words"))
-    lines = cut(lines.withColumn("n", F.size("words")).where(F.col("n") >= MIN_WORDS))
+    partners = kinds.where(F.col("same")).select(
+        F.expr(f"cast(floor(first / {PLACE}) as bigint)").alias("doc_id"), F.expr(f"cast(first - floor(first / {PLACE}) * {PLACE} as int)").alias("at"), "same", "less", "more")
+    wanted = cut(partners.groupBy("doc_id").agg(F.collect_list(F.struct("at", "same", "less", "more")).alias("places")))
+    texts = docs.select("doc_id", "text").join(listed(wanted, BROADCAST_ROWS, F.size("places") + 1), "doc_id")
+    lines = F.split("text", "\n")
+    picked = F.transform(F.filter("places", lambda p: p["at"] < F.size("lines")), lambda p: F.struct(F.element_at("lines", p["at"] + 1).alias("line"), p.alias("place")))
+    found = texts.select("doc_id", lines.alias("lines"), "places").select("doc_id", F.explode(picked).alias("found"))
+    found = found.select(_place(F.col("doc_id"), F.col("found.place.at")).alias("line"), normal_words(F.col("found.line")).alias("words"), "found.place.same", "found.place.less", "found.place.more")
+    lines = cut(found.withColumn("n", F.size("words")))
 
     emitted = forms(lines)
-    holders = emitted.groupBy("key").agg(
-        F.count("*").alias("n"), F.min(F.when(F.col("role") == "whole", F.col("line"))).alias("whole"),
-        F.min(F.when(F.col("role") != "whole", F.col("line"))).alias("left_out")).where("n > 1").drop("n")
-    joined = emitted.join(holders, "key")
-    earlier = F.when(F.col("role") == "shorter", F.col("whole")).otherwise(F.col("left_out"))
+    holders = cut(emitted.groupBy("key").agg(
+        F.count("*").alias("held"), F.min(F.when(F.col("role") == 0, F.col("line"))).alias("whole"),
+        F.min(F.when(F.col("role") != 0, F.col("line"))).alias("left_out")).where("held > 1").drop("held"))
+    joined = emitted.join(listed(holders, BROADCAST_ROWS), "key")
+    earlier = F.when(F.col("role") == 2, F.col("whole")).otherwise(F.col("left_out"))
     pairs = joined.select("line", earlier.alias("earlier")).where(F.col("earlier") < F.col("line")).distinct()
     words = lines.select(F.col("line").alias("earlier"), F.col("words").alias("earlier_words"))
-    close = pairs.join(lines.select("line", "words"), "line").join(words, "earlier").where(within_one_edit(F.col("words"), F.col("earlier_words")))
-    return later.select("line.id", "line.at").union(close.select("line.id", "line.at")).distinct()
+    near = pairs.join(lines.select("line", "words"), "line").join(words, "earlier").where(within_one_edit(F.col("words"), F.col("earlier_words")))
+    near = near.select(F.expr(f"cast(floor(line / {PLACE}) as bigint)").alias("id"), F.expr(f"cast(line - floor(line / {PLACE}) * {PLACE} as int)").alias("at"))
+    return later.select("id", "at").union(near).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -127,15 +161,15 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lose the same line numbers. Input columns named ``n_lines`` or ``n_removed``
     are replaced.
     """
-    gone = removed_lines(docs).groupBy(F.col("id").alias("_id")).agg(F.collect_list("at").alias("_gone"))
+    gone = cut(removed_lines(docs).groupBy(F.col("id").alias("gone doc_id")).agg(F.collect_list("at").alias("gone lines")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col("doc_id") == F.col("_id"), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(listed(gone, BROADCAST_ROWS, F.size("gone lines") + 1), F.col("doc_id") == F.col("gone doc_id"), "left")
     lines = F.split("text", "\n")
-    left = F.when(F.col("_gone").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("_gone", i)))
-    counted = joined.withColumn("_lines", lines).withColumn("_left", left)
+    left = F.when(F.col("gone lines").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("gone lines", i)))
+    counted = joined.withColumn("all lines", lines).withColumn("left lines", left)
     size = lambda column: F.when(F.col("text").isNull(), 0).otherwise(F.size(column))
-    counted = counted.withColumn("n_lines", size("_lines")).withColumn("n_removed", size("_lines") - size("_left"))
-    return counted.withColumn("text", F.array_join("_left", "\n")).select(*[F.col(f"`{c}`") for c in kept], "n_lines", "n_removed")
+    counted = counted.withColumn("n_lines", size("all lines")).withColumn("n_removed", size("all lines") - size("left lines"))
+    return counted.withColumn("text", F.array_join("left lines", "\n")).select(*[F.col(f"`{c}`") for c in kept], "n_lines", "n_removed")
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:

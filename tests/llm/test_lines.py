@@ -82,3 +82,9 @@ def test_odd_rows_and_both_ways_of_reading_words(spark, monkeypatch):
     twice = docs.union(docs)
     assert sorted(r.n_removed for r in L.dedup_report(twice).collect()) == sorted(2 * [r.n_removed for r in L.dedup_report(docs).collect()])
     assert L.dedup_report(docs.limit(0)).count() == 0
+
+
+def test_extra_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", 7, "x"), (2, "a b c d e\nq", 8, "y")], "doc_id long, text string, _id int, _gone string")
+    got = sorted(L.dedup_lines(docs).collect())
+    assert [(r.doc_id, r.text, r._id, r._gone, r.n_lines, r.n_removed) for r in got] == [(1, "a b c d e", 7, "x", 1, 0), (2, "q", 8, "y", 2, 1)]
