@@ -23,7 +23,7 @@ from gridloom.llm.common import cut, listed
 
 #: Lines of fewer words take no part: one edit must leave a similarity of 0.8.
 MIN_WORDS = 5
-#: Keys, forms and documents that are broadcast up to this many; beyond, the other side is shuffled to them.
+#: Forms and lines that are broadcast up to this many; beyond, the other side is shuffled to them.
 BROADCAST_ROWS = 200_000
 #: Document and line number as one number in reading order.
 PLACE = 2**32
@@ -75,7 +75,7 @@ def sharing_lines(docs: DataFrame) -> DataFrame:
     keyed = lines.select("id", "at", "n", "h1", "h2", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
                  .where("held > 1").select("key", (F.col("low") != F.col("high")).alias("other"), "least", "most"))
-    met = keyed.join(listed(shared, BROADCAST_ROWS), "key")
+    met = keyed.join(shared, "key")
     return met.groupBy("id", "at", "n", "h1", "h2").agg(
         F.max("other").alias("same"), F.max(F.col("other") & (F.col("least") < F.col("n"))).alias("less"), F.max(F.col("other") & (F.col("most") > F.col("n"))).alias("more"))
 
@@ -163,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """
     gone = cut(removed_lines(docs).groupBy(F.col("id").alias("gone doc_id")).agg(F.collect_list("at").alias("gone lines")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(listed(gone, BROADCAST_ROWS, F.size("gone lines") + 1), F.col("doc_id") == F.col("gone doc_id"), "left")
+    joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col("doc_id") == F.col("gone doc_id"), "left")
     lines = F.split("text", "\n")
     left = F.when(F.col("gone lines").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("gone lines", i)))
     counted = joined.withColumn("all lines", lines).withColumn("left lines", left)
