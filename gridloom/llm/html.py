@@ -2,8 +2,13 @@
 
 A page is cut into blocks at block-level tags. The first pass looks at each
 block alone: where it stands, its length, its share of link text and of stop
-words; it calls a block good, bad, nearly good or too short to tell. The second
-pass gives the undecided ones the label of the nearest decided neighbours.
+words; it calls a block good, bad, nearly good or undecided. The second pass
+gives the undecided ones the label of the nearest decided neighbours.
+
+An article or main tag is a feature of the blocks in it and around it, on pages
+where it holds as much prose as stands outside; elsewhere it is only a block.
+Stop words tell nothing on a page in a language that is not listed; there the
+length of a block takes their place.
 """
 
 from __future__ import annotations
@@ -67,8 +72,25 @@ class Block:
     links: int
     heading: bool
     outside: bool
-    article: bool
+    #: The number of the outermost article or main around it, or 0.
+    article: int
     label: str = SHORT
+    words: int = 0
+    stops: int = 0
+
+    def __post_init__(self) -> None:
+        if not self.outside and len(self.text) >= SHORT_LENGTH:
+            words = self.text.lower().split()
+            self.words, self.stops = len(words), sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
+
+    @property
+    def link_share(self) -> float:
+        return self.links / len(self.text)
+
+    @property
+    def prose(self) -> int:
+        """Characters outside links."""
+        return max(0, len(self.text) - self.links)
 
 
 @dataclass(frozen=True)
@@ -77,12 +99,12 @@ class Place:
 
     name: str
     outside: bool = False
-    article: bool = False
+    article: int = 0
     link: bool = False
     heading: bool = False
 
-    def inside(self, name: str, attrs: str) -> Place:
-        article = self.article or name in CONTENT
+    def inside(self, name: str, attrs: str, number: int) -> Place:
+        article = self.article or (number if name in CONTENT else 0)
         outside = self.outside or name in BOILERPLATE or name == "header" and not self.article
         if attrs and not outside and name not in ("html", "body"):
             outside = bool(HIDDEN.search(attrs)) or names_a_part(attrs)
@@ -161,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
             if name != "br":
                 parts.append("")
             continue
-        place = stack[-1].inside(name, match["attrs"])
+        place = stack[-1].inside(name, match["attrs"], at)
         if place.outside != stack[-1].outside:
             close_block(stack[-1])
         stack.append(place)
@@ -169,51 +191,73 @@ def blocks_of(page: str) -> list[Block]:
     return found
 
 
-def stop_share(text: str) -> float:
-    words = text.lower().split()
-    return sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / len(words)
+def stop_words_tell(blocks: list[Block]) -> bool:
+    """Whether the page's long blocks hold enough listed words to be in a listed language."""
+    long = [b for b in blocks if b.words and b.link_share <= LINK_SHARE]
+    return sum(b.stops for b in long) >= STOP_LOW * sum(b.words for b in long)
 
 
-def label_alone(block: Block, has_article: bool) -> str:
-    """First pass: the block's label from what it holds and where it stands."""
-    share = block.links / max(1, len(block.text))
-    if block.outside or has_article and not block.article:
-        return BAD
-    if block.article:
-        return BAD if share > ARTICLE_LINK_SHARE else SHORT if len(block.text) < SHORT_LENGTH or block.heading else GOOD
-    if share > LINK_SHARE:
+def label_alone(block: Block, telling: bool) -> str:
+    """First pass: the block's label from what it holds; low density alone leaves it undecided."""
+    if block.outside or block.link_share > LINK_SHARE:
         return BAD
     if len(block.text) < SHORT_LENGTH:
         return BAD if block.links else SHORT
-    stops = stop_share(block.text)
-    if stops >= STOP_HIGH:
+    density = block.stops / block.words
+    if not telling or density >= STOP_HIGH:
         return GOOD if len(block.text) > LONG_LENGTH else NEAR
-    return NEAR if stops >= STOP_LOW else BAD
+    return NEAR if density >= STOP_LOW else SHORT
 
 
-def label_by_neighbours(blocks: list[Block], has_article: bool) -> None:
-    """Second pass: undecided blocks take the label of the nearest decided ones.
+def with_article(block: Block, label: str, telling: bool) -> str:
+    """The first pass's label on a page with an article: better inside, worse outside."""
+    if block.outside:
+        return BAD
+    if block.article:
+        if block.link_share > ARTICLE_LINK_SHARE:
+            return BAD
+        long = len(block.text) >= SHORT_LENGTH and not block.heading
+        return GOOD if long and (not telling or block.stops >= STOP_LOW * block.words) else SHORT
+    return NEAR if label == GOOD else SHORT if block.heading and label != BAD else BAD
+
+
+def nearest(labels: list[str], decided: tuple[str, ...], edge: str) -> list[tuple[str, str]]:
+    """For each block the nearest label among ``decided`` before it and after it; ``edge`` where there is none."""
+    def seen(order: list[str]) -> list[str]:
+        last, out = edge, []
+        for label in order:
+            out.append(last)
+            if label in decided:
+                last = label
+        return out
+
+    return list(zip(seen(labels), seen(labels[::-1])[::-1], strict=True))
 
-    Inside an article only its own blocks are neighbours, and one without a
-    decided block is good as a whole. Elsewhere a short block between a good and
-    a bad one is bad unless a nearly good one touches it; a nearly good block is
-    bad only between bad ones; a heading close before good text is good.
+
+def label_articles(blocks: list[Block]) -> None:
+    """Second pass inside articles: an undecided block is bad between two bad ones.
+
+    Only the article's own blocks are neighbours, without what its tags set
+    apart, and its edges count as good.
     """
-    if has_article:
-        for block in blocks:
-            if block.label in (SHORT, NEAR):
-                block.label = GOOD
-        return
-    first = [b.label for b in blocks]
+    held: dict[int, list[Block]] = {}
+    for block in blocks:
+        if block.article and not block.outside:
+            held.setdefault(block.article, []).append(block)
+    for own in held.values():
+        for block, sides in zip(own, nearest([b.label for b in own], (GOOD, BAD), GOOD), strict=True):
+            if block.label == SHORT:
+                block.label = GOOD if GOOD in sides else BAD
 
-    def nearest(at: int, step: int, decided: tuple[str, ...]) -> str:
-        at += step
-        while 0 <= at < len(blocks):
-            if first[at] in decided:
-                return first[at]
-            at += step
-        return BAD
 
+def label_by_neighbours(blocks: list[Block]) -> None:
+    """Second pass: undecided blocks take the label of the nearest decided ones.
+
+    An undecided block between a good and a bad one is bad unless a nearly good
+    one touches it; a nearly good block is bad only between bad ones; a heading
+    close before good text is good.
+    """
+    first = [b.label for b in blocks]
     for i, block in enumerate(blocks):
         if first[i] == SHORT and block.heading:
             reach, k = 0, i + 1
@@ -223,26 +267,33 @@ def label_by_neighbours(blocks: list[Block], has_article: bool) -> None:
                 reach += len(blocks[k].text)
                 k += 1
     first = [b.label for b in blocks]
+    decided, touching = nearest(first, (GOOD, BAD), BAD), nearest(first, (GOOD, BAD, NEAR), BAD)
     for i, block in enumerate(blocks):
         if first[i] == SHORT:
-            sides = {nearest(i, -1, (GOOD, BAD)), nearest(i, 1, (GOOD, BAD))}
-            if len(sides) == 2:
-                block.label = GOOD if NEAR in (nearest(i, -1, (GOOD, BAD, NEAR)), nearest(i, 1, (GOOD, BAD, NEAR))) else BAD
+            if decided[i][0] != decided[i][1]:
+                block.label = GOOD if NEAR in touching[i] else BAD
             else:
-                block.label = sides.pop()
+                block.label = decided[i][0]
     first = [NEAR if a == NEAR else b.label for a, b in zip(first, blocks, strict=True)]
+    decided = nearest(first, (GOOD, BAD), BAD)
     for i, block in enumerate(blocks):
         if first[i] == NEAR:
-            block.label = GOOD if GOOD in (nearest(i, -1, (GOOD, BAD)), nearest(i, 1, (GOOD, BAD))) or block.heading else BAD
+            block.label = GOOD if GOOD in decided[i] or block.heading else BAD
 
 
 def main_text(page: str | None) -> str:
     """The article of a page: good blocks in page order, one space between them."""
     blocks = blocks_of(page or "")
-    has_article = any(b.article and not b.outside for b in blocks)
+    telling = stop_words_tell(blocks)
     for block in blocks:
-        block.label = label_alone(block, has_article)
-    label_by_neighbours(blocks, has_article)
+        block.label = label_alone(block, telling)
+    inside = sum(b.prose for b in blocks if b.article and not b.outside)
+    around = sum(b.prose for b in blocks if not b.article and b.label in (GOOD, NEAR))
+    if inside and inside >= around:
+        for block in blocks:
+            block.label = with_article(block, block.label, telling)
+        label_articles(blocks)
+    label_by_neighbours(blocks)
     return " ".join(b.text for b in blocks if b.label == GOOD)
 
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from gridloom.llm.html import extract_pages, main_text
@@ -27,6 +29,34 @@ def test_rules_without_an_article():
     assert main_text(page) == f"Title {LONG.strip()} Short. {LONG.strip()}"
 
 
+RUSSIAN = "Лиса и собака живут в доме вместе со всеми своими друзьями и не хотят выходить на улицу, потому что там очень холодно и темно. " * 2
+LINKS = "<p><a href=1>One of many other pages of the site</a></p>"
+
+
+def test_neighbours_decide_in_articles_too():
+    page = f"<article><h1>Title</h1><p>{LONG}</p>{LINKS}<p>More</p>{LINKS}<p>{LONG}</p><p>Short end</p></article>"
+    assert main_text(page) == f"Title {LONG.strip()} {LONG.strip()} Short end"
+    apart = f"<article><aside>no</aside><p>Short</p><div class=ad>no</div><p>{RUSSIAN}</p></article>"
+    assert main_text(apart) == f"Short {RUSSIAN.strip()}"
+
+
+def test_low_density_alone_does_not_lose_text():
+    assert main_text(f"<div>{RUSSIAN}</div><p>Коротко.</p><div>{RUSSIAN}</div>") == f"{RUSSIAN.strip()} Коротко. {RUSSIAN.strip()}"
+    code = "x1 = f(y1); z1 = g(x1, y1); print(z1) " * 4
+    assert main_text(f"<p>{LONG}</p><p>{code}</p><p>{LONG}</p>") == f"{LONG.strip()} {code.strip()} {LONG.strip()}"
+
+
+def test_teaser_cards_do_not_hide_the_page():
+    cards = "".join(f"<article><a href={k}>Card {k}</a></article>" for k in range(3)) + "<article>Read on.</article>"
+    assert main_text(f"<h1>Title</h1><div>{LONG}</div><div>{LONG}</div>{cards}") == f"Title {LONG.strip()} {LONG.strip()}"
+
+
+def test_many_undecided_blocks_take_linear_time():
+    begun = time.monotonic()
+    assert main_text("<p>short</p>" * 30000) == ""
+    assert time.monotonic() - begun < 10
+
+
 def test_long_pages_are_whole():
     many = "".join(f"<p>word{i}</p>" for i in range(20000))
     assert main_text(f"<article>{many}</article>").split() == [f"word{i}" for i in range(20000)]
