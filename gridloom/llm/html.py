@@ -46,6 +46,8 @@ PARTS = frozenset(
     "cookie cookies dialog disqus disclaimer footer form header login menu modal nav navbar navigation newsletter notice overlay paywall popup "
     "promo promotion recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "widget".split())
+# Words before the last one of a hyphenated class that say what a page has, not what the element is.
+STATES = frozenset("has have with without no not is hide hides hidden show shows shown open opens above below before after under".split())
 # Frequent function words of English, French, German and Spanish.
 STOP_WORDS = frozenset(
     "a about after all also an and are as at be been but by can for from had has have he her his i if in into is it its more not of on or our "
@@ -61,7 +63,7 @@ TOKEN = re.compile(
     r"|/?[a-zA-Z][^>]*+(?:>|\Z))", re.DOTALL)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
-NAME_PARTS = re.compile(r"[a-z]+")
+NAME_PARTS = re.compile(r"[^a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 BLANKS = re.compile(r"\s+")
 
@@ -74,11 +76,13 @@ class Block:
     outside: bool
     #: The number of the outermost article or main around it, or 0.
     article: int
+    #: The innermost element around it whose name says that it is a part around the article, or -1.
+    part: int = -1
     label: str = SHORT
     words: int = 0
     stops: int = 0
 
-    def __post_init__(self) -> None:
+    def count_words(self) -> None:
         if not self.outside and len(self.text) >= SHORT_LENGTH:
             words = self.text.lower().split()
             self.words, self.stops = len(words), sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words)
@@ -102,26 +106,85 @@ class Place:
     article: int = 0
     link: bool = False
     heading: bool = False
+    part: int = -1
 
-    def inside(self, name: str, attrs: str, number: int) -> Place:
+    def inside(self, name: str, attrs: str, number: int, parts: list[Part]) -> Place:
         article = self.article or (number if name in CONTENT else 0)
         outside = self.outside or name in BOILERPLATE or name == "header" and not self.article
+        part = self.part
         if attrs and not outside and name not in ("html", "body"):
-            outside = bool(HIDDEN.search(attrs)) or names_a_part(attrs)
-        return Place(name, outside, article, self.link or name == "a", self.heading or name in HEADINGS)
+            outside = bool(HIDDEN.search(attrs))
+            if not outside and names_a_part(attrs):
+                part = len(parts)
+                parts.append(Part(self.part, self.article))
+        return Place(name, outside, article, self.link or name == "a", self.heading or name in HEADINGS, part)
+
+
+@dataclass
+class Part:
+    """An element whose name says that it is a part around the article; it may be wrong."""
+
+    parent: int
+    #: The article around it, or 0.
+    article: int
+    prose: int = 0
+    #: Prose of the longest outermost article that it holds or is.
+    longest: int = 0
 
 
 def names_a_part(attrs: str) -> bool:
+    """Whether a class, id or role is one of ``PARTS`` or a compound of which such a word is the head (user-comments)."""
     for _, *values in ATTRIBUTE.findall(attrs):
         for value in values:
-            if value and not PARTS.isdisjoint(NAME_PARTS.findall(CAMEL.sub(" ", value).lower())):
-                return True
+            for token in value.split():
+                words = [w for w in NAME_PARTS.split(CAMEL.sub(" ", token).lower()) if w]
+                if words and words[-1] in PARTS and STATES.isdisjoint(words[:-1]):
+                    return True
     return False
 
 
+def set_parts_apart(blocks: list[Block], parts: list[Part]) -> None:
+    """Mark the blocks of named parts as outside, unless the rest of the page speaks against the name.
+
+    An element that is or holds an article or main goes only if a longer article
+    stands elsewhere; one with most of the page's text goes only if an article of
+    a fourth of its length does, or any if it is itself below ``LONG_LENGTH``.
+    """
+    articles: dict[int, int] = {}
+    whole = 0
+    for block in blocks:
+        if not block.outside:
+            whole += block.prose
+            if block.article:
+                articles[block.article] = articles.get(block.article, 0) + block.prose
+            if block.part >= 0:
+                parts[block.part].prose += block.prose
+    for block in blocks:
+        if block.part >= 0 and not parts[block.part].article:
+            parts[block.part].longest = max(parts[block.part].longest, articles.get(block.article, 0))
+    for part in reversed(parts):
+        if part.parent >= 0:
+            above = parts[part.parent]
+            above.prose += part.prose
+            if not above.article:
+                above.longest = max(above.longest, part.longest, articles.get(part.article, 0))
+    longest = max(articles.values(), default=0)
+    apart: list[bool] = []
+    for part in parts:
+        if part.longest:
+            trusted = longest > part.longest
+        else:
+            elsewhere = articles.get(part.article, 0) - part.prose if part.article else longest
+            trusted = 2 * part.prose <= whole or elsewhere > 0 and (part.prose < LONG_LENGTH or 4 * elsewhere >= part.prose)
+        apart.append(trusted or part.parent >= 0 and apart[part.parent])
+    for block in blocks:
+        block.outside = block.outside or block.part >= 0 and apart[block.part]
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks with text, in page order."""
     found: list[Block] = []
+    named: list[Part] = []
     stack = [Place("")]
     parts: list[str] = []
     links = 0
@@ -130,7 +193,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal links
         text = BLANKS.sub(" ", "".join(parts)).strip()
         if text:
-            found.append(Block(text, links, place.heading, place.outside, place.article))
+            found.append(Block(text, links, place.heading, place.outside, place.article, place.part))
         parts.clear()
         links = 0
 
@@ -158,7 +221,7 @@ def blocks_of(page: str) -> list[Block]:
                 close_block(stack[-1])
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
-                    if stack[-1].outside != stack[k - 1].outside or stack[-1].article != stack[k - 1].article:
+                    if (stack[-1].outside, stack[-1].article, stack[-1].part) != (stack[k - 1].outside, stack[k - 1].article, stack[k - 1].part):
                         close_block(stack[-1])
                     del stack[k:]
                     break
@@ -183,11 +246,14 @@ def blocks_of(page: str) -> list[Block]:
             if name != "br":
                 parts.append("")
             continue
-        place = stack[-1].inside(name, match["attrs"], at)
-        if place.outside != stack[-1].outside:
+        place = stack[-1].inside(name, match["attrs"], at, named)
+        if (place.outside, place.part) != (stack[-1].outside, stack[-1].part):
             close_block(stack[-1])
         stack.append(place)
     close_block(stack[-1])
+    set_parts_apart(found, named)
+    for block in found:
+        block.count_words()
     return found
 
 

@@ -51,6 +51,27 @@ def test_teaser_cards_do_not_hide_the_page():
     assert main_text(f"<h1>Title</h1><div>{LONG}</div><div>{LONG}</div>{cards}") == f"Title {LONG.strip()} {LONG.strip()}"
 
 
+@pytest.mark.parametrize("page", [
+    f"<article class='post comments-open'><p>{LONG}</p></article>",
+    f"<main class='has-sidebar'><p>{LONG}</p></main>",
+    f"<article class='widget'><p>{LONG}</p></article><article class=promo>no</article>",
+    f"<div id='search-result'><div>{LONG}</div></div>",
+    f"<body><div class='with-header'><p>{LONG}</p></div><footer>no</footer>",
+    f"<div class='page sidebar'><nav>no</nav><p>{LONG}</p><div class=comments>no</div></div>",
+    f"<div class=header><div class=widget><article><p>{LONG}</p></article></div></div>",
+    f"<article><div class='ad-free no-comments'>{LONG}</div><div class='cookie-banner'>no</div></article>",
+])
+def test_names_alone_do_not_lose_the_page(page):
+    assert main_text(page) == LONG.strip()
+
+
+def test_names_hold_where_an_article_stands_elsewhere():
+    comments = "<div class=comments-list><div class='user comments'>" + f"<article><p>{LONG[:131]}</p></article>" * 5 + "</div></div>"
+    assert main_text(f"<article><p>{LONG}</p></article>{comments}") == LONG.strip()
+    assert main_text(f"<main><p>{LONG}</p><div id=comments>{f'<p>{LONG}</p>' * 3}</div></main>") == LONG.strip()
+    assert main_text(f"<div class=ad>{LONG[:131]}</div><article><h1>Title</h1>A short note.</article>") == "Title A short note."
+
+
 def test_many_undecided_blocks_take_linear_time():
     begun = time.monotonic()
     assert main_text("<p>short</p>" * 30000) == ""
