@@ -9,7 +9,6 @@ and a text's windows are averaged in log probability, weighted by their bytes.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +29,11 @@ WINDOWS_PER_ROW = 4
 BATCH = 128
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter; digits of any kind (², ½, ①) are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
@@ -148,7 +151,7 @@ def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def predict(net: ByteNetwork | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
     """Language and probability of each text; ``und`` and 0 without a letter."""
     langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if net and t and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if net and has_letter(t)]
     begin = 0
     while begin < len(known):
         end, size = begin, 0
@@ -192,7 +195,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> ByteNetw
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 pieces = -(-len(raw) // WINDOW)
-                for k in sorted({pieces * j // WINDOWS_PER_ROW for j in range(WINDOWS_PER_ROW)} if pieces and LETTER.search(text) else ()):
+                for k in sorted({pieces * j // WINDOWS_PER_ROW for j in range(WINDOWS_PER_ROW)} if has_letter(text) else ()):
                     langs.append(lang)
                     windows.append(raw[k * WINDOW : (k + 1) * WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.binary())], names=["lang", "window"])
@@ -214,12 +217,17 @@ def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: no null text, none without a letter."""
+    """The rows of ``docs`` whose text has a language: no null text, none without a letter.
+
+    A text with a letter stays even if the network cannot name its language, as
+    where no row is labelled.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, _ = predict(net, batch.column(batch.schema.get_field_index("text")).to_pylist())
-            yield batch.filter(pa.array([lang != "und" for lang in langs]))
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            langs, _ = predict(net, texts)
+            yield batch.filter(pa.array([lang != "und" or has_letter(text) for lang, text in zip(langs, texts, strict=True)], pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 

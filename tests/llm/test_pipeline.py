@@ -70,3 +70,15 @@ def test_run_on_tables_and_on_none(spark, rows, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
     assert P.run(spark, str(tmp_path / "some")).count() > 30
     assert P.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_unlabelled_rows_stay(spark, rows, tmp_path):
+    odd = [(400, "½ ① ²"), (401, "²a")]
+    docs = spark.createDataFrame([(i, t, None, "s", len(t or "")) for i, t in rows + odd], COLUMNS)
+    want = sorted((i, t) for i, t in rows + odd if t and any(c.isalpha() for c in t))
+    kept = dict(P.STAGES)["language_id"](spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == want and kept.columns == docs.columns
+    labelled = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows + odd], COLUMNS)
+    assert sorted((r.doc_id, r.text) for r in dict(P.STAGES)["language_id"](spark, labelled, "").collect()) == want
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert P.run(spark, str(tmp_path)).count() > 30
