@@ -34,11 +34,17 @@ def create_tiles(source: DataFrame, max_zoom: int, tile_size: int, nodata: float
     return drop_empty(tiles_from_pixels(pixels, ts))
 
 
-def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0) -> None:
-    """Write tiles partitioned by layer and zoom, replacing that layer's partitions only."""
-    rows = tiles.select(F.lit(layer_id).alias("layer_id"), F.lit(band).alias("band"), "tilez", "tilex", "tiley", "data")
+def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0, batch: str | None = None) -> None:
+    """Write tiles partitioned by layer, band and zoom, replacing that band's partitions of these zooms only.
+
+    With ``batch``, below layer and band the partitions are also those of a batch, and
+    only a batch of that name is replaced. A table is written either with batches or without.
+    """
+    keys = ["layer_id", "band", *(["batch"] if batch is not None else []), "tilez"]
+    named = [F.lit(batch).alias("batch")] if batch is not None else []
+    rows = tiles.select(F.lit(layer_id).alias("layer_id"), F.lit(band).alias("band"), *named, "tilez", "tilex", "tiley", "data")
     by_quadrant = rows.repartition("tilez", F.floor(F.col("tilex") / DEFAULTS.quadrant_size), F.floor(F.col("tiley") / DEFAULTS.quadrant_size))
-    by_quadrant.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("layer_id", "tilez").parquet(path)
+    by_quadrant.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
 def band_metadata(pixels: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +26,16 @@ def running_statistics(tiles: DataFrame, nodata: float | None) -> DataFrame:
     return moments(pixels.groupBy("layer_id").agg(F.count("value").alias("t0"), F.sum("value").alias("t1"), F.sum(value * value).alias("t2"), F.min("value").alias("min"), F.max("value").alias("max")))
 
 
-def store_stream(tiles: DataFrame, path: str, layer_id: int, checkpoint: str) -> StreamingQuery:
-    """Append a stream of tiles to a tile table, a micro-batch at a time."""
-    return tiles.writeStream.foreachBatch(lambda batch, _: write_tiles(batch, path, layer_id)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def store_stream(tiles: DataFrame, path: str, layer_id: int, checkpoint: str, band: int = 0) -> StreamingQuery:
+    """Append a stream of tiles to a tile table, a micro-batch at a time.
+
+    A micro-batch has its own partitions, named by the checkpoint and its number,
+    so one that runs again replaces itself and no other. A tile that arrives
+    again is a further row.
+    """
+    name = sha256(checkpoint.rstrip("/").encode()).hexdigest()[:16]
+
+    def store(batch: DataFrame, number: int) -> None:
+        write_tiles(batch, path, layer_id, band, f"s{name}-{number}")
+
+    return tiles.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

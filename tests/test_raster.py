@@ -183,3 +183,30 @@ def test_streams(spark, tmp_path):
     assert spark.table("stats").first().t0 == 6
     store_stream(stream(), str(tmp_path / "out"), 1, str(tmp_path / "check")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_micro_batches_and_bands_add_up(spark, tmp_path):
+    from gridloom.streaming.ingest import store_stream
+
+    shape = "tilez int, tilex int, tiley int, data array<double>"
+    arrive = lambda x: spark.createDataFrame([(0, x, 0, [1.0]), (1, x, 0, [2.0])], shape).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = lambda: sorted((r.band, r.tilez, r.tilex) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    arrive(0)
+    arrive(1)
+    store_stream(stream(), str(tmp_path / "out"), 1, str(tmp_path / "check")).awaitTermination(120)
+    assert kept() == [(0, z, x) for z in (0, 1) for x in (0, 1)]
+    arrive(2)
+    store_stream(stream(), str(tmp_path / "out"), 1, str(tmp_path / "check")).awaitTermination(120)
+    store_stream(stream(), str(tmp_path / "out"), 1, str(tmp_path / "check 1"), band=1).awaitTermination(120)
+    assert kept() == [(b, z, x) for b in (0, 1) for z in (0, 1) for x in range(3)]
+
+
+def test_a_batch_that_runs_again_replaces_itself_and_bands_stay(spark, tmp_path):
+    tiles = spark.createDataFrame([(0, 0, 0, [1.0]), (1, 0, 0, [2.0])], "tilez int, tilex int, tiley int, data array<double>")
+    for batch in ("a-0", "a-1", "a-1"):
+        pyramid.write_tiles(tiles, str(tmp_path / "batches"), 1, 0, batch)
+    assert spark.read.parquet(str(tmp_path / "batches")).count() == 4
+    for band in (0, 1, 1):
+        pyramid.write_tiles(tiles, str(tmp_path / "bands"), 1, band)
+    assert sorted((r.band, r.tilez) for r in spark.read.parquet(str(tmp_path / "bands")).collect()) == [(b, z) for b in (0, 1) for z in (0, 1)]
