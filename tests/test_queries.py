@@ -43,7 +43,9 @@ def test_formula_scan_prunes_and_aggregates_partially(spark):
     assert "partial_count" in plan and "ReadSchema: struct<l_orderkey" in plan and "Python" not in plan
 
 
-def test_entry_works_without_the_corpus_parts(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns("llm", "corpus_pipeline.py", ".git", "__pycache__"))
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+@pytest.mark.parametrize("path", ["", ROOT])
+def test_entry_works_without_the_corpus_parts(tmp_path, gone, path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(*gone, ".git", "__pycache__"))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'value_count_discrete' in q and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env=os.environ | {"PYTHONPATH": path})
