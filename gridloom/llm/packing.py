@@ -9,7 +9,9 @@ Every piece then takes a planned place by its rank among pieces of its length.
 from __future__ import annotations
 
 import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,48 +26,57 @@ from gridloom.llm.common import cut, small_batches
 CAPACITY = 2048
 #: Pieces that one cell of a length should hold.
 ROWS_PER_CELL = 10_000
-#: Distinct words that a worker keeps with their ids.
-WORDS_KEPT = 700_000
-#: A control character that parts words while many are encoded at once.
-MARK = "\x01"
+#: Words that a worker keeps with their ids before it starts anew.
+WORDS_KEPT = 400_000
+#: Letters that Unicode composition leaves as they are and that have one lower-case letter, then ASCII punctuation but for the apostrophe of contractions.
+PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-&(-/:-@\[-`{-~]*)")
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordIds(dict):
-    """Ids of words between ASCII blanks as little-endian bytes; unknown words are encoded many at once.
+    """Ids of words between ASCII blanks as little-endian bytes, found by the tokenizer when a word is first asked for.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn.
+    are those of its words in turn. A word of plain letters and punctuation
+    behind them is two of its pieces; its letters, in lower case and as the
+    byte characters of the vocabulary, go to the tokenizer's model as they are.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        (self.mark,) = self.encode(MARK)
-
-    def learn(self, words: set[str]) -> None:
-        fresh = list(words.difference(self))
-        if len(self) + len(fresh) > WORDS_KEPT:
+        self.model, shown = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x2B0)}
+
+    def __missing__(self, word: str) -> bytes:
+        plain = PLAIN.fullmatch(word)
+        if plain is None:
+            found = array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        else:
+            letters, marks = plain.groups()
+            letters = letters.lower()
+            if marks or letters != word:
+                found = self[letters] + (self._marks(marks) if marks else b"")
+            else:
+                shown = letters if letters.isascii() else letters.translate(self.shown)
+                found = array("I", [token.id for token in self.model.tokenize(shown)]).tobytes()
+        self[word] = found
+        return found
+
+    def _marks(self, marks: str) -> bytes:
+        if marks not in self:
+            self[marks] = array("I", self.tokenizer.encode(marks, add_special_tokens=False).ids).tobytes()
+        return self[marks]
+
+    def ids(self, text: str | None) -> bytes:
+        """The ids of a whole text (null: empty)."""
+        if len(self) > WORDS_KEPT:
             self.clear()
-            fresh = list(words)
-        plain = [w for w in fresh if MARK not in w]
-        for begin in range(0, len(plain), 2000):
-            part = plain[begin : begin + 2000]
-            coded = np.array(self.encode(f" {MARK} ".join(part)), dtype="<u4")
-            ends = 4 * np.flatnonzero(coded == self.mark)
-            raw = coded.tobytes()
-            bounds = zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(raw)], strict=True)
-            self.update((w, raw[i:j]) for w, (i, j) in zip(part, bounds, strict=True))
-        self.update((w, np.array(self.encode(w), dtype="<u4").tobytes()) for w in fresh if MARK in w)
-
-    def encode(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, split_words(text or "")))
 
 
 _loaded: dict[str, WordIds] = {}
@@ -99,18 +110,9 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
         known = word_ids(tokenizer_path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = 0
-            while at < len(texts):
-                end, size = at, 0
-                while end < len(texts) and (end == at or size < 1 << 21):
-                    size += len(texts[end] or "")
-                    end += 1
-                words = [split_words(t or "") for t in texts[at:end]]
-                known.learn(set().union(*words))
-                rows = [p for d, w in zip(ids[at:end], words, strict=True) for p in pieces_of(d, known.ids(w) + b"\0\0\0\0", capacity)]
+            rows = [p for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(d, known.ids(t) + b"\0\0\0\0", capacity)]
+            if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
-                at = end
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(run, PIECES)
 
@@ -220,9 +222,7 @@ def packed_sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str) ->
             columns = batch.to_pydict()
             out = []
             for text, start, length in zip(columns["text"], columns["start"], columns["length"], strict=True):
-                words = split_words(text or "")
-                known.learn(set(words))
-                out.append(np.frombuffer(known.ids(words) + b"\0\0\0\0", dtype="<u4")[start : start + length].astype(np.int32))
+                out.append(np.frombuffer(known.ids(text) + b"\0\0\0\0", dtype="<u4")[start : start + length].astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column("sequence_id"), batch.column("offset"), pa.array(out, pa.list_(pa.int32()))],
                                              names=["sequence_id", "offset", "ids"])
 
