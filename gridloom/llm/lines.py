@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, listed
+from gridloom.llm.common import cut, listed, stored
 
 #: Lines of fewer words take no part: one edit must leave a similarity of 0.8.
 MIN_WORDS = 5
@@ -71,7 +71,7 @@ def sharing_lines(docs: DataFrame) -> DataFrame:
     id, at, n, two hashes of the words, and whether some line of other words and
     of as many words, one less or one more shares a key (same, less, more).
     """
-    lines = cut(keyed_lines(docs))
+    lines = stored(keyed_lines(docs))
     keyed = lines.select("id", "at", "n", "h1", "h2", F.explode("keys").alias("key"))
     shared = cut(keyed.groupBy("key").agg(F.count("*").alias("held"), F.min("h1").alias("low"), F.max("h1").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
                  .where("held > 1").select("key", (F.col("low") != F.col("high")).alias("other"), "least", "most"))
@@ -95,13 +95,12 @@ def forms(lines: DataFrame) -> DataFrame:
     end = F.element_at("right", -1)
     rest = lambda i: F.element_at("left", i + 1).bitwiseXOR(end).bitwiseXOR(F.element_at("right", i + 2))
     n = F.col("n")
-    form = lambda key, role: F.struct(key.alias("key"), F.lit(role).alias("role"))
     places = F.sequence(F.lit(0), n - 1)
-    none = F.array().cast("array<struct<key:bigint,role:int>>")
-    replaced = F.when(F.col("same"), F.transform(places, lambda i: form(F.xxhash64(F.lit(2), n, i, rest(i)), 1))).otherwise(none)
-    shorter = F.when(F.col("less"), F.transform(places, lambda i: form(F.xxhash64(F.lit(3), n - 1, rest(i)), 2))).otherwise(none)
-    whole = F.when(F.col("more"), F.array(form(F.xxhash64(F.lit(3), n, F.element_at("left", -1)), 0))).otherwise(none)
-    return totals.select("line", F.explode(F.concat(F.array_distinct(replaced), F.array_distinct(shorter), whole)).alias("form")).select("line", "form.*")
+    replaced = F.when(F.col("same"), F.transform(places, lambda i: F.xxhash64(F.lit(2), n, i, rest(i))))
+    shorter = F.when(F.col("less"), F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.lit(3), n - 1, rest(i)))))
+    whole = F.when(F.col("more"), F.array(F.xxhash64(F.lit(3), n, F.element_at("left", -1))))
+    emitted = totals.select("line", F.explode(F.array(F.struct(F.lit(0).alias("role"), whole.alias("keys")), F.struct(F.lit(1).alias("role"), replaced.alias("keys")), F.struct(F.lit(2).alias("role"), shorter.alias("keys")))).alias("made"))
+    return emitted.select("line", "made.role", F.explode("made.keys").alias("key"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -139,7 +138,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     found = found.select(_place(F.col("doc_id"), F.col("found.place.at")).alias("line"), normal_words(F.col("found.line")).alias("words"), "found.place.same", "found.place.less", "found.place.more")
     lines = cut(found.withColumn("n", F.size("words")))
 
-    emitted = forms(lines)
+    emitted = stored(forms(lines))
     holders = cut(emitted.groupBy("key").agg(
         F.count("*").alias("held"), F.min(F.when(F.col("role") == 0, F.col("line"))).alias("whole"),
         F.min(F.when(F.col("role") != 0, F.col("line"))).alias("left_out")).where("held > 1").drop("held"))
