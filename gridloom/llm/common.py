@@ -14,19 +14,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows of one Arrow batch where rows hold whole texts.
-TEXT_ROWS = 512
+#: Bytes of one Arrow batch where rows hold whole texts.
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after its session's Arrow batches are set to at most ``TEXT_ROWS`` rows.
+    """``df``, after its session's Arrow batches are bounded by bytes, unless the session has a bound of its own.
 
-    A worker holds a batch several times over; the default of 10,000 whole texts
-    would not fit one that is bounded.
+    A worker holds a batch several times over, and the default bound is 64 MB. The
+    setting is read when a plan runs, so it stays for the session.
     """
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(key, "1") == "1":  # what a setting that is unset gives
+        conf.set(key, str(BATCH_BYTES))
     return df
 
 

@@ -27,6 +27,8 @@ EMBEDDING = 8
 ROWS_PER_LANGUAGE = 1500
 WINDOWS_PER_ROW = 4
 BATCH = 128
+#: Probability of its likeliest language that a text needs to be kept: more than all others have together.
+LEAST_SCORE = 0.5
 
 PREDICTED = "doc_id long, held_out boolean, lang_pred string, score double"
 
@@ -216,22 +218,32 @@ def identify(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
     return small_batches(docs).select("doc_id", held_out_column().alias("held_out"), "text").mapInArrow(run, PREDICTED)
 
 
-def keep_identified(docs: DataFrame, net: ByteNetwork | None) -> DataFrame:
-    """The rows of ``docs`` whose text has a language: no null text, none without a letter.
+def keep_identified(docs: DataFrame, net: ByteNetwork | None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns.
 
-    A text with a letter stays even if the network cannot name its language, as
-    where no row is labelled.
+    A null text and one without a letter go, and so does a text whose likeliest
+    language has a probability below ``least``: the network can't tell it from
+    the others. Where no row is labelled there is no network, and every text with
+    a letter stays.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            langs, _ = predict(net, texts)
-            yield batch.filter(pa.array([lang != "und" or has_letter(text) for lang, text in zip(langs, texts, strict=True)], pa.bool_()))
+            langs, scores = predict(net, texts)
+            kept = [has_letter(t) for t in texts] if net is None else [lang != "und" and score >= least for lang, score in zip(langs, scores, strict=True)]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Fit on the rows of ``docs`` that may be learnt from, then identify all of them."""
+    """Fit on the rows of ``docs`` that may be learnt from, then identify all of them.
+
+    doc_id, held_out, lang_pred and score, one row for each row. A text that is
+    null, empty or without a letter is ``und`` with score 0, and so is every text
+    where no row may be learnt from. A null id is not held out. Repeated rows get
+    equal answers; of languages as likely the first by name is taken. An empty
+    table gives no rows; further columns play no part.
+    """
     return identify(docs, fit(docs))

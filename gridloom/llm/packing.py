@@ -8,6 +8,7 @@ Every piece then takes a planned place by its rank among pieces of its length.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -26,7 +27,7 @@ from gridloom.llm.common import cut, small_batches
 CAPACITY = 2048
 #: Pieces that one cell of a length should hold.
 ROWS_PER_CELL = 10_000
-#: Words that a worker keeps with their ids before it starts anew.
+#: Words that a task keeps with their ids before it starts anew.
 WORDS_KEPT = 400_000
 #: Letters that Unicode composition leaves as they are and that have one lower-case letter, then ASCII punctuation but for the apostrophe of contractions.
 PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02af]+)([!-&(-/:-@\[-`{-~]*)")
@@ -34,6 +35,14 @@ PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u02a
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+@functools.cache
+def loaded(path: str):
+    """One tokenizer for each worker process; words are kept for one task only."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordIds(dict):
     """Ids of words between ASCII blanks as little-endian bytes, found by the tokenizer when a word is first asked for.
 
@@ -44,11 +53,10 @@ class WordIds(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = loaded(path)
         self.model, shown = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.shown = {c: shown.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x2B0)}
 
@@ -79,16 +87,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, split_words(text or "")))
 
 
-_loaded: dict[str, WordIds] = {}
-
-
-def word_ids(path: str) -> WordIds:
-    """One table of words for each worker process."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
-
-
 def split_words(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").split(" ")
 
@@ -107,7 +105,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY)
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer_path)
+        known = WordIds(tokenizer_path)
         schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
         for batch in batches:
             rows = [p for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for p in pieces_of(d, known.ids(t) + b"\0\0\0\0", capacity)]
@@ -217,7 +215,7 @@ def packed_sequences(docs: DataFrame, packed: DataFrame, tokenizer_path: str) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = word_ids(tokenizer_path)
+        known = WordIds(tokenizer_path)
         for batch in batches:
             columns = batch.to_pydict()
             out = []

@@ -24,9 +24,9 @@ from gridloom.llm.common import listed, only_ids, small_batches, stored
 from gridloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, RUN = 100, 20
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: Bytes of pieces in one shard, and the most differing pieces of one run that are sorted together.
-SHARD_BYTES, MOST_PIECES = 2 << 20, 10_000
+SHARD_BYTES, MOST_PIECES = 1 << 20, 10_000
 #: Ids or spans that are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 400_000
 

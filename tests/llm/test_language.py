@@ -55,3 +55,42 @@ def test_odd_rows(spark):
     assert keep_identified(docs, net).count() == 2
     assert fit(docs.limit(0)) is None and identify_documents(docs.limit(0)).count() == 0
     assert {r.lang_pred for r in identify(docs, None).collect()} == {"und"}
+
+
+def test_forward_pass_against_a_plain_one(spark):
+    """The same network written as loops over one text's bytes, on whole texts of several windows."""
+    from gridloom.llm.language import EMBEDDING, FILTERS, WIDTHS, predict
+
+    net = train([t.encode()[:WINDOW] for _, t, _ in made(120)], [lang for _, _, lang in made(120)], steps=60)
+
+    def plain(text):
+        raw = text.encode()
+        logs, weights = [], []
+        for at in range(0, len(raw), WINDOW):
+            part = raw[at : at + WINDOW]
+            window = part + bytes(WINDOW - len(part))
+            hidden = []
+            for kernel, width in zip(net.kernels, WIDTHS, strict=True):
+                for f in range(FILTERS):
+                    hidden.append(max(sum(float(net.embedding[window[k + j]] @ kernel[j * EMBEDDING : (j + 1) * EMBEDDING, f]) for j in range(width)) for k in range(WINDOW - width + 1)))
+            hidden = np.maximum(np.array(hidden) + net.bias, 0)
+            logits = hidden @ net.dense + net.dense_bias
+            logs.append(logits - logits.max() - np.log(np.exp(logits - logits.max()).sum()))
+            weights.append(len(part))
+        mean = np.average(logs, axis=0, weights=weights)
+        chance = np.exp(mean) / np.exp(mean).sum()
+        return net.labels[int(chance.argmax())], chance.max()
+
+    texts = ["the thing and", "été que " * 45, "schön und nicht größe", "oui the für"]
+    langs, scores = predict(net, texts)
+    want = [plain(t) for t in texts]
+    assert langs == [lang for lang, _ in want] and np.allclose(scores, [score for _, score in want], atol=1e-4)
+
+
+def test_texts_that_no_language_claims_go(spark):
+    net = train([t.encode()[:WINDOW] for _, t, _ in made(200)], [lang for _, _, lang in made(200)], steps=80)
+    docs = spark.createDataFrame([(1, "the thing and with the thing", "en"), (2, "xq", None), (3, "12", None)], "doc_id long, text string, lang string")
+    scores = {r.doc_id: r.score for r in identify(docs, net).collect()}
+    for least in (0.0, scores[2], scores[2] + 1e-9, 1.1):
+        assert {r.doc_id for r in keep_identified(docs, net, least).collect()} == {i for i in (1, 2) if scores[i] >= least}
+    assert {r.doc_id for r in keep_identified(docs, None).collect()} == {1, 2}
