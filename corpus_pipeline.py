@@ -31,7 +31,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: those of null text or without a letter go."""
+    """Documents whose text has a language; without a letter, or a language likelier than all others together, they go."""
     return keep_identified(docs, fit(docs))
 
 
