@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,19 +14,18 @@ Color = tuple[int, int, int, int]
 
 
 def hex_to_rgba(text: str, alpha: int = 255) -> Color:
-    """Channels of a hex colour of 1, 2, 3 or 6 digits."""
+    """Channels of a hex colour of 1, 2, 3 or 6 digits, which repeat until there are six."""
     digits = text.lstrip("#")
-    if len(digits) not in (1, 2, 3, 6):
+    if len(digits) not in (1, 2, 3, 6) or not re.fullmatch("[0-9A-Fa-f]+", digits):
         raise RasterException(f"Cannot read colour {text!r}.")
-    whole = {1: digits * 6, 2: digits * 3, 3: "".join(d * 2 for d in digits), 6: digits}[len(digits)]
-    return tuple(int(whole[k : k + 2], 16) for k in (0, 2, 4)) + (alpha,)
+    red, green, blue = bytes.fromhex(digits * (6 // len(digits)))
+    return red, green, blue, alpha
 
 
 def hex_columns(text: Column, alpha: int = 255) -> list[Column]:
-    """r, g, b, a of a column of hex colours."""
-    digits = F.regexp_replace(text, "^#", "")
-    n = F.length(digits)
-    whole = F.when(n == 1, F.repeat(digits, 6)).when(n == 2, F.repeat(digits, 3)).when(n == 3, F.regexp_replace(digits, "(.)", "$1$1")).when(n == 6, digits)
+    """r, g, b, a of a column of hex colours; NULL channels where ``hex_to_rgba`` would be an error."""
+    digits = F.regexp_replace(text, "^#+", "")
+    whole = F.when(digits.rlike("^([0-9A-Fa-f]{1,3}|[0-9A-Fa-f]{6})$"), F.substring(F.repeat(digits, 6), 1, 6))
     return [F.conv(F.substring(whole, k, 2), 16, 10).cast("int").alias(c) for k, c in ((1, "r"), (3, "g"), (5, "b"))] + [F.lit(alpha).alias("a")]
 
 
@@ -73,5 +74,11 @@ def brightness(value: Column, factor: float) -> Column:
     return F.least(F.greatest(value * factor, F.lit(0.0)), F.lit(255.0)).cast("int")
 
 
+def saturation(red: Column, green: Column, blue: Column, factor: float) -> list[Column]:
+    """r, g, b between the pixel's grey (0) and its colour (1), or beyond."""
+    grey = F.floor((red * 299 + green * 587 + blue * 114) / 1000)
+    return [F.least(F.greatest(grey + (c - grey) * factor, F.lit(0.0)), F.lit(255.0)).cast("int").alias(n) for c, n in ((red, "r"), (green, "g"), (blue, "b"))]
+
+
 def contrast(value: Column, mean: Column, factor: float) -> Column:
     return F.least(F.greatest(mean + (value - mean) * factor, F.lit(0.0)), F.lit(255.0)).cast("int")

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULTS
+from gridloom.errors import RasterException
 
 #: The sphere's radius, half the world's width, and the highest zoom.
 RADIUS = 6378137.0
@@ -33,26 +34,57 @@ def tile_index(x: Column, y: Column, zoom: Column) -> tuple[Column, Column]:
 
 
 def tile_index_range(bbox: tuple[float, float, float, float], zoom: int, tolerance: float = 0) -> tuple[int, int, int, int]:
-    """Inclusive index box of a bounding box; edges within ``tolerance`` of a tile don't count."""
+    """Inclusive index box of a bounding box.
+
+    An edge closer than ``tolerance``, in tiles, to one between two tiles counts
+    as lying on it, and then only tiles that overlap the box are taken.
+    """
     size = WORLD / 2.0**zoom
     xmin, ymin, xmax, ymax = bbox
-    index = [(xmin + HALF) / size, (HALF - ymax) / size, (xmax + HALF) / size, (HALF - ymin) / size]
-    low_x, low_y, high_x, high_y = map(int, index)
-    if tolerance:
-        near = tolerance / size
-        low_x += index[0] - low_x > 1 - near
-        low_y += index[1] - low_y > 1 - near
-        high_x -= index[2] - high_x < near
-        high_y -= index[3] - high_y < near
-    return low_x, low_y, high_x, high_y
+
+    def tile(place: float, is_end: bool) -> int:
+        edge = round(place)
+        return edge - is_end if abs(place - edge) < tolerance else int(place)
+
+    return tile((xmin + HALF) / size, False), tile((HALF - ymax) / size, False), tile((xmax + HALF) / size, True), tile((HALF - ymin) / size, True)
 
 
 def closest_zoom(scale: Column, next_higher: bool = True, most: int = DEFAULTS.max_zoom, tile_size: int = DEFAULTS.tile_size) -> Column:
-    """The first zoom whose pixels are no larger than ``scale``, or the one before it."""
-    exact = F.lit(math.log2(WORLD / tile_size)) - F.log2(scale)
-    up = F.ceil(exact - 1e-9).cast("int")
-    zoom = up if next_higher else F.when(F.abs(exact - F.rint(exact)) < 1e-9, up).otherwise(up - 1)
-    return F.greatest(F.least(zoom, F.lit(most + (1 if next_higher else 0))), F.lit(0))
+    """The first zoom from 1 on whose pixels are no larger than ``scale``, or the one before it.
+
+    Scales finer than all zooms up to ``most`` have give the one above it.
+    """
+    finer = F.filter(F.array(*[F.lit(tile_scale(z, tile_size)) for z in range(1, most + 1)]), lambda size: size > scale)
+    return F.size(finer) + F.lit(1 if next_higher else 0)
+
+
+def zoom_of_scale(scale: float, next_higher: bool = True, most: int = DEFAULTS.max_zoom, tile_size: int = DEFAULTS.tile_size) -> int:
+    """``closest_zoom`` of a plain number."""
+    return sum(tile_scale(z, tile_size) > scale for z in range(1, most + 1)) + next_higher
+
+
+def nr_of_tiles(bbox: tuple[float, float, float, float], zoom: int) -> int:
+    """How many tiles of a zoom a bounding box in metres meets."""
+    xmin, ymin, xmax, ymax = tile_index_range(bbox, zoom)
+    return (xmax - xmin + 1) * (ymax - ymin + 1)
+
+
+def project(x: float, y: float, from_srid: int, to_srid: int) -> tuple[float, float]:
+    """A point in another of the two systems EPSG:4326 and EPSG:3857."""
+    if {from_srid, to_srid} - {4326, 3857}:
+        raise RasterException(f"Cannot transform from {from_srid} to {to_srid}; only 4326 and 3857 are known.")
+    if from_srid == to_srid:
+        return x, y
+    if to_srid == 3857:
+        return x * (HALF / 180), math.log(math.tan(math.pi / 4 + y * (math.pi / 360))) * RADIUS
+    return x * (180 / HALF), (math.atan(math.exp(y / RADIUS)) * 2 - math.pi / 2) * (180 / math.pi)
+
+
+def project_bbox(bbox: tuple[float, float, float, float], from_srid: int, to_srid: int) -> tuple[float, float, float, float]:
+    """The box around the four corners of a box in another system."""
+    corners = [project(x, y, from_srid, to_srid) for x in (bbox[0], bbox[2]) for y in (bbox[1], bbox[3])]
+    xs, ys = zip(*corners, strict=True)
+    return min(xs), min(ys), max(xs), max(ys)
 
 
 def quadrants(bbox: tuple[float, float, float, float], zoom: int, size: int = DEFAULTS.quadrant_size) -> list[tuple[int, int, int, int]]:

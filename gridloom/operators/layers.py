@@ -20,10 +20,15 @@ TILE = ["tilez", "tilex", "tiley"]
 
 @dataclass(frozen=True)
 class Layer:
-    """Tiles of one band of a layer, with the number that stands for nodata (None: it has none)."""
+    """Tiles of one band of a layer, with the number that stands for nodata (None: it has none).
+
+    Bands that lie side by side in one table are layers of the same ``tiles``
+    with different columns; they are read together and never joined.
+    """
 
     tiles: DataFrame
     nodata: float | None = None
+    column: str = "data"
 
 
 def near(value: Column, number: float) -> Column:
@@ -37,10 +42,32 @@ def drop_nodata(value: Column, nodata: float | None) -> Column:
 
 
 def tiles_from_pixels(pixels: DataFrame, tile_size: int, keys: list[str] = TILE, value: str = "value") -> DataFrame:
-    """Dense tiles from pixel rows (px, py, value); missing pixels are nodata."""
-    placed = F.map_from_entries(F.collect_list(F.struct((F.col("py") * tile_size + F.col("px")).cast("int"), F.col(value).cast("double"))))
-    places = F.sequence(F.lit(0), F.lit(tile_size * tile_size - 1))
-    return pixels.groupBy(*keys).agg(placed.alias("_map")).select(*keys, F.transform(places, lambda i: F.try_element_at("_map", i)).alias("data"))
+    """Dense tiles from pixel rows (px, py, value); missing pixels are nodata. See ``bands_from_pixels``."""
+    return bands_from_pixels(pixels, tile_size, {"data": value}, keys)
+
+
+def bands_from_pixels(pixels: DataFrame, tile_size: int, bands: dict[str, str], keys: list[str] = TILE) -> DataFrame:
+    """Dense tiles from pixel rows, one array for each of ``bands`` (name to pixel column).
+
+    The pixels of a tile are gathered once and sorted by place; each brings the
+    gap before it as nodata, so the work grows with the pixels. Of rows at one
+    place the first in the order of their values counts; places outside the
+    tile are an error of the caller and are left out.
+    """
+    n = tile_size * tile_size
+    inside = F.col("px").between(0, tile_size - 1) & F.col("py").between(0, tile_size - 1)
+    place = (F.col("py") * tile_size + F.col("px")).cast("int")
+    row = F.struct(place.alias("pos"), *[F.col(column).cast("double").alias(f"v{i}") for i, column in enumerate(bands.values())])
+    sorted_ = pixels.where(inside).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+    def dense(i: int) -> Column:
+        before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_rows", k - 1)["pos"])
+        nothing = F.lit(None).cast("double")
+        piece = lambda e, k: F.when(e["pos"] == before(k), F.array().cast("array<double>")).otherwise(F.concat(F.array_repeat(nothing, e["pos"] - before(k) - 1), F.array(e[f"v{i}"])))
+        rest = F.array_repeat(nothing, F.lit(n - 1) - F.element_at("_rows", -1)["pos"])
+        return F.concat(F.flatten(F.transform("_rows", piece)), rest)
+
+    return sorted_.select(*keys, *[dense(i).alias(name) for i, name in enumerate(bands)])
 
 
 def pixels_from_tiles(tiles: DataFrame, tile_size: int, column: str = "data") -> DataFrame:
@@ -75,13 +102,18 @@ def bind(tiles: DataFrame, layers: str, nodata: dict[int, float | None]) -> dict
 
 
 def aligned(layers: dict[str, Layer]) -> DataFrame:
-    """Tiles that all layers have, one array column for each name. A layer bound twice is scanned once."""
+    """Tiles that all layers have, one array column for each name. Layers of one table of tiles are read together."""
     if not layers:
-        raise RasterAlgebraException("No layers given.")
+        raise RasterAlgebraException("No layers are bound.")
+
     def masked(layer: Layer) -> Column:
-        return F.transform("data", lambda v: drop_nodata(v, layer.nodata)) if layer.nodata is not None else F.col("data")
+        data = F.col(layer.column)
+        return F.transform(data, lambda v: drop_nodata(v, layer.nodata)) if layer.nodata is not None else data
 
-    parts = [layer.tiles.select(*TILE, masked(layer).alias(name)) for name, layer in layers.items()]
+    tables: dict[int, dict[str, Layer]] = {}
+    for name, layer in layers.items():
+        tables.setdefault(id(layer.tiles), {})[name] = layer
+    parts = [next(iter(own.values())).tiles.select(*TILE, *[masked(layer).alias(name) for name, layer in own.items()]) for own in tables.values()]
     return reduce(lambda a, b: a.join(b, TILE), parts)
 
 

@@ -62,8 +62,8 @@ def layer(spark: SparkSession, sf_dir: str, value: str, nodata: float | None) ->
 
 
 def cnt_qty(spark: SparkSession, sf_dir: str) -> dict[str, Layer]:
-    tiles = grid(spark, sf_dir)
-    return {"a": Layer(layers.tiles_from_pixels(tiles, TS, TILE, "cnt"), 0.0), "q": Layer(layers.tiles_from_pixels(tiles, TS, TILE, "qty"), -1.0)}
+    tiles = layers.bands_from_pixels(grid(spark, sf_dir), TS, {"cnt": "cnt", "qty": "qty"})
+    return {"a": Layer(tiles, 0.0, "cnt"), "q": Layer(tiles, -1.0, "qty")}
 
 
 def placed(pixels: DataFrame, *more: str) -> DataFrame:
@@ -280,7 +280,7 @@ def statistics_of_parts(spark, sf_dir):
 def tile_join_missing(spark, sf_dir):
     """Tiles that one of the layers lacks drop out."""
     both = cnt_qty(spark, sf_dir)
-    half = Layer(both["q"].tiles.where((F.col("tilex") + F.col("tiley")) % 2 == 0), -1.0)
+    half = Layer(both["q"].tiles.where((F.col("tilex") + F.col("tiley")) % 2 == 0), -1.0, "qty")
     return aggregate.value_count(evaluate_pixels({"a": both["a"], "q": half}, "a + 0 * q", TS))
 
 
@@ -323,13 +323,13 @@ def overzoom_resample(spark, sf_dir):
 
 def points(spark, sf_dir) -> DataFrame:
     lon, lat = (F.col("event_id") * 37 % 3600) / 10.0 - 180, (F.col("event_id") * 53 % 1700) / 10.0 - 85
-    rows = read(spark, sf_dir, "events").select("event_id", lon.alias("lon"), lat.alias("lat")).where("lon % 90 != 0 and lat != 0")
+    rows = read(spark, sf_dir, "events").select("event_id", lon.alias("lon"), lat.alias("lat"))
     x, y = tilemath.mercator(F.col("lon"), F.col("lat"))
     return rows.select("event_id", "lon", "lat", x.alias("x"), y.alias("y"))
 
 
 _POINTS = f"""pts AS (SELECT event_id, lon, lat, lon * {tilemath.HALF / 180!r} AS x, ln(tan({math.pi / 4!r} + lat * {math.pi / 360!r})) * {tilemath.RADIUS!r} AS y
-  FROM (SELECT event_id, (event_id * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (event_id * 53 % 1700) / 10.0::DOUBLE - 85 AS lat FROM events) WHERE lon % 90 <> 0 AND lat <> 0)"""
+  FROM (SELECT event_id, (event_id * 37 % 3600) / 10.0::DOUBLE - 180 AS lon, (event_id * 53 % 1700) / 10.0::DOUBLE - 85 AS lat FROM events))"""
 _SIZE = tilemath.WORLD / 2.0**ZOOM
 
 
@@ -358,10 +358,16 @@ def tile_bounds(spark, sf_dir):
     return box.select("tilex", "tiley", *[F.round(c, 3).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")])
 
 
-@query(f"SELECT p_partkey, CAST(greatest(least(ceil(log2({tilemath.WORLD / 256!r} / scale) - 1e-9), 19), 0) AS INT) AS zoom FROM (SELECT p_partkey, CAST(p_partkey % 4000 + 1 AS DOUBLE) AS scale FROM part)")
+#: Scales on, above and below the pixel sizes of the zooms from 0 to 20, and others.
+_SCALE = "CASE WHEN p_partkey % 4 = 3 THEN CAST(p_partkey % 4000 + 1 AS DOUBLE) ELSE {world} / pow(2.0, p_partkey % 21) / 256 * CASE p_partkey % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 1.001 ELSE 0.999 END END"
+
+
+@query(f"""WITH sizes AS (SELECT i.range AS i, {_d(tilemath.WORLD)} / pow(2.0, i.range + 1) / 256 AS size FROM range(18) i),
+scales AS (SELECT p_partkey, {_SCALE.format(world=_d(tilemath.WORLD))} AS scale FROM part), found AS (SELECT p_partkey, coalesce((SELECT min(i) FROM sizes WHERE scale - size >= 0), 18) AS zoom FROM scales)
+SELECT p_partkey, CAST(zoom + 1 AS INT) AS zoom, CAST(zoom AS INT) AS lower FROM found""")
 def closest_zoomlevel(spark, sf_dir):
-    scale = (F.col("p_partkey") % 4000 + 1).cast("double")
-    return read(spark, sf_dir, "part").select("p_partkey", tilemath.closest_zoom(scale).alias("zoom"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.expr(_SCALE.format(world=f"{tilemath.WORLD!r}D")).alias("scale"))
+    return rows.select("p_partkey", tilemath.closest_zoom(F.col("scale")).alias("zoom"), tilemath.closest_zoom(F.col("scale"), False).alias("lower"))
 
 
 @query(f'{PIX} SELECT CAST(tilex // 3 AS INT) AS qx, CAST(tiley // 3 AS INT) AS qy, count(*) AS "count" FROM (SELECT DISTINCT tilex, tiley FROM pix) GROUP BY 1, 2')
@@ -473,7 +479,7 @@ def colormap_class_stats(spark, sf_dir):
 
 
 @query("""SELECT n_nationkey, CAST('0x' || substr(h, 1, 2) AS INT) AS r, CAST('0x' || substr(h, 3, 2) AS INT) AS g, CAST('0x' || substr(h, 5, 2) AS INT) AS b
-  FROM (SELECT n_nationkey, CASE n_nationkey % 4 WHEN 0 THEN repeat(d, 6) WHEN 1 THEN repeat('7' || d, 3) WHEN 2 THEN '11' || repeat(d, 2) || 'ff' ELSE '01a' || d || 'b2' END AS h FROM (SELECT *, printf('%x', n_nationkey % 16) AS d FROM nation))""")
+  FROM (SELECT n_nationkey, left(repeat(CASE n_nationkey % 4 WHEN 0 THEN d WHEN 1 THEN '7' || d WHEN 2 THEN '1' || d || 'f' ELSE '01a' || d || 'b2' END, 6), 6) AS h FROM (SELECT *, printf('%x', n_nationkey % 16) AS d FROM nation))""")
 def hex_to_rgba(spark, sf_dir):
     d, k = F.lower(F.hex(F.col("n_nationkey") % 16)), F.col("n_nationkey") % 4
     text = F.when(k == 0, d).when(k == 1, F.concat(F.lit("#7"), d)).when(k == 2, F.concat(F.lit("1"), d, F.lit("f"))).otherwise(F.concat(F.lit("#01a"), d, F.lit("b2")))

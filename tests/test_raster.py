@@ -39,12 +39,13 @@ def test_two_by_two_rasters(spark, formula, nodata, want):
     assert values(again) == got
 
 
+# Counts and statistics of a known layer that must come out.
 PIXELS = {0: 21741, 1: 695, 2: 56, 3: 4131, 4: 31490, 8: 1350, 9: 2977}
 
 
 @pytest.fixture(scope="module")
 def categorical(spark):
-    rows = spark.createDataFrame(list(PIXELS.items()), "value double, n int") if False else spark.createDataFrame([(float(k), v) for k, v in PIXELS.items()], "value double, n int")
+    rows = spark.createDataFrame([(float(k), v) for k, v in PIXELS.items()], "value double, n int")
     return rows.select("value", F.explode(F.sequence(F.lit(1), "n"))).select("value")
 
 
@@ -85,7 +86,56 @@ def test_rasterize_on_two_by_two(spark):
     assert burn(low, burn=99, add_to=F.col("base")) == [0, 1, 101, 102]
 
 
+def test_zooms_of_scales_on_and_beside_each_size(spark):
+    size = tilemath.tile_scale
+    for k in range(1, 19):
+        assert (tilemath.zoom_of_scale(size(k)), tilemath.zoom_of_scale(size(k), False)) == (k, k - 1)
+        assert tilemath.zoom_of_scale(size(k) * 0.999) == min(k + 1, 19) and tilemath.zoom_of_scale(size(k) * 1.001) == k
+    assert (tilemath.zoom_of_scale(size(0)), tilemath.zoom_of_scale(size(0) * 9, False), tilemath.zoom_of_scale(1e-9), tilemath.zoom_of_scale(1e-9, False)) == (1, 0, 19, 18)
+    scales = [size(k) * f for k in range(21) for f in (0.999, 1, 1.001)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(scales)], "i int, s double").orderBy("i")
+    for higher in (True, False):
+        assert [r[0] for r in rows.select(tilemath.closest_zoom(F.col("s"), higher)).collect()] == [tilemath.zoom_of_scale(s, higher) for s in scales]
+
+
+def test_dense_tiles_of_gaps_repeats_and_several_bands(spark):
+    rows = [(0, 0, 0, 1, 0, 5.0, 1.0), (0, 0, 0, 3, 3, None, 2.0), (0, 0, 0, 2, 1, 7.0, 3.0), (0, 0, 0, 2, 1, 6.0, 4.0), (0, 0, 0, 4, 0, 9.0, 9.0), (0, 1, 0, 0, 0, 8.0, 8.0)]
+    pixels = spark.createDataFrame(rows, "tilez int, tilex int, tiley int, px int, py int, a double, b double")
+    got = {r.tilex: (r.x, r.y) for r in layers.bands_from_pixels(pixels, 4, {"x": "a", "y": "b"}).collect()}
+    first, second = [None] * 16, [None] * 16
+    first[1], first[6], second[1], second[6], second[15] = 5.0, 6.0, 1.0, 4.0, 2.0
+    assert got == {0: (first, second), 1: ([8.0] + [None] * 15, [8.0] + [None] * 15)}
+    assert layers.tiles_from_pixels(pixels.limit(0), 4, value="a").count() == 0
+
+
+def test_a_whole_tile_of_the_default_size_is_built_in_linear_time(spark):
+    import time
+
+    side = 256
+    pixels = spark.range(side * side).where("id % 3 != 0").select(F.lit(0).alias("tilez"), F.lit(0).alias("tilex"), F.lit(0).alias("tiley"), (F.col("id") % side).cast("int").alias("px"),
+                                                                 F.floor(F.col("id") / side).cast("int").alias("py"), F.col("id").cast("double").alias("value"))
+    layers.tiles_from_pixels(pixels.limit(10), side).count()
+    begun = time.time()
+    (tile,) = layers.tiles_from_pixels(pixels, side).collect()
+    assert tile.data == [None if i % 3 == 0 else float(i) for i in range(side * side)] and time.time() - begun < 10
+
+
+def test_layers_of_one_table_are_never_joined(spark):
+    both = spark.createDataFrame([(0, 0, 0, [1.0, 2.0, 3.0, 0.0], [5.0, -1.0, 7.0, 8.0])], "tilez int, tilex int, tiley int, a array<double>, b array<double>")
+    made = evaluate_pixels({"x": Layer(both, 0.0, "a"), "y": Layer(both, -1.0, "b")}, "x + y", 2)
+    assert values(made) == [6.0, None, 10.0, None] and "Join" not in made._jdf.queryExecution().toString()
+
+
 def test_tile_arithmetic():
+    edge = tilemath.WORLD / 2**11
+    bbox = (552.0001 * edge - tilemath.HALF, tilemath.HALF - 860.99999 * edge, 555.00001 * edge - tilemath.HALF, tilemath.HALF - 857.99999 * edge)
+    assert tilemath.tile_index_range(bbox, 11) == (552, 857, 555, 860)
+    assert tilemath.tile_index_range(bbox, 11, 1e-3) == (552, 858, 554, 860) and tilemath.tile_index_range(bbox, 11, 2e-5) == (552, 858, 554, 860)
+    assert tilemath.nr_of_tiles(bbox, 11) == 16
+    assert tilemath.project_bbox((-10, 20, 30, 40), 4326, 3857) == pytest.approx((-1113194.9079, 2273030.9270, 3339584.7238, 4865942.2795))
+    assert tilemath.project(*tilemath.project(12.5, 41.9, 4326, 3857), 3857, 4326) == pytest.approx((12.5, 41.9))
+    with pytest.raises(RasterException):
+        tilemath.project_bbox((0, 0, 1, 1), 4326, 32610)
     assert tilemath.tile_index_range((-9218229 - 1, 3229269 - 1, -9218229 + 1, 3229269 + 1), 11)[:2] == (552, 858)
     assert tilemath.tile_scale(11) ** 2 * aggregate.ACRES == pytest.approx(1.44374266645)
     size = tilemath.WORLD / 2**8
@@ -98,9 +148,13 @@ def test_tile_arithmetic():
 
 
 def test_colours(spark):
-    assert colors.hex_to_rgba("#123456") == (18, 52, 86, 255) and colors.hex_to_rgba("f") == (255, 255, 255, 255) and colors.hex_to_rgba("abc", 7) == (170, 187, 204, 7)
-    with pytest.raises(RasterException):
-        colors.hex_to_rgba("abcd")
+    assert colors.hex_to_rgba("#123456") == (18, 52, 86, 255) and colors.hex_to_rgba("f") == (255, 255, 255, 255) and colors.hex_to_rgba("abc", 7) == (171, 202, 188, 7)
+    for wrong in ("abcd", "zz", "", "1-"):
+        with pytest.raises(RasterException):
+            colors.hex_to_rgba(wrong)
+    texts = ["#7", "a1", "##abc", "01A2b3", "abcd", "zz"]
+    got = [r[:3] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(*colors.hex_columns(F.col("t"))).collect()]
+    assert got == [colors.hex_to_rgba(t)[:3] for t in texts[:4]] + [(None, None, None)] * 2
     norms = spark.createDataFrame([(0.0,), (0.5,), (1.0,)], "n double")
     assert [r[0] for r in norms.select(colors.channel(F.col("n"), 50, 40)).collect()] == [50, 45, 40]
     assert [r[0] for r in norms.select(colors.channel(F.col("n"), 0, 40, 10)).collect()] == [0, 10, 40]
