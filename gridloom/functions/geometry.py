@@ -1,26 +1,42 @@
-"""Point in polygon and box tests as Columns; rings are literal lists of (x, y)."""
+"""Point in polygon and box tests as Columns.
+
+A shape is a literal ring, a list of (x, y), or a list of rings; rings inside
+others are holes, and parts may lie apart (even-odd rule). Tables of polygons
+hold arrays of rings and are joined by ``zones_of_pixels``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 Ring = list[tuple[float, float]]
+Shape = Ring | list[Ring]
+
 
+def rings_of(shape: Shape) -> list[Ring]:
+    return [shape] if shape and isinstance(shape[0][0], (int, float)) else shape
 
-def _sides(ring: Ring) -> list[tuple[tuple[float, float], tuple[float, float]]]:
-    return list(zip(ring, ring[1:] + ring[:1], strict=True))
 
+def _sides(shape: Shape) -> list[tuple[tuple[float, float], tuple[float, float]]]:
+    return [side for ring in rings_of(shape) for side in zip(ring, ring[1:] + ring[:1], strict=True)]
 
-def bbox(ring: Ring) -> tuple[float, float, float, float]:
-    xs, ys = zip(*ring, strict=True)
+
+def bbox(shape: Shape) -> tuple[float, float, float, float]:
+    xs, ys = zip(*(point for ring in rings_of(shape) for point in ring), strict=True)
     return min(xs), min(ys), max(xs), max(ys)
 
 
-def in_ring(x: Column, y: Column, ring: Ring) -> Column:
-    """Whether a point lies in the ring: the parity of sides that a ray to the right crosses."""
+def moved(shape: Shape, to: Callable[[float, float], tuple[float, float]]) -> list[Ring]:
+    """The rings of a shape with every point put through ``to``."""
+    return [[to(x, y) for x, y in ring] for ring in rings_of(shape)]
+
+
+def in_ring(x: Column, y: Column, ring: Shape) -> Column:
+    """Whether a point lies in the shape: the parity of sides that a ray to the right crosses."""
     crossed = [F.when(((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < F.lit(x1) + (y - y1) * ((x2 - x1) / (y2 - y1))), 1).otherwise(0)
                for (x1, y1), (x2, y2) in _sides(ring) if y1 != y2]
     xmin, ymin, xmax, ymax = bbox(ring)
@@ -37,19 +53,19 @@ def side_meets_box(x: Column, y: Column, side) -> Column:
     return overlap & (F.least(*corners) <= 0) & (F.greatest(*corners) >= 0)
 
 
-def burned(gx: Column, gy: Column, ring: Ring, all_touched: bool = False) -> Column:
+def burned(gx: Column, gy: Column, ring: Shape, all_touched: bool = False) -> Column:
     """Whether a pixel of the global grid is covered: its centre, or with ``all_touched`` any part of it."""
     inside = in_ring(gx + 0.5, gy + 0.5, ring)
     return reduce(lambda a, b: a | b, [side_meets_box(gx, gy, s) for s in _sides(ring)], inside) if all_touched else inside
 
 
-def rasterize(gx: Column, gy: Column, ring: Ring, burn: float = 1, all_touched: bool = False, add_to: Column | None = None) -> Column:
+def rasterize(gx: Column, gy: Column, ring: Shape, burn: float = 1, all_touched: bool = False, add_to: Column | None = None) -> Column:
     """Burn value where covered and 0 elsewhere, or the base plus the burn value."""
     mask = F.when(burned(gx, gy, ring, all_touched), float(burn)).otherwise(0.0)
     return mask if add_to is None else add_to + mask
 
 
-def index_box(ring: Ring, tile_size: int) -> tuple[int, int, int, int]:
+def index_box(ring: Shape, tile_size: int) -> tuple[int, int, int, int]:
     """Tiles that a ring in grid units can touch, as a predicate for tile scans."""
     xmin, ymin, xmax, ymax = bbox(ring)
     return int(xmin // tile_size), int(ymin // tile_size), int(xmax // tile_size), int(ymax // tile_size)
@@ -57,3 +73,34 @@ def index_box(ring: Ring, tile_size: int) -> tuple[int, int, int, int]:
 
 def in_box(tilex: Column, tiley: Column, box: tuple[int, int, int, int]) -> Column:
     return tilex.between(box[0], box[2]) & tiley.between(box[1], box[3])
+
+
+def zones_of_tiles(polygons: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
+    """Each tile beside each polygon (polygon_id, rings) whose box meets it, with both tables' other columns.
+
+    Rings hold structs x, y in pixels of the tiles' zoom. Polygons are opened to
+    the tiles of their boxes and meet tiles by equality of indexes.
+    """
+    numbers = lambda c: F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[c])))
+    span = lambda c: F.sequence(F.floor(F.array_min(numbers(c)) / tile_size).cast("int"), F.floor(F.array_max(numbers(c)) / tile_size).cast("int"))
+    opened = polygons.where(F.size(numbers("x")) > 0).withColumn("tilex", F.explode(span("x"))).withColumn("tiley", F.explode(span("y")))
+    return opened.join(tiles, ["tilex", "tiley"])
+
+
+def in_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Whether a point lies in the polygon of a column of rings, by the parity of crossed sides."""
+    def crossed(ring: Column) -> Column:
+        after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+        meets = lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < a["x"] + (y - a["y"]) * ((b["x"] - a["x"]) / F.when(b["y"] != a["y"], b["y"] - a["y"])))
+        return F.aggregate(F.zip_with(ring, after, meets), F.lit(0), lambda n, hit: n + F.coalesce(hit, F.lit(False)).cast("int"))
+
+    return F.aggregate(F.transform(rings, crossed), F.lit(0), lambda n, m: n + m) % 2 == 1
+
+
+def zonal_count(polygons: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
+    """polygon_id, value, count of the pixels whose centres lie in each polygon; nodata does not count."""
+    met = zones_of_tiles(polygons.select("polygon_id", "rings"), tiles.select("tilex", "tiley", "data"), tile_size)
+    pixels = met.select("polygon_id", "rings", "tilex", "tiley", F.posexplode("data").alias("pos", "value")).where("value is not null")
+    gx, gy = F.col("tilex") * tile_size + F.col("pos") % tile_size, F.col("tiley") * tile_size + F.floor(F.col("pos") / tile_size)
+    inside = pixels.where(in_rings(gx + 0.5, gy + 0.5, F.col("rings")))
+    return inside.groupBy("polygon_id", "value").agg(F.count("*").alias("count"))

@@ -7,11 +7,14 @@ is gathered in one place.
 from __future__ import annotations
 
 import json
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import RasterAggregationException
+from gridloom.functions import geometry
+from gridloom.functions.tilemath import HALF, project, tile_scale
 from gridloom.operators.algebra import evaluate_pixels
 from gridloom.operators.layers import Layer
 from gridloom.plans.formula import Value, compile_formula
@@ -93,6 +96,22 @@ def in_acres(counts: DataFrame, scale_x: float, scale_y: float) -> DataFrame:
     return counts.withColumn("count", F.col("count") * F.lit(abs(scale_x * scale_y) * ACRES))
 
 
+def lowest_zoom(layers: dict[str, Layer]) -> int:
+    """The lowest of the layers' highest zooms; -1 if a layer has no tile."""
+    tables = {id(layer.tiles): layer.tiles for layer in layers.values()}
+    tops = [table.agg(F.max("tilez")).first()[0] for table in tables.values()]
+    return min(-1 if top is None else top for top in tops)
+
+
+def layer_value_count(layer: Layer, tile_size: int, datatype: str = "ca", zoom: int | None = None, geom: geometry.Shape | None = None, area: bool = False) -> DataFrame:
+    """value, count of one layer of categories or masks; with ``area`` square metres of pixels."""
+    if datatype not in ("ca", "ma"):
+        raise TypeError(f"Values of a layer of type {datatype!r} cannot be counted, only those of categories and masks.")
+    one = Aggregator({"a": layer}, "a", tile_size, grouping="discrete", zoom=zoom, geom=geom, all_touched=False, acres=False)
+    counts = one.value_count()
+    return counts.withColumn("count", F.col("count") * F.lit(tile_scale(one.zoom, tile_size) ** 2)) if area else counts
+
+
 def statistics(pixels: DataFrame, hist_range: tuple[float, float] | None = None) -> DataFrame:
     """min, max, mean, std (of the population) and the moments t0, t1, t2 they rest on; NULLs without pixels."""
     value = F.col("value")
@@ -108,22 +127,49 @@ def moments(sums: DataFrame) -> DataFrame:
 
 
 class Aggregator:
-    """One formula over aligned layers, counted in the ways the grouping names.
-
-    ``grouping`` is auto, discrete, continuous, or a legend as JSON or list.
-    ``mask`` is a condition on tilez, tilex, tiley, px, py that clips pixels.
+    """One formula over aligned layers at one zoom, counted in the ways the grouping names.
+
+    ``grouping`` is auto, discrete, continuous, a legend as JSON or list, or the
+    id of one in ``legends`` (legend_id, json). ``zoom`` defaults to the lowest
+    of the layers' highest zooms. ``geom`` clips: a ring or list of rings in
+    EPSG:3857, or in ``srid``; with ``all_touched`` a pixel counts if any part of
+    it is covered, else if its centre is. Clipped counts are acres if ``acres``
+    is set. ``mask`` is a further condition on tilez, tilex, tiley, px, py.
     """
 
     def __init__(self, layers: dict[str, Layer], formula: str, tile_size: int, datatypes: list[str] | None = None, grouping="auto",
-                 mask: Column | None = None, hist_range: tuple[float, float] | None = None, pixel_scale: tuple[float, float] | None = None):
-        self.pixels = evaluate_pixels(layers, formula, tile_size)
-        if mask is not None:
-            self.pixels = self.pixels.where(mask)
-        if isinstance(grouping, int) or isinstance(grouping, str) and grouping not in ("auto", "discrete", "continuous") and not grouping.lstrip().startswith("["):
-            raise RasterAggregationException(f"Unknown grouping {grouping!r}; a legend is given by its entries.")
-        self.grouping = grouping_of(datatypes or ["co"]) if grouping == "auto" else grouping
+                 mask: Column | None = None, hist_range: tuple[float, float] | None = None, pixel_scale: tuple[float, float] | None = None,
+                 zoom: int | None = None, geom: geometry.Shape | None = None, srid: int = 3857, all_touched: bool = True, acres: bool = True, legends: DataFrame | None = None):
+        self.grouping = self._grouping(grouping, datatypes, legends)
+        self.zoom = lowest_zoom(layers) if zoom is None else zoom
         self.hist_range = hist_range
+        at = F.col("tilez") == self.zoom
         self.pixel_scale = pixel_scale if mask is not None else None
+        if geom is not None:
+            scale = tile_scale(self.zoom, tile_size)
+            shape = geometry.moved(geom, lambda x, y: project(x, y, srid, 3857))
+            shape = geometry.moved(shape, lambda x, y: ((x + HALF) / scale, (HALF - y) / scale))
+            at = at & geometry.in_box(F.col("tilex"), F.col("tiley"), geometry.index_box(shape, tile_size))
+            inside = geometry.burned(F.col("tilex") * tile_size + F.col("px"), F.col("tiley") * tile_size + F.col("py"), shape, all_touched)
+            mask = inside if mask is None else mask & inside
+            self.pixel_scale = (scale, scale) if acres else pixel_scale
+        tables = {id(layer.tiles): layer.tiles.where(at) for layer in layers.values()}
+        self.pixels = evaluate_pixels({n: replace(layer, tiles=tables[id(layer.tiles)]) for n, layer in layers.items()}, formula, tile_size)
+        if mask is not None:
+            self.pixels = self.pixels.where(mask)
+
+    @staticmethod
+    def _grouping(grouping, datatypes: list[str] | None, legends: DataFrame | None):
+        if grouping == "auto":
+            return grouping_of(datatypes or ["co"])
+        if isinstance(grouping, int) or isinstance(grouping, str) and grouping.isdigit():
+            found = legends.where(F.col("legend_id") == int(grouping)).select("json").first() if legends is not None else None
+            if found is None:
+                raise RasterAggregationException(f"There is no legend {grouping}.")
+            return found[0]
+        if isinstance(grouping, str) and grouping not in ("discrete", "continuous"):
+            legend_classes(grouping)
+        return grouping
 
     def value_count(self) -> DataFrame:
         if self.grouping == "discrete":

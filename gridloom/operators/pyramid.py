@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULTS
-from gridloom.errors import RasterException
+from gridloom.errors import RasterAlgebraException
 from gridloom.operators.aggregate import edges, histogram
 from gridloom.operators.layers import drop_empty, drop_nodata, tiles_from_pixels
 
@@ -63,8 +63,8 @@ def band_histogram(raw: DataFrame, bins: int = 100) -> DataFrame:
 def mosaic(tiles: DataFrame, box: tuple[int, int, int, int], zoom: int, tile_size: int) -> DataFrame:
     """gx, gy, value of one raster over an index box; what no tile covers is 0."""
     xmin, ymin, xmax, ymax = box
-    if (xmax - xmin) * (ymax - ymin) * tile_size**2 > DEFAULTS.export_max_pixels:
-        raise RasterException("Export raster too large.")
+    if (xmax - xmin + 1) * (ymax - ymin + 1) * tile_size**2 > DEFAULTS.export_max_pixels:
+        raise RasterAlgebraException(f"The mosaic has more than {DEFAULTS.export_max_pixels} pixels.")
     spark = tiles.sparkSession
     columns, rows = xmax - xmin + 1, ymax - ymin + 1
     cells = spark.range(columns * rows).select((F.col("id") % columns + xmin).cast("int").alias("tilex"), (F.floor(F.col("id") / columns) + ymin).cast("int").alias("tiley"))

@@ -29,7 +29,7 @@ def tokens(formula: str) -> list[str]:
     """Tokens of a formula; white space means nothing, even inside names."""
     text = re.sub(r"\s+", "", formula or "")
     if not text:
-        raise RasterAlgebraException("Formula not specified.")
+        raise RasterAlgebraException("There is no formula.")
     found, at = [], 0
     while at < len(text):
         match = TOKEN.match(text, at)
@@ -229,7 +229,7 @@ class PixelScope:
         try:
             return Value(F.lit(float(name)))
         except ValueError:
-            raise RasterAlgebraException(f'Found an undeclared variable "{name}" in formula.') from None
+            raise RasterAlgebraException(f"The formula uses {name!r}, but no layer has that name.") from None
 
     def reduce(self, name: str, tree: tuple) -> Value:
         if self.tile is None:
@@ -301,14 +301,14 @@ def compile_tree(tree: tuple, scope: PixelScope) -> Value:
         if tree[1] in ("TRUE", "FALSE"):
             return Value(F.lit(tree[1] == "TRUE"), "bool")
         if tree[1] == "NULL":
-            raise RasterAlgebraException('NULL can only be used with "==" or "!=" operators.')
+            raise RasterAlgebraException("NULL stands beside == and != only.")
         return Value(F.lit(CONSTANTS[tree[1]])) if tree[1] in CONSTANTS else scope.variable(tree[1])
     if kind == "call":
         name, inner = tree[1:]
         if name in REDUCERS:
             return scope.reduce(name, inner)
         if name not in FUNCTIONS:
-            raise RasterAlgebraException(f'Found an undeclared function "{name}" in formula.')
+            raise RasterAlgebraException(f"The formula calls {name!r}, which is no function.")
         return FUNCTIONS[name](compile_tree(inner, scope))
     if kind == "unary":
         return unary(tree[1], compile_tree(tree[2], scope))
@@ -316,7 +316,7 @@ def compile_tree(tree: tuple, scope: PixelScope) -> Value:
     null = ("name", "NULL")
     if null in (left, right):
         if op not in ("==", "!="):
-            raise RasterAlgebraException('NULL can only be used with "==" or "!=" operators.')
+            raise RasterAlgebraException("NULL stands beside == and != only.")
         if left == right:
             raise RasterAlgebraException("NULL is compared with itself.")
         value = compile_tree(left if right == null else right, scope)

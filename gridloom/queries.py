@@ -19,6 +19,7 @@ from gridloom.functions import colors, geometry, tilemath
 from gridloom.operators import aggregate, catalog, layers, pyramid
 from gridloom.operators.algebra import evaluate_pixels, evaluate_tiles
 from gridloom.operators.layers import TILE, Layer
+from gridloom.sources import ingest, tilestore
 
 TS, ZOOM, SIDE = 16, 2, 64
 BOX: geometry.Ring = [(8, 8), (24, 8), (24, 40), (8, 40)]
@@ -179,11 +180,11 @@ def a_pixels(spark, sf_dir, formula: str = "a") -> DataFrame:
 
 @query(f'{PIX} SELECT a AS value, count(*) AS "count" FROM pix WHERE a IS NOT NULL GROUP BY a')
 def value_count_discrete(spark, sf_dir):
-    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, ["ca"]).value_count()
+    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, ["ca"], zoom=ZOOM).value_count()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a * (a > 2)", TS, grouping="discrete").value_count()
+    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a * (a > 2)", TS, grouping="discrete", zoom=ZOOM).value_count()
 
 
 @query(f'{PIX} SELECT v AS value, count(*) AS "count" FROM (SELECT a * CAST(a > 2 AS DOUBLE) AS v FROM pix) WHERE abs(v) > 1e-8 GROUP BY v')
@@ -204,12 +205,12 @@ SELECT bin, low, high, (SELECT count(*) FROM v WHERE v >= low AND (v < high OR b
 
 @query(_histogram_sql("q", "(SELECT min(q) FROM pix)", "(SELECT max(q) FROM pix)"))
 def value_count_continuous(spark, sf_dir):
-    return aggregate.Aggregator({"q": layer(spark, sf_dir, "qty", -1.0)}, "q", TS, ["co"]).value_count()
+    return aggregate.Aggregator({"q": layer(spark, sf_dir, "qty", -1.0)}, "q", TS, ["co"], zoom=ZOOM).value_count()
 
 
 @query(_histogram_sql("q", "100.0::DOUBLE", "400.0::DOUBLE"))
 def value_count_hist_range(spark, sf_dir):
-    return aggregate.Aggregator({"q": layer(spark, sf_dir, "qty", -1.0)}, "q", TS, grouping="continuous", hist_range=(100.0, 400.0)).value_count()
+    return aggregate.Aggregator({"q": layer(spark, sf_dir, "qty", -1.0)}, "q", TS, grouping="continuous", hist_range=(100.0, 400.0), zoom=ZOOM).value_count()
 
 
 def _legend_sql(entries: list[tuple[str, str]]) -> str:
@@ -218,12 +219,12 @@ def _legend_sql(entries: list[tuple[str, str]]) -> str:
 
 @query(_legend_sql([("two", "a = 2"), ("mid", "a >= 2 AND a < 5"), ("none", "a = 10")]))
 def value_count_legend(spark, sf_dir):
-    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping=LEGEND).value_count()
+    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping=LEGEND, zoom=ZOOM).value_count()
 
 
 @query(_legend_sql([("over1", "a > 1"), ("over3", "a > 3")]))
 def value_count_legend_overlap(spark, sf_dir):
-    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping=json.dumps(OVERLAP)).value_count()
+    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping=json.dumps(OVERLAP), zoom=ZOOM).value_count()
 
 
 def global_xy() -> tuple[Column, Column]:
@@ -243,7 +244,7 @@ def _inside(ring: geometry.Ring, x: str = "gx + 0.5", y: str = "gy + 0.5") -> st
 def clipped(spark, sf_dir, ring: geometry.Ring, grouping: str = "discrete", acres: bool = False) -> DataFrame:
     one = layer(spark, sf_dir, "cnt", 0.0)
     near = Layer(one.tiles.where(geometry.in_box(F.col("tilex"), F.col("tiley"), geometry.index_box(ring, TS))), one.nodata)
-    return aggregate.Aggregator({"a": near}, "a", TS, grouping=grouping, mask=geometry.burned(*global_xy(), ring), pixel_scale=(PIXEL_AREA, PIXEL_AREA) if acres else None).value_count()
+    return aggregate.Aggregator({"a": near}, "a", TS, grouping=grouping, mask=geometry.burned(*global_xy(), ring), pixel_scale=(PIXEL_AREA, PIXEL_AREA) if acres else None, zoom=ZOOM).value_count()
 
 
 for _ring_name, _ring in (("box", BOX), ("triangle", TRIANGLE), ("tiny", TINY), ("outside", OUTSIDE)):
@@ -541,6 +542,138 @@ def layer_zoom_and_pixelsize(spark, sf_dir):
     return catalog.zoom_and_pixelsize(layer(spark, sf_dir, "cnt", 0.0).tiles, TS)
 
 
+@query(f"{PIX} SELECT 0 AS band, gx, gy, raw AS value FROM pix WHERE raw IS NOT NULL UNION ALL SELECT 1, gx, gy, q FROM pix WHERE q IS NOT NULL")
+def write_read_tiles(spark, sf_dir):
+    """Two bands of a layer written as a tile table, one after the other, and read again."""
+    path = tilestore.scratch(spark, "tiles")
+    both = cnt_qty(spark, sf_dir)
+    for band, one in enumerate(both.values()):
+        pyramid.write_tiles(one.tiles.select(*TILE, F.col(one.column).alias("data")), path, 7, band)
+    opened = [layers.pixels_from_tiles(tilestore.read_tiles(spark, path, 7, band, ZOOM), TS).select(F.lit(band).alias("band"), *TILE, "px", "py", "value") for band in (0, 1)]
+    return placed(opened[0].unionByName(opened[1]).where("value is not null"), "band").select("band", "gx", "gy", "value")
+
+
+#: The grid as a raster in degrees: upper left corner, pixel size, and the zoom that fits.
+DEGREES = ingest.Source(SIDE, SIDE, (-10.0, 62.0), (0.5, -0.5), 4326)
+_TOP = DEGREES.max_zoom(tile_size=TS)
+_BOX = tilemath.tile_index_range(DEGREES.extent(), _TOP, 1e-6)
+_METRES = tilemath.tile_scale(_TOP, TS)
+_SNAPPED = f"""{PIX}, target AS (SELECT x.range AS tx, y.range AS ty, (x.range + 0.5::DOUBLE) * {_d(_METRES)} - {_d(tilemath.HALF)} AS x, {_d(tilemath.HALF)} - (y.range + 0.5::DOUBLE) * {_d(_METRES)} AS y
+  FROM range({_BOX[0] * TS}, {(_BOX[2] + 1) * TS}) x, range({_BOX[1] * TS}, {(_BOX[3] + 1) * TS}) y),
+found AS (SELECT tx, ty, CAST(floor((x * {_d(180 / tilemath.HALF)} + 10) / 0.5) AS INT) AS gx, CAST(floor(((atan(exp(y / {_d(tilemath.RADIUS)})) * 2 - pi() / 2) * {_d(180 / math.pi)} - 62) / -0.5) AS INT) AS gy FROM target),
+snapped AS (SELECT tx, ty, raw AS value FROM found JOIN pix USING (gx, gy) WHERE raw IS NOT NULL)"""
+
+
+@query(f"""{_SNAPPED}, lv AS (SELECT CAST(z.range AS INT) AS z, CAST(pow(2, {_TOP} - z.range) AS INT) AS r FROM range({_TOP + 1}) z)
+SELECT z AS tilez, CAST(tx // r AS INT) AS x, CAST(ty // r AS INT) AS y, value FROM snapped, lv WHERE tx % r = r // 2 AND ty % r = r // 2 AND abs(value) > 1e-8""")
+def ingest_pyramid(spark, sf_dir):
+    """A raster in degrees, projected, snapped to the tile grid and tiled over all zooms."""
+    tiles = ingest.pyramid_of(source_grid(spark, sf_dir, "cnt"), DEGREES, _TOP, TS, 0.0)
+    rows = layers.pixels_from_tiles(tiles, TS).where("value is not null")
+    return rows.select("tilez", (F.col("tilex") * TS + F.col("px")).cast("int").alias("x"), (F.col("tiley") * TS + F.col("py")).cast("int").alias("y"), "value")
+
+
+@query(f"""{PIX} SELECT 9 AS layer_id, 5 AS state, {_TOP} AS max_zoom, {SIDE} AS width, {SIDE} AS height, 4326 AS srid, min(raw) AS min, max(raw) AS max, round(avg(raw), 6) AS mean, round(stddev_pop(raw), 6) AS std
+  FROM (SELECT CASE WHEN abs(raw) > 1e-8 THEN raw END AS raw FROM pix)""")
+def ingest_status(spark, sf_dir):
+    """The whole ingest of a raster: its last state, metadata and band statistics."""
+    store = tilestore.scratch(spark, "ingest")
+    rows = source_grid(spark, sf_dir, "cnt").withColumns({"band": F.lit(0), "nodata": F.lit(0.0), "origin_x": F.lit(-10.0), "origin_y": F.lit(62.0), "scale_x": F.lit(0.5), "scale_y": F.lit(-0.5)})
+    ingest.ingest(spark, 9, rows, store, srid=4326, build_pyramid=False, tile_size=TS)
+    meta, band = spark.read.parquet(f"{store}/metadata"), spark.read.parquet(f"{store}/bands")
+    joined = ingest.parse_status(spark, store).join(meta, "layer_id").join(band.drop("band"), "layer_id")
+    return joined.select("layer_id", "state", "max_zoom", "width", "height", "srid", "min", "max", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+#: Polygons around each nation's place on the grid: a box with a hole, and a triangle apart from it.
+def _zones(spark, sf_dir) -> DataFrame:
+    point = lambda dx, dy: F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ring = lambda *points: F.array(*[point(*p) for p in points])
+    placed_ = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("polygon_id"), (F.col("n_nationkey") * 7 % 50).cast("double").alias("x"), (F.col("n_nationkey") * 11 % 45).cast("double").alias("y"))
+    return placed_.select("polygon_id", F.array(*[ring(*r) for r in _ZONE]).alias("rings"))
+
+
+_ZONE = [[(0.2, 0.2), (9.7, 0.2), (9.7, 8.4), (0.2, 8.4)], [(3.1, 2.2), (6.6, 2.2), (6.6, 5.9), (3.1, 5.9)], [(10.3, 1.1), (15.2, 9.7), (10.3, 14.6)]]
+
+
+def _zone_sql(x: str, y: str) -> str:
+    sides = [side for ring in _ZONE for side in zip(ring, ring[1:] + ring[:1], strict=True)]
+    return "(" + " + ".join(f"CAST((({y1} + zy) > {y}) <> (({y2} + zy) > {y}) AND {x} < ({x1} + zx) + ({y} - ({y1} + zy)) * ((({x2} + zx) - ({x1} + zx)) / (({y2} + zy) - ({y1} + zy))) AS INT)"
+                            for (x1, y1), (x2, y2) in ((tuple(map(_d, p)), tuple(map(_d, q))) for p, q in sides) if y1 != y2) + ") % 2 = 1"
+
+
+@query(f"""{PIX}, zones AS (SELECT n_nationkey AS polygon_id, CAST(n_nationkey * 7 % 50 AS DOUBLE) AS zx, CAST(n_nationkey * 11 % 45 AS DOUBLE) AS zy FROM nation)
+SELECT polygon_id, raw AS value, count(*) AS "count" FROM pix, zones WHERE raw IS NOT NULL AND {_zone_sql('(gx + 0.5::DOUBLE)', '(gy + 0.5::DOUBLE)')} GROUP BY 1, 2""")
+def zonal_value_count(spark, sf_dir):
+    """Counts of values in each polygon of a table, with holes and parts that lie apart."""
+    return geometry.zonal_count(_zones(spark, sf_dir), layer(spark, sf_dir, "cnt", None).tiles, TS)
+
+
+def _metres(ring: geometry.Ring) -> geometry.Shape:
+    return geometry.moved(ring, lambda x, y: (x * PIXEL_AREA - tilemath.HALF, tilemath.HALF - y * PIXEL_AREA))
+
+
+@query(f'{PIX} SELECT a AS value, round(count(*) * {abs(PIXEL_AREA * PIXEL_AREA) * aggregate.ACRES!r}::DOUBLE, 3) AS "count" FROM pix WHERE a IS NOT NULL AND {_touched(TRIANGLE)} GROUP BY a')
+def value_count_geom_all_touched(spark, sf_dir):
+    """A geometry in metres: every pixel that it touches, in acres."""
+    made = aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping="discrete", zoom=ZOOM, geom=_metres(TRIANGLE))
+    return made.value_count().withColumn("count", F.round("count", 3))
+
+
+@query(_legend_sql([("two", "a = 2"), ("mid", "a >= 2 AND a < 5"), ("none", "a = 10")]))
+def value_count_legend_id(spark, sf_dir):
+    legends = spark.createDataFrame([(1, json.dumps(OVERLAP)), (2, json.dumps(LEGEND))], "legend_id int, json string")
+    return aggregate.Aggregator({"a": layer(spark, sf_dir, "cnt", 0.0)}, "a", TS, grouping="2", zoom=ZOOM, legends=legends).value_count()
+
+
+@query(f'{PIX} SELECT a AS value, round(count(*) * {_d(PIXEL_AREA * PIXEL_AREA)}, 1) AS "count" FROM pix WHERE a IS NOT NULL AND {_inside(BOX)} GROUP BY a')
+def layer_value_count_area(spark, sf_dir):
+    got = aggregate.layer_value_count(layer(spark, sf_dir, "cnt", 0.0), TS, "ca", ZOOM, _metres(BOX), area=True)
+    return got.withColumn("count", F.round("count", 1))
+
+
+#: A grid of tiles of the default size that grows with the table: parts by orders.
+WIDE_ZOOM = 12
+
+
+def wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ts = tilemath.DEFAULTS.tile_size
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_partkey") / 4).cast("int").alias("gx"), F.floor(F.col("l_orderkey") / 32).cast("int").alias("gy")).agg(
+        (F.count("*") % 5).cast("double").alias("cnt"), F.sum("l_quantity").cast("double").alias("qty"))
+    return cells.select(F.lit(WIDE_ZOOM).alias("tilez"), F.floor(F.col("gx") / ts).cast("int").alias("tilex"), F.floor(F.col("gy") / ts).cast("int").alias("tiley"), (F.col("gx") % ts).alias("px"), (F.col("gy") % ts).alias("py"), "gx", "gy", "cnt", "qty")
+
+
+_WIDE = "WITH cells AS (SELECT l_partkey // 4 AS gx, l_orderkey // 32 AS gy, CAST(count(*) % 5 AS DOUBLE) AS cnt, CAST(sum(l_quantity) AS DOUBLE) AS qty FROM lineitem GROUP BY 1, 2)"
+
+
+def wide_layers(spark, sf_dir) -> dict[str, Layer]:
+    tiles = layers.bands_from_pixels(wide(spark, sf_dir), tilemath.DEFAULTS.tile_size, {"cnt": "cnt", "qty": "qty"})
+    return {"a": Layer(tiles, 0.0, "cnt"), "q": Layer(tiles, -1.0, "qty")}
+
+
+@query(f'{_WIDE} SELECT cnt * (CASE WHEN qty > 30 THEN 1 ELSE 0 END) AS value, count(*) AS "count" FROM cells WHERE cnt > 0 AND qty > 30 GROUP BY 1')
+def wide_value_count(spark, sf_dir):
+    """Value counts of a formula over tiles of 256 pixels."""
+    return aggregate.value_count(evaluate_pixels(wide_layers(spark, sf_dir), "a * (q > 30)", tilemath.DEFAULTS.tile_size))
+
+
+@query(f'{_WIDE} SELECT CAST(gx // 256 AS INT) AS tilex, CAST(gy // 256 AS INT) AS tiley, round(sum(v), 3) AS total, count(*) AS pixels FROM (SELECT gx, gy, cnt * 2 + qty / 4 - 1 AS v FROM cells WHERE cnt > 0) WHERE abs(v) > 1e-8 GROUP BY 1, 2')
+def wide_tiles_arith(spark, sf_dir):
+    """Whole-array algebra over tiles of 256 pixels."""
+    tiles = evaluate_tiles(wide_layers(spark, sf_dir), "a * 2 + q / 4 - 1")
+    there = F.filter("data", lambda v: v.isNotNull())
+    return tiles.select("tilex", "tiley", there.alias("v")).where(F.size("v") > 0).select("tilex", "tiley", F.round(F.aggregate("v", F.lit(0.0), lambda s, v: s + v), 3).alias("total"), F.size("v").cast("long").alias("pixels"))
+
+
+@query(f"""{_WIDE}, lv AS (SELECT CAST(z.range AS INT) AS z, CAST(pow(2, {WIDE_ZOOM} - z.range) AS INT) AS r FROM range({WIDE_ZOOM + 1}) z)
+SELECT z AS tilez, count(*) AS pixels, sum(qty) AS total FROM cells, lv WHERE gx % r = r // 2 AND gy % r = r // 2 GROUP BY 1""")
+def wide_pyramid(spark, sf_dir):
+    """A pyramid of tiles of 256 pixels over thirteen zooms."""
+    source = wide(spark, sf_dir).select("gx", "gy", F.col("qty").alias("value"))
+    pixels = layers.pixels_from_tiles(pyramid.create_tiles(source, WIDE_ZOOM, tilemath.DEFAULTS.tile_size, -1.0), tilemath.DEFAULTS.tile_size).where("value is not null")
+    return pixels.groupBy("tilez").agg(F.count("*").alias("pixels"), F.sum("value").alias("total"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

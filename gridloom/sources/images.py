@@ -5,16 +5,19 @@ from __future__ import annotations
 import io
 import re
 import struct
+import unicodedata
 import zipfile
 import zlib
 from collections.abc import Iterator
 from datetime import datetime
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gridloom.functions.colors import Color
+from gridloom.functions import tilemath
 
 
 def encode_png(rgba: np.ndarray) -> bytes:
@@ -31,22 +34,26 @@ def encode_png(rgba: np.ndarray) -> bytes:
 def encode_tiff(bands: list[np.ndarray], origin: tuple[float, float], scale: tuple[float, float], nodata: float | None = None) -> bytes:
     """A GeoTIFF of doubles, one deflated strip for each band."""
     height, width = bands[0].shape
-    strips = [zlib.compress(b.astype("<f8").tobytes()) for b in bands]
-    n = len(bands)
-    wanted = [(256, "I", [width]), (257, "I", [height]), (258, "H", [64] * n), (259, "H", [8]), (262, "H", [1]), (273, "I", None), (277, "H", [n]), (278, "I", [height]),
-              (279, "I", [len(s) for s in strips]), (284, "H", [2]), (339, "H", [3] * n), (33550, "d", [scale[0], abs(scale[1]), 0.0]), (33922, "d", [0.0, 0.0, 0.0, *origin, 0.0])]
+    return tiff_of_strips([[zlib.compress(b.astype("<f8").tobytes())] for b in bands], width, height, height, origin, scale, nodata)
+
+
+def tiff_of_strips(bands: list[list[bytes]], width: int, height: int, rows: int, origin: tuple[float, float], scale: tuple[float, float], nodata: float | None = None) -> bytes:
+    """A GeoTIFF of doubles from deflated strips of ``rows`` rows each, band after band."""
+    n, strips = len(bands), [strip for band in bands for strip in band]
+    wanted = [(256, "I", [width]), (257, "I", [height]), (258, "H", [64] * n), (259, "H", [8]), (262, "H", [1]), (273, "I", None), (277, "H", [n]), (278, "I", [rows]),
+              (279, "I", [len(s) for s in strips]), (284, "H", [2 if n > 1 else 1]), (339, "H", [3] * n), (33550, "d", [scale[0], abs(scale[1]), 0.0]), (33922, "d", [0.0, 0.0, 0.0, *origin, 0.0])]
     text = b"" if nodata is None else f"{nodata!r}\0".encode()
     entries = len(wanted) + bool(text)
     free = 8 + 2 + 12 * entries + 4
-    sizes = {t: struct.calcsize(f"<{len(v) if v else n}{k}") for t, k, v in wanted}
+    sizes = {t: struct.calcsize(f"<{len(v) if v else len(strips)}{k}") for t, k, v in wanted}
     data_at = free + sum(s for s in sizes.values() if s > 4) + (len(text) if len(text) > 4 else 0)
-    starts = [data_at + sum(map(len, strips[:i])) for i in range(n)]
+    starts = [data_at + sum(map(len, strips[:i])) for i in range(len(strips))]
     head, tail = b"II*\0" + struct.pack("<IH", 8, entries), b""
     for tag, kind, values in wanted:
-        raw = struct.pack(f"<{n if values is None else len(values)}{kind}", *(starts if values is None else values))
+        raw = struct.pack(f"<{len(strips) if values is None else len(values)}{kind}", *(starts if values is None else values))
         place = raw.ljust(4, b"\0") if len(raw) <= 4 else struct.pack("<I", free + len(tail))
         tail += raw if len(raw) > 4 else b""
-        head += struct.pack("<HHI", tag, {"H": 3, "I": 4, "d": 12}[kind], n if values is None else len(values)) + place
+        head += struct.pack("<HHI", tag, {"H": 3, "I": 4, "d": 12}[kind], len(strips) if values is None else len(values)) + place
     if text:
         head += struct.pack("<HHI", 42113, 2, len(text)) + (text.ljust(4, b"\0") if len(text) <= 4 else struct.pack("<I", free + len(tail)))
         tail += text if len(text) > 4 else b""
@@ -65,31 +72,68 @@ def png_tiles(tiles: DataFrame, tile_size: int) -> DataFrame:
     return tiles.select("tilez", "tilex", "tiley", "r", "g", "b", "a").mapInArrow(run, "tilez int, tilex int, tiley int, png binary")
 
 
-def colormap_text(colormap: dict[str, Color]) -> str:
-    """The colour map as lines of value and channels."""
-    return "\n".join(["# Color map of the exported raster, value and RGBA", "INTERPOLATION:DISCRETE", *(",".join([k, *map(str, v), k]) for k, v in colormap.items())])
+def colormap_text(colormap: dict) -> str:
+    """The colour map as lines of value and channels; a continuous one has its colours and range."""
+    # The form of the first two lines and of an entry.
+    kind = "CONTINUOUS" if colormap.get("continuous") else "DISCRETE"
+    entries = (",".join([str(k), *map(str, v), str(k)]) for k, v in colormap.items() if k != "continuous")
+    return "\n".join(["# Raster Algebra Colormap", f"INTERPOLATION: {kind}", *entries, ""])
 
 
 def slug(text: str, most: int = 100) -> str:
-    """A file name of lower-case letters, digits and dashes."""
-    return re.sub(r"[-\s]+", "-", re.sub(r"[^\w\s-]", "", text).strip().lower())[:most]
+    """A file name of lower-case ASCII letters, digits, dashes and underscores."""
+    plain = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
+    return re.sub(r"[-\s]+", "-", re.sub(r"[^\w\s-]", "", plain.lower())).strip("-_")[:most]
+
+
+def export_name(filename: str = "", now: datetime | None = None) -> str:
+    """The name of an export without its ending: a prefix, the user's name if given, and the time."""
+    return "_".join(filter(None, ["algebra_export", slug(filename), f"{now or datetime.now():%Y_%m_%d_%H_%M}"]))
+
+
+def export_range(extents: list[tuple[float, float, float, float]], max_zooms: list[int], zoom: int | None = None, bbox: tuple[float, float, float, float] | None = None) -> tuple[int, tuple[int, int, int, int]]:
+    """Zoom and index box of an export.
+
+    ``extents`` are those of the layers in metres; ``bbox`` is in degrees
+    (EPSG:4326) and replaces them. The zoom defaults to the layers' highest.
+    """
+    at = max(max_zooms) if zoom is None else zoom
+    if bbox is not None:
+        return at, tilemath.tile_index_range(tilemath.project_bbox(bbox, 4326, 3857), at)
+    return at, reduce(tilemath.unite, [tilemath.tile_index_range(e, at) for e in extents])
+
+
+def readme_text(formula: str, zoom: int, box: tuple[int, int, int, int], layers: dict[str, tuple[int, str]], bbox: tuple | None = None, url: str = "", description: str = "", now: datetime | None = None) -> str:
+    """What an export holds; ``layers`` maps names in the formula to layer id and title."""
+    lines = ["Raster algebra export", f"Made on: {now or datetime.now():%Y-%m-%d at %H:%M}", *([f"From: {url}"] if url else []), "", *([description, ""] if description else []), f"Formula: {formula}", f"Zoom: {zoom}",
+             f"Tiles in x: {box[0]} - {box[2]}", f"Tiles in y: {box[1]} - {box[3]}", f"Bounding box: {'that of all layers' if bbox is None else ','.join(map(str, bbox))}", "", "Layers:",
+             *(f'{layer} "{title}" (in the formula: {name})' for name, (layer, title) in layers.items()), ""]
+    return "\n".join(lines)
 
 
 def export_archive(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: int, origin: tuple[float, float], scale: tuple[float, float],
-                   formula: str, colormap: dict[str, Color], description: str = "", now: datetime | None = None) -> tuple[str, bytes]:
+                   formula: str, colormap: dict, filename: str = "", zoom: int = 0, layers: dict[str, tuple[int, str]] | None = None, bbox: tuple | None = None, url: str = "",
+                   description: str = "", nodata: float = 0.0, now: datetime | None = None) -> tuple[str, bytes]:
     """File name and ZIP of one mosaic with its colour map and a README.
 
-    The pixels come to the driver: an export is one file, whose size the mosaic
+    Each row of tiles is a strip that a task compresses; the driver only strings
+    the strips together, as an export is one file, whose size the mosaic
     operator bounds.
     """
     width, height = (box[2] - box[0] + 1) * tile_size, (box[3] - box[1] + 1) * tile_size
-    grid = np.zeros((height, width))
-    rows = mosaic.select("gx", "gy", "value").toPandas()
-    grid[rows.gy - box[1] * tile_size, rows.gx - box[0] * tile_size] = rows.value
-    name = f"{slug(f'algebra export {formula}')}-{(now or datetime.now()):%Y-%m-%dT%H-%M-%S}"
+
+    def compress(pixels: pa.Table) -> pa.Table:
+        row = pixels["strip"][0].as_py()
+        grid = np.zeros((tile_size, width))
+        grid[pixels["gy"].to_numpy() - row * tile_size, pixels["gx"].to_numpy() - box[0] * tile_size] = pixels["value"].to_numpy()
+        return pa.table({"strip": pa.array([row], pa.int32()), "packed": pa.array([zlib.compress(grid.astype("<f8").tobytes())], pa.binary())})
+
+    dealt = mosaic.select("gx", "gy", "value", F.floor(F.col("gy") / tile_size).cast("int").alias("strip"))
+    strips = [bytes(r["packed"]) for r in sorted(dealt.groupBy("strip").applyInArrow(compress, "strip int, packed binary").collect())]
+    name = export_name(filename, now)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        archive.writestr(f"{name}.tif", encode_tiff([grid], origin, scale, 0.0))
-        archive.writestr("README.txt", f"Raster algebra export\n\nFormula: {formula}\nTiles: {box}\n{description}\n")
+        archive.writestr(f"{name}.tif", tiff_of_strips([strips], width, height, tile_size, origin, scale, nodata))
+        archive.writestr("README.txt", readme_text(formula, zoom, box, layers or {}, bbox, url, description, now))
         archive.writestr("COLORMAP.txt", colormap_text(colormap))
     return f"{name}.zip", out.getvalue()

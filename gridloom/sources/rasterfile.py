@@ -1,4 +1,4 @@
-"""Raster files as pixel rows: ESRI ASCII grids and plain TIFFs, also inside ZIP archives.
+"""Raster files as pixel rows: ESRI ASCII grids and TIFFs, also inside ZIP archives.
 
 Spark lists and reads the files (local, HTTP-mounted, object stores: whatever
 its file systems reach); a small decoder runs in the tasks that read them.
@@ -25,7 +25,8 @@ from gridloom.operators.layers import drop_nodata
 SCHEMES = ("", "file", "http", "https", "s3", "s3a", "hdfs", "viewfs")
 WIDTH, HEIGHT, BITS, COMPRESSION, STRIPS, SAMPLES, STRIP_BYTES, PLANAR, FORMAT, SCALE, TIE = 256, 257, 258, 259, 273, 277, 279, 284, 339, 33550, 33922
 NODATA_TAG = 42113
-SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 11: 4, 12: 8, 16: 8}
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES, ROWS_PER_STRIP, GEOKEYS = 317, 322, 323, 324, 325, 278, 34735
+SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8}
 
 PIXELS = "path string, band int, gx int, gy int, value double, nodata double, origin_x double, origin_y double, scale_x double, scale_y double"
 
@@ -33,8 +34,8 @@ PIXELS = "path string, band int, gx int, gy int, value double, nodata double, or
 class Raster:
     """Decoded bands (each a 2-D array) with nodata, origin and pixel size."""
 
-    def __init__(self, bands: list[np.ndarray], nodata: float | None, origin=(0.0, 0.0), scale=(1.0, -1.0)):
-        self.bands, self.nodata, self.origin, self.scale = bands, nodata, origin, scale
+    def __init__(self, bands: list[np.ndarray], nodata: float | None, origin=(0.0, 0.0), scale=(1.0, -1.0), srid: int | None = None):
+        self.bands, self.nodata, self.origin, self.scale, self.srid = bands, nodata, origin, scale, srid
 
 
 def decode_ascii(raw: bytes) -> Raster:
@@ -55,34 +56,95 @@ def decode_ascii(raw: bytes) -> Raster:
     return Raster([np.array(rows).reshape(height, width)], head.get("nodata_value"), (left, low + height * size), (size, -size))
 
 
-def decode_tiff(raw: bytes) -> Raster:
-    """A TIFF of strips, uncompressed or deflated, with its georeference and nodata."""
+def unpack_lzw(raw: bytes) -> bytes:
+    """Bytes of an LZW strip: codes of 9 to 12 bits, highest bit first; 256 clears the table and 257 ends."""
+    singles = [bytes([b]) for b in range(256)] + [b"", b""]
+    table, out, last = list(singles), [], b""
+    width, held, bits = 9, 0, 0
+    for byte in raw:
+        held, bits = (held << 8) | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = list(singles), 9, b""
+            continue
+        if code < len(table):
+            entry = table[code]
+        elif last and code == len(table):
+            entry = last + last[:1]
+        else:
+            raise RasterException("The LZW data of the TIFF are broken.")
+        out.append(entry)
+        if last:
+            table.append(last + entry[:1])
+        last = entry
+        # The width grows one code early.
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+    return b"".join(out)
+
+
+def read_tags(raw: bytes) -> tuple[str, dict[int, list]]:
+    """Byte order and tags of the first image of a TIFF or BigTIFF."""
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
-    if order is None or struct.unpack(order + "H", raw[2:4])[0] != 42:
+    kind = struct.unpack(order + "H", raw[2:4])[0] if order and len(raw) >= 8 else 0
+    if kind not in (42, 43):
         raise RasterException("Not a TIFF.")
-    (at,) = struct.unpack(order + "I", raw[4:8])
-    (count,) = struct.unpack(order + "H", raw[at : at + 2])
+    place, step, number, count = ("I", 12, 4, "H") if kind == 42 else ("Q", 20, 8, "Q")
+    at = struct.unpack_from(order + place, raw, 4 if kind == 42 else 8)[0]
+    entries = struct.unpack_from(order + count, raw, at)[0]
+    at += struct.calcsize(count)
     tags: dict[int, list] = {}
-    for k in range(count):
-        tag, kind, n = struct.unpack(order + "HHI", raw[at + 2 + 12 * k : at + 10 + 12 * k])
-        size, place = SIZES.get(kind, 1) * n, at + 10 + 12 * k
-        start = place if size <= 4 else struct.unpack(order + "I", raw[place : place + 4])[0]
-        letter = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}.get(kind)
-        if letter:
+    letters = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
+    for k in range(entries):
+        tag, sort, n = struct.unpack_from(order + "HH" + place, raw, at + step * k)
+        size, value = SIZES.get(sort, 1) * n, at + step * k + 4 + number
+        start = value if size <= number else struct.unpack_from(order + place, raw, value)[0]
+        if sort in letters:
             part = raw[start : start + size]
-            tags[tag] = [part.rstrip(b"\0").decode("ascii", "replace")] if letter == "s" else list(struct.unpack(f"{order}{n}{letter}", part))
-    packing = tags.get(COMPRESSION, [1])[0]
-    if packing not in (1, 8, 32946) or WIDTH not in tags or STRIPS not in tags:
+            tags[tag] = [part.rstrip(b"\0").decode("ascii", "replace")] if sort == 2 else list(struct.unpack(f"{order}{n}{letters[sort]}", part))
+    return order, tags
+
+
+def srid_of(tags: dict[int, list]) -> int | None:
+    """The EPSG code among a GeoTIFF's keys: that of a projected system, else of a geographic one."""
+    keys = tags.get(GEOKEYS, [])
+    found = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    return next((found[k] for k in (3072, 2048) if found.get(k, 32767) != 32767), None)
+
+
+def decode_tiff(raw: bytes) -> Raster:
+    """A TIFF or BigTIFF of strips or tiles, plain, deflated or LZW, with its georeference and nodata."""
+    order, tags = read_tags(raw)
+    packing, predictor, planar = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0], tags.get(PLANAR, [1])[0]
+    tiled = TILES in tags
+    if packing not in (1, 5, 8, 32946) or predictor not in (1, 2) or WIDTH not in tags or HEIGHT not in tags or not (tiled or STRIPS in tags):
         raise RasterException("This kind of TIFF cannot be read.")
-    strips = [raw[o : o + b] for o, b in zip(tags[STRIPS], tags[STRIP_BYTES], strict=True)]
-    data = b"".join(zlib.decompress(s) if packing != 1 else s for s in strips)
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0]
-    letter = {1: "u", 2: "i", 3: "f"}[tags.get(FORMAT, [1])[0]]
-    values = np.frombuffer(data, f"{order}{letter}{tags.get(BITS, [8])[0] // 8}")[: width * height * samples]
-    planes = values.reshape(samples, height, width) if tags.get(PLANAR, [1])[0] == 2 else values.reshape(height, width, samples).transpose(2, 0, 1)
+    letter, bits = {1: "u", 2: "i", 3: "f"}.get(tags.get(FORMAT, [1])[0]), tags.get(BITS, [8])[0]
+    if letter is None or bits not in (8, 16, 32, 64):
+        raise RasterException("Samples of this kind cannot be read.")
+    kind = np.dtype(f"{order}{letter}{bits // 8}")
+    wide, high = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, [height])[0]))
+    across, down, per = -(-width // wide), -(-height // high), 1 if planar == 2 else samples
+    planes = np.zeros((samples, down * high, across * wide), kind.newbyteorder("="))
+    places = zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)
+    unpack = {1: bytes, 5: unpack_lzw}.get(packing, zlib.decompress)
+    for k, (start, size) in enumerate(places):
+        plane, block = divmod(k, across * down)
+        row, column = divmod(block, across)
+        rows = high if tiled else min(high, height - row * high)
+        part = np.frombuffer(unpack(raw[start : start + size]), kind, rows * wide * per).reshape(rows, wide, per).astype(planes.dtype)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=part.dtype)
+        planes[plane if planar == 2 else slice(None), row * high : row * high + rows, column * wide : (column + 1) * wide] = part[:, :, 0] if planar == 2 else part.transpose(2, 0, 1)
     scale, tie = tags.get(SCALE, [1.0, 1.0]), tags.get(TIE, [0.0] * 6)
     nodata = float(tags[NODATA_TAG][0]) if NODATA_TAG in tags else None
-    return Raster(list(planes), nodata, (tie[3], tie[4]), (scale[0], -scale[1]))
+    origin = tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1]
+    return Raster(list(planes[:, :height, :width]), nodata, origin, (scale[0], -scale[1]), srid_of(tags))
 
 
 def decode(raw: bytes) -> Raster:
@@ -92,7 +154,7 @@ def decode(raw: bytes) -> Raster:
             for name in archive.namelist():
                 try:
                     return decode(archive.read(name))
-                except (RasterException, ValueError, IndexError):
+                except (RasterException, ValueError, IndexError, struct.error, zlib.error):
                     continue
         raise RasterException("The archive holds no raster that can be read.")
     return decode_tiff(raw) if raw[:2] in (b"II", b"MM") else decode_ascii(raw)

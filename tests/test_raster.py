@@ -1,7 +1,10 @@
 import io
 import json
+import math
+import struct
 import zipfile
 import zlib
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -204,12 +207,23 @@ def test_images_and_export(spark):
     assert zlib.decompress(png[at : at + int.from_bytes(png[at - 8 : at - 4], "big")]) == (b"\0" + b"\7" * 8) * 2
     rgba = spark.createDataFrame([(0, 0, 0, [1] * 4, [2] * 4, [3] * 4, [255] * 4)], "tilez int, tilex int, tiley int, r array<int>, g array<int>, b array<int>, a array<int>")
     assert images.png_tiles(rgba, 2).first().png[:4] == b"\x89PNG"
-    mosaic = pyramid.mosaic(tiles(spark, range(4)), (0, 0, 1, 0), 0, 2)
-    name, raw = images.export_archive(mosaic, (0, 0, 1, 0), 2, (0.0, 0.0), (1.0, -1.0), "x * 2", {"1": (1, 2, 3, 255)})
+    mosaic = pyramid.mosaic(tiles(spark, range(4)), (0, 0, 1, 1), 0, 2)
+    now = datetime(2024, 3, 5, 7, 9)
+    shades = {"continuous": True, "from": (0, 0, 0, 255), "to": (255, 255, 255, 255), "range": (0.0, 5.0)}
+    name, raw = images.export_archive(mosaic, (0, 0, 1, 1), 2, (0.0, 0.0), (1.0, -1.0), "x * 2", shades, "My Änd (1)/x", 3, {"x": (5, "Rain")}, (-1, 2, 3, 4), "http://h/e", "Some words.", now=now)
     with zipfile.ZipFile(io.BytesIO(raw)) as archive:
         names = archive.namelist()
         grid = rasterfile.decode(archive.read(names[0])).bands[0]
-    assert name.startswith("algebra-export-x-2-") and {"README.txt", "COLORMAP.txt"} <= set(names) and grid.tolist() == [[0, 1, 0, 0], [2, 3, 0, 0]]
+        colours, readme = archive.read("COLORMAP.txt").decode(), archive.read("README.txt").decode()
+    assert name == "algebra_export_my-and-1x_2024_03_05_07_09.zip" and names == [name[:-3] + "tif", "README.txt", "COLORMAP.txt"]
+    assert grid.tolist() == [[0, 1, 0, 0], [2, 3, 0, 0], [0] * 4, [0] * 4]
+    assert colours.splitlines() == ["# Raster Algebra Colormap", "INTERPOLATION: CONTINUOUS", "from,0,0,0,255,from", "to,255,255,255,255,to", "range,0.0,5.0,range"] and shades["continuous"]
+    assert images.colormap_text({"2": (1, 2, 3, 4)}).splitlines()[1:] == ["INTERPOLATION: DISCRETE", "2,1,2,3,4,2"]
+    assert all(x in readme for x in ("x * 2", "Zoom: 3", "x: 0 - 1", "-1,2,3,4", "http://h/e", '5 "Rain" (in the formula: x)', "Some words.", "2024-03-05 at 07:09"))
+    assert images.export_name("", now) == "algebra_export_2024_03_05_07_09" and len(images.slug("a" * 300)) == 100
+    half = tilemath.HALF
+    assert images.export_range([(-half * 0.9, 0.1, -1, half * 0.9), (1, -half * 0.9, half * 0.9, -1)], [1, 2]) == (2, (0, 0, 3, 3))
+    assert images.export_range([], [4], 1, (-170, -80, -10, -10)) == (1, (0, 1, 0, 1))
     with pytest.raises(RasterException):
         pyramid.mosaic(tiles(spark, range(4)), (0, 0, 99999, 99999), 0, 256)
 
@@ -264,3 +278,146 @@ def test_a_batch_that_runs_again_replaces_itself_and_bands_stay(spark, tmp_path)
     for band in (0, 1, 1):
         pyramid.write_tiles(tiles, str(tmp_path / "bands"), 1, band)
     assert sorted((r.band, r.tilez) for r in spark.read.parquet(str(tmp_path / "bands")).collect()) == [(b, z) for b in (0, 1) for z in (0, 1)]
+
+
+def tiff(order, big, tags):
+    """A TIFF of tags (tag, type letter, values), with ``blocks`` of bytes as strips or tiles."""
+    size, number = ("Q", 8) if big else ("I", 4)
+    blocks = next(v for t, k, v in tags if k == "blocks")
+    head = 16 if big else 8
+    step, count = (20, 8) if big else (12, 2)
+    free = head + sum(map(len, blocks))
+    starts = [head + sum(map(len, blocks[:i])) for i in range(len(blocks))]
+    rows, tail = b"", b""
+    entries = [(t, size, starts) if k == "blocks" else (t, k, v) for t, k, v in tags]
+    body = free + count + step * len(entries) + number
+    for tag, kind, values in entries:
+        raw = values if kind == "s" else struct.pack(f"{order}{len(values)}{kind}", *values)
+        held = raw.ljust(number, b"\0") if len(raw) <= number else struct.pack(order + size, body + len(tail))
+        tail += raw if len(raw) > number else b""
+        rows += struct.pack(order + "HH" + size, tag, {"s": 2, "H": 3, "I": 4, "d": 12, "Q": 16}[kind], len(values)) + held
+    start = (b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, free) if big else struct.pack(order + "HI", 42, free))
+    return start + b"".join(blocks) + struct.pack(order + ("Q" if big else "H"), len(entries)) + rows + struct.pack(order + size, 0) + tail
+
+
+def lzw(data):
+    """A plain encoder of the same codes."""
+    bits, table, width, word = [], {bytes([b]): b for b in range(256)}, 9, b""
+    put = lambda code, w: bits.append(format(code, f"0{w}b"))
+    put(256, 9)
+    number = 258
+    for byte in data:
+        longer = word + bytes([byte])
+        if longer in table:
+            word = longer
+            continue
+        put(table[word], width)
+        table[longer], number = number, number + 1
+        width = min(12, max(9, number.bit_length()))
+        if number == 4094:
+            put(256, 12)
+            table, width, number = {bytes([b]): b for b in range(256)}, 9, 258
+        word = bytes([byte])
+    put(table[word], width)
+    number += 1
+    put(257, min(12, max(9, number.bit_length())))
+    text = "".join(bits)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8))
+
+
+@pytest.mark.parametrize("order, big, packing, predictor, tiled, planar", [
+    ("<", False, 1, 1, False, 1), (">", False, 5, 2, False, 1), ("<", True, 8, 2, True, 1), (">", True, 5, 1, True, 2), ("<", False, 8, 1, False, 2)])
+def test_tiffs_of_strips_and_tiles(order, big, packing, predictor, tiled, planar):
+    rng = np.random.default_rng(3)
+    image = rng.integers(0, 60000, (2, 37, 45)).astype(np.uint16) // rng.integers(1, 900, (2, 1, 1)).astype(np.uint16)
+    wide, high = (16, 32) if tiled else (45, 10)
+    blocks = []
+    for part in ([image] if planar == 1 else [image[:1], image[1:]]):
+        for top in range(0, 37, high):
+            for left in range(0, 45, wide):
+                block = part[:, top : top + high, left : left + wide]
+                if tiled:
+                    block = np.pad(block, ((0, 0), (0, high - block.shape[1]), (0, wide - block.shape[2])))
+                block = block.transpose(1, 2, 0)
+                if predictor == 2:
+                    block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
+                raw = block.astype(order + "u2").tobytes()
+                blocks.append({1: raw, 5: lzw(raw), 8: zlib.compress(raw)}[packing])
+    layout = [(322, "H", [wide]), (323, "H", [high]), (324, "blocks", blocks), (325, "I", [len(b) for b in blocks])] if tiled else [(273, "blocks", blocks), (278, "H", [high]), (279, "I", [len(b) for b in blocks])]
+    keys = [1, 1, 0, 1, 3072, 0, 1, 3857]
+    tags = sorted([(256, "H", [45]), (257, "I", [37]), (258, "H", [16, 16]), (259, "H", [packing]), (277, "H", [2]), (284, "H", [planar]), (317, "H", [predictor]), (339, "H", [1, 1]), *layout,
+                   (33550, "d", [2.0, 3.0, 0.0]), (33922, "d", [1.0, 1.0, 0.0, 100.0, 200.0, 0.0]), (34735, "H", keys), (42113, "s", b"7\0")])
+    got = rasterfile.decode(tiff(order, big, tags))
+    assert np.array_equal(np.array(got.bands), image) and (got.nodata, got.origin, got.scale, got.srid) == (7.0, (98.0, 203.0), (2.0, -3.0), 3857)
+
+
+def test_odd_tiffs():
+    for raw in (b"II*\0", b"MM\0\x07aaaabbbb", tiff("<", False, [(256, "H", [1]), (259, "H", [7]), (273, "blocks", [b"x"])])):
+        with pytest.raises(RasterException):
+            rasterfile.decode(raw)
+
+
+def test_ingest_of_a_file_in_degrees(spark, tmp_path):
+    from gridloom.sources import ingest, tilestore
+
+    band = np.arange(64, dtype=np.float64).reshape(8, 8)
+    (tmp_path / "a.tif").write_bytes(images.encode_tiff([band, band + 100], (0.0, 40.0), (5.0, -5.0), 9.0))
+    pixels = rasterfile.read_rasters(spark, str(tmp_path / "a.tif"))
+    store, called = str(tmp_path / "store"), []
+    for _ in range(2):
+        ingest.ingest(spark, 4, pixels, store, srid=4326, nodata=3.0, store_reprojected=True, tile_size=4, done=called.append)
+    assert called == [4, 4]
+    (state,) = ingest.parse_status(spark, store).collect()
+    source = ingest.source_of(pixels, 4326)
+    top = source.max_zoom(tile_size=4)
+    assert (state.layer_id, state.state) == (4, 5) and state.tile_levels == [top] and top == source.max_zoom(next_higher=False, tile_size=4) + 1
+    (meta,) = spark.read.parquet(store + "/metadata").collect()
+    assert (meta.width, meta.numbands, meta.srid, meta.max_zoom, meta.layer_id) == (8, 2, 4326, top, 4)
+    bands = {r.band: r for r in spark.read.parquet(store + "/bands").collect()}
+    assert (bands[0].min, bands[0].max, bands[1].min, bands[1].nodata_value, sum(bands[1].hist_values)) == (0, 63, 100, 3.0, 64)
+    tiles = tilestore.read_tiles(spark, store + "/tiles", 4, 0)
+    metres = tilemath.tile_scale(top, 4)
+    want = {}
+    for tx in range(4 * 2**top):
+        for ty in range(4 * 2**top):
+            lon, lat = tilemath.project((tx + 0.5) * metres - tilemath.HALF, tilemath.HALF - (ty + 0.5) * metres, 3857, 4326)
+            column, row = math.floor(lon / 5), math.floor((40 - lat) / 5)
+            if 0 <= column < 8 and 0 <= row < 8 and band[row, column] != 3:
+                want[tx, ty] = band[row, column]
+    opened = layers.pixels_from_tiles(tiles.where(F.col("tilez") == top), 4).where("value is not null").collect()
+    assert {(r.tilex * 4 + r.px, r.tiley * 4 + r.py): r.value for r in opened} == want
+    kept = spark.read.parquet(store + "/reprojected").where("band = 1")
+    assert kept.where("value != 103").count() == len(want) and kept.where("value = 103").count() > 0
+    (deepest,) = tiles.where(F.col("tilez") == top).limit(1).collect()
+    child = tilestore.tile_at(tiles, top + 2, deepest.tilex * 4 + 1, deepest.tiley * 4 + 2, 4)
+    assert child == [deepest.data[2 * 4 + 1]] * 16 and tilestore.tile_at(tiles.where("tilez > 0"), 0, 0, 0, 4) is None
+    assert tilestore.drop_tiles(spark, store + "/tiles", 4) and not tilestore.drop_tiles(spark, store + "/tiles", 4)
+    with pytest.raises(RasterException):
+        ingest.ingest(spark, 5, pixels, store, srid=32610, tile_size=4)
+    assert {r.layer_id: r.state for r in ingest.parse_status(spark, store).collect()} == {4: 5, 5: 6}
+    with pytest.raises(RasterException):
+        ingest.ingest(spark, 6, pixels.limit(0), store)
+
+
+def test_aggregator_arguments(spark):
+    scale = tilemath.tile_scale(1, 2)
+    two = tiles(spark, [1, 2, 2, 0]).unionByName(tiles(spark, [5, 5, 5, 5]).withColumn("tilez", F.lit(1)))
+    layer = {"x": Layer(two, 0.0)}
+    counts = lambda **k: {r.value: r["count"] for r in aggregate.Aggregator(layer, "x", 2, grouping="discrete", **k).value_count().collect()}
+    assert counts() == {5.0: 4} and counts(zoom=0) == {1.0: 1, 2.0: 2} and counts(zoom=7) == {}
+    tiny = [(-tilemath.HALF + scale * a, tilemath.HALF - scale * b) for a, b in ((0.1, 0.1), (0.2, 0.1), (0.2, 0.2))]
+    assert counts(geom=tiny, acres=False) == {5.0: 1} and counts(geom=tiny, acres=False, all_touched=False) == {}
+    assert counts(geom=tiny) == {5.0: pytest.approx(scale**2 * aggregate.ACRES)}
+    degrees = [tilemath.project(*p, 3857, 4326) for p in tiny]
+    assert counts(geom=[degrees], srid=4326, acres=False) == {5.0: 1}
+    far = [(x + tilemath.WORLD * 3, y) for x, y in tiny]
+    assert counts(geom=far) == {}
+    legends = spark.createDataFrame([(3, json.dumps([{"name": "five", "expression": "x > 4"}]))], "legend_id int, json string")
+    for key in (3, "3"):
+        assert [tuple(r) for r in aggregate.Aggregator(layer, "x", 2, grouping=key, legends=legends).value_count().collect()] == [("five", 4)]
+    for wrong in (4, "4"):
+        with pytest.raises(RasterAggregationException):
+            aggregate.Aggregator(layer, "x", 2, grouping=wrong, legends=legends)
+    assert [tuple(r) for r in aggregate.layer_value_count(layer["x"], 2).collect()] == [(5.0, 4)]
+    with pytest.raises(TypeError):
+        aggregate.layer_value_count(layer["x"], 2, "co")
