@@ -16,6 +16,8 @@ from gridloom.llm.common import cut
 
 #: Documents that one cell of the id order should hold.
 ROWS_PER_CELL = 1000
+#: Ranges between quantiles of the ids, and cells whose followers are found together.
+PIECES, CELLS_PER_BLOCK = 256, 4096
 #: Buckets of two or more that are broadcast; beyond, texts are shuffled to them.
 BROADCAST_ROWS = 500_000
 
@@ -69,31 +71,79 @@ def class_ids(prints: DataFrame, keyed: DataFrame) -> DataFrame:
             .withColumn("class_id", F.coalesce("_own", "_first")).drop("_own", "_first", "_third"))
 
 
-def _followers(ids: DataFrame, cell: Column, top: int) -> DataFrame:
-    """For each filled cell of the id order the next filled one downwards; the lowest meets the highest."""
-    filled = ids.select(cell.alias("_cell")).distinct()
-    return filled.select("_cell", F.coalesce(F.lead("_cell").over(Window.orderBy(F.desc("_cell"))), F.lit(top)).alias("_next"))
+def _followers(cells: DataFrame) -> DataFrame:
+    """For each filled cell of the id order the next filled one downwards; the lowest meets the highest.
+
+    Cells follow each other inside blocks of ``CELLS_PER_BLOCK``; only the
+    blocks' highest cells meet in one window.
+    """
+    blocks = cells.distinct().withColumn("_block", F.expr(f"_cell div {CELLS_PER_BLOCK}"))
+    inside = blocks.withColumn("_inner", F.lead("_cell").over(Window.partitionBy("_block").orderBy(F.desc("_cell"))))
+    heads = blocks.groupBy("_block").agg(F.max("_cell").alias("_top"))
+    order = Window.orderBy(F.desc("_block"))
+    first = F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = heads.select("_block", F.coalesce(F.lead("_top").over(order), first).alias("_after"))
+    return inside.join(after, "_block").select("_cell", F.coalesce("_inner", "_after").alias("_next"))
+
+
+def _pieces(rows: DataFrame, rows_per_cell: int) -> list[tuple[bool, int, int, int]]:
+    """Ranges of the id order that hold about as many rows each: whether of null ids, lowest value, width of its cells, number of its first cell."""
+    shares = [k / PIECES for k in range(1, PIECES)]
+    found = rows.groupBy("_null").agg(F.min("_value").alias("low"), F.max("_value").alias("high"), F.count("*").alias("n"),
+                                      F.percentile_approx("_value", shares, F.lit(10 * PIECES)).alias("bounds")).collect()
+    pieces, number = [], 0
+    for row in sorted(found, key=lambda r: not r["_null"]):
+        edges = sorted({row["low"], *(row["bounds"] or []), row["high"] + 1})
+        cells = max(1, -(-row["n"] // (rows_per_cell * (len(edges) - 1))))
+        for low, end in zip(edges, edges[1:]):
+            width = -(-(end - low) // cells)
+            pieces.append((row["_null"], low, width, number))
+            number += (end - low - 1) // width + 1
+    return pieces
+
+
+def _cell(pieces: list[tuple[bool, int, int, int]]) -> Column:
+    """The cell of a row, by halving the pieces."""
+
+    def found(part: list[int]) -> Column:
+        if len(part) == 1:
+            return F.lit(part[0])
+        half = part[len(part) // 2]
+        null, low = pieces[half][:2]
+        # Null ids come before all others.
+        if null:
+            beyond = ~F.col("_null") | (F.col("_value") >= low)
+        else:
+            beyond = ~F.col("_null") if pieces[half - 1][0] else ~F.col("_null") & (F.col("_value") >= low)
+        return F.when(beyond, found(part[len(part) // 2 :])).otherwise(found(part[: len(part) // 2]))
+
+    decimal = lambda values: F.array(*[F.lit(str(v)).cast("decimal(20,0)") for v in values])
+    piece = F.struct(decimal([p[1] for p in pieces]).alias("low"), decimal([p[2] for p in pieces]).alias("width"), F.array(*[F.lit(p[3]).cast("long") for p in pieces]).alias("first"))
+    at = found(list(range(len(pieces)))) + 1
+    within = F.floor((F.col("_value").cast("decimal(20,0)") - F.element_at(piece["low"], at)) / F.element_at(piece["width"], at)).cast("long")
+    return F.element_at(piece["first"], at) + within
 
 
 def with_next_text(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """doc_id, text (null: empty) and ``next_text``: that of the document next in descending doc_id.
 
-    The last document is followed by the first. Ids are dealt into cells of even
-    width; a row finds its follower inside its cell, and the last row of a cell
-    takes the first row of the next filled cell. Null ids come last; rows with
-    one id follow each other by text.
+    The last document is followed by the first. Ids are dealt into cells: ranges
+    between quantiles of the ids, each cut evenly, so that neither gaps nor
+    outlying ids crowd a cell. A row finds its follower inside its cell, and the
+    last row of a cell takes the first row of the next filled cell. Null ids come
+    last, in the order of a hash of their text; rows with one id follow each
+    other by text. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n, n_ids = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    cells = max(1, -(-n // rows_per_cell))
-    width = max(1, -(-(high - low + 1) // cells))
-    cell = F.coalesce(F.expr(f"(doc_id - {low}L) div {width}L"), F.lit(-1).cast("long"))
-    placed = rows.withColumn("_cell", cell)
-    order = Window.partitionBy("_cell").orderBy(F.desc_nulls_last("doc_id"), "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("_null", F.col("doc_id").isNull())
+    rows = rows.withColumn("_value", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    pieces = _pieces(rows, rows_per_cell)
+    if not pieces:
+        return rows.select("doc_id", "text", F.col("text").alias("next_text"))
+    placed = rows.withColumn("_cell", _cell(pieces))
+    order = Window.partitionBy("_cell").orderBy("_null", F.desc("_value"), "text")
     inside = placed.withColumn("_inside", F.lead("text").over(order)).withColumn("_at", F.row_number().over(order))
     heads = inside.where("_at = 1").select(F.col("_cell").alias("_next"), F.col("text").alias("_head"))
-    bridge = _followers(rows, cell, (high - low) // width if n_ids else -1).join(heads, "_next").select("_cell", "_head")
+    bridge = _followers(placed.select("_cell")).join(heads, "_next").select("_cell", "_head")
     joined = inside.join(bridge, "_cell")
     return joined.select("doc_id", "text", F.coalesce("_inside", "_head").alias("next_text"))
 
@@ -102,7 +152,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Fingerprints of every whole text, of its edited form and of the next document.
 
     The edited form has the last half of its code points replaced by as many, or
-    all, of the next document's first ones.
+    all, of the next document's first ones. A null text counts as empty. A null
+    id stays null and never names a class unless all of the class have none.
+    Repeated rows give repeated rows; further columns play no part.
     """
     near = with_next_text(docs)
     n = F.char_length("text").cast("long")

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import cut
 
 CURVES, AXES, BITS = 16, 8, 7
-ROWS_PER_BUCKET, MOST_BUCKETS = 1024, 4096
+ROWS_PER_BUCKET, MOST_BUCKETS = 256, 4096
 #: Rows that fit the grid and the buckets, queries that fit the windows, and the share of neighbours to hold.
 FIT_ROWS, FIT_QUERIES, FIT_RECALL = 20_000, 96, 0.97
 TIE_BITS = 63 - AXES * BITS

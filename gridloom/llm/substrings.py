@@ -287,3 +287,24 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
     return _with_spans(docs, length).mapInArrow(run, docs.schema)
+
+
+#: The same over all strings of 100 bytes; bytes are written as two hexadecimal digits.
+ORACLE_SQL = r"""
+WITH raw AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT doc_id, h, len(h) // 2 AS n FROM raw),
+strings AS (SELECT doc_id, u.p AS p, substr(h, 2 * u.p + 1, 200) AS s FROM sized, LATERAL (SELECT unnest(generate_series(0, n - 100)) AS p) u WHERE n >= 100),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY md5(s), s ORDER BY doc_id, p) AS k FROM strings) WHERE k > 1),
+gaps AS (SELECT doc_id, p, coalesce(p > max(p) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 100, true) AS fresh FROM later),
+runs AS (SELECT doc_id, p, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM gaps),
+spans AS (SELECT doc_id, run, min(p) AS a, max(p) + 100 AS b FROM runs GROUP BY 1, 2),
+cuts AS (
+  SELECT s.doc_id, s.a, s.b, coalesce(lag(s.b) OVER (PARTITION BY s.doc_id ORDER BY s.a), 0) AS before FROM spans s
+), kept AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS ended, string_agg(substr(z.h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM cuts c JOIN sized z ON z.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT z.doc_id, CAST(z.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(k.head, '') || substr(z.h, 2 * coalesce(k.ended, 0) + 1))) AS kept_sha256
+FROM sized z LEFT JOIN kept k ON k.doc_id = z.doc_id
+"""

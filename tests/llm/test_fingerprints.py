@@ -57,3 +57,28 @@ def test_empty_null_ids_and_repeats(spark):
     assert fingerprint_documents(docs).count() == 4
     alone = fingerprint_documents(docs_of(spark, [(7, "abcd", None)])).first()
     assert alone.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and alone.near_next == 1.0
+
+
+def test_extreme_outlying_and_null_ids_follow_each_other(spark, monkeypatch):
+    from gridloom.llm import fingerprints as P
+
+    ids = [-(2**63), 2**63 - 1, 10**15, *range(1, 60), *range(1000, 1200, 7)]
+    docs = docs_of(spark, [(i, f"t{i}", None) for i in ids] + [(None, f"n{k}", None) for k in range(30)])
+    order = [f"t{i}" for i in sorted(ids, reverse=True)]
+    for pieces, block in ((256, 4096), (4, 2), (1, 1)):
+        monkeypatch.setattr(P, "PIECES", pieces)
+        monkeypatch.setattr(P, "CELLS_PER_BLOCK", block)
+        got = {r.text: r.next_text for r in with_next_text(docs, rows_per_cell=4).collect()}
+        seen, text = [], order[0]
+        for _ in range(len(got)):
+            seen.append(text)
+            text = got[text]
+        assert text == order[0] and seen[: len(order)] == order and sorted(seen[len(order) :]) == sorted(f"n{k}" for k in range(30))
+
+
+def test_an_outlying_id_leaves_cells_small(spark):
+    from gridloom.llm import fingerprints as P
+
+    docs = spark.range(1, 20001).select("id").union(spark.createDataFrame([(10**15,)], "id long")).select(F.col("id").alias("_value"), F.lit(False).alias("_null"))
+    cells = docs.select(P._cell(P._pieces(docs, 100)).alias("c")).groupBy("c").count()
+    assert cells.agg(F.max("count")).first()[0] < 1000

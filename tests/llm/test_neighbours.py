@@ -62,3 +62,24 @@ def test_few_and_no_rows(spark):
     assert [(r.rank, r.vec_id, r.score) for r in search_embeddings(few).orderBy("rank").collect()] == [(1, 1, 4.0), (2, 2, -1.0)]
     assert search_embeddings(few.limit(0)).count() == 0
     assert search_embeddings(few.where("vec_id > 0")).count() == 0
+
+
+def test_windows_stay_narrow_where_vectors_have_structure(spark, monkeypatch):
+    """Many clusters, and many more rows than a few buckets: most neighbours are found, most rows are never met."""
+    from gridloom.llm import neighbours as N
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(300, 24))
+    made = centres[rng.integers(0, 300, 12000)] + rng.normal(scale=0.15, size=(12000, 24))
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    rows = [(i, v) for i, v in enumerate(made.astype(np.float32).tolist())]
+    widths = []
+    measured = N.window_width
+    monkeypatch.setattr(N, "window_width", lambda *a: widths.append(measured(*a)) or widths[-1])
+    got = {}
+    for r in nearest(spark.createDataFrame([(*r, "x") for r in rows], SHAPE), F.col("vec_id") % 20 == 0, rows_per_bucket=32).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows)
+    assert np.mean([len(got[q] & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    buckets = -(-len(rows) // 32)
+    assert N.CURVES * (2 * widths[0] + 1) / buckets < 0.5, widths
