@@ -103,25 +103,20 @@ def _pieces(rows: DataFrame, rows_per_cell: int) -> list[tuple[bool, int, int, i
 
 
 def _cell(pieces: list[tuple[bool, int, int, int]]) -> Column:
-    """The cell of a row, by halving the pieces."""
-
-    def found(part: list[int]) -> Column:
-        if len(part) == 1:
-            return F.lit(part[0])
-        half = part[len(part) // 2]
-        null, low = pieces[half][:2]
-        # Null ids come before all others.
-        if null:
-            beyond = ~F.col("_null") | (F.col("_value") >= low)
-        else:
-            beyond = ~F.col("_null") if pieces[half - 1][0] else ~F.col("_null") & (F.col("_value") >= low)
-        return F.when(beyond, found(part[len(part) // 2 :])).otherwise(found(part[: len(part) // 2]))
-
-    decimal = lambda values: F.array(*[F.lit(str(v)).cast("decimal(20,0)") for v in values])
-    piece = F.struct(decimal([p[1] for p in pieces]).alias("low"), decimal([p[2] for p in pieces]).alias("width"), F.array(*[F.lit(p[3]).cast("long") for p in pieces]).alias("first"))
-    at = found(list(range(len(pieces)))) + 1
-    within = F.floor((F.col("_value").cast("decimal(20,0)") - F.element_at(piece["low"], at)) / F.element_at(piece["width"], at)).cast("long")
-    return F.element_at(piece["first"], at) + within
+    """The cell of a row: the number of its piece is that of the lowest values up to its own."""
+
+    def listed(values: list[int], kind: str) -> Column:
+        # One folded literal, so that plans stay small.
+        return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+    null, other = ([p[1] for p in pieces if p[0] == side] for side in (True, False))
+    below = lambda lows: F.size(F.filter(listed(lows, "bigint"), lambda low: low <= F.col("_value")))
+    # Null ids come before all others.
+    piece = F.when(F.col("_null"), below(null)).otherwise(below(other) + len(null))
+    found = F.struct(piece.alias("at"), F.col("_value").cast("decimal(20,0)").alias("value"))
+    low, width, first = (listed([p[k] for p in pieces], kind) for k, kind in ((1, "decimal(20,0)"), (2, "decimal(20,0)"), (3, "bigint")))
+    place = lambda f: F.element_at(first, f["at"]) + F.floor((f["value"] - F.element_at(low, f["at"])) / F.element_at(width, f["at"])).cast("long")
+    return F.element_at(F.transform(F.array(found), place), 1)
 
 
 def with_next_text(docs: DataFrame, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
