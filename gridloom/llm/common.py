@@ -33,11 +33,14 @@ def small_batches(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, ``spark.checkpoint.dir``.
 
-    A temporary folder is set only where that is unset, as in local tests.
+    A temporary folder is set only where that is unset and the session is local,
+    as in tests; on a cluster its absence is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         known = context.getConf().get("spark.checkpoint.dir")
+        if known is None and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
         context.setCheckpointDir(known or tempfile.mkdtemp(prefix="gridloom-"))
     return context.getCheckpointDir()
 

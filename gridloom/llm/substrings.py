@@ -273,7 +273,12 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``; bytes of characters cut in part are dropped."""
+    """``docs`` with repeated passages taken out of ``text``; bytes of characters cut in part are dropped.
+
+    A null text stays null, and rows with a null doc_id stay whole. Rows that
+    share a doc_id lose the same places. Other columns stay as they are; an input
+    column named ``span list`` is an error.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
