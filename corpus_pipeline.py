@@ -27,7 +27,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
     """``docs`` with ``n_chars`` of the text as it is now, without documents that lost all of it."""
     left = docs.where(F.char_length("text") > 0)
-    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
