@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.config import DEFAULTS, Settings
 from gridloom.errors import RasterException
 from gridloom.operators.layers import drop_nodata
 
@@ -168,8 +169,20 @@ def checked_path(url: str) -> str:
     return "s3a" + url[2:] if scheme == "s3" else url
 
 
-def read_rasters(spark: SparkSession, path: str, nodata: float | None = None) -> DataFrame:
-    """One row per pixel of every file below ``path``; ``nodata`` overrides that of the files."""
+def s3_options(settings: Settings = DEFAULTS) -> dict[str, str]:
+    """Options of a read from s3: the requester pays, at the endpoint of ``settings`` if it names one."""
+    options = {"fs.s3a.requester.pays.enabled": "true"}
+    if settings.s3_endpoint:
+        options |= {"fs.s3a.endpoint": settings.s3_endpoint, "fs.s3a.path.style.access": "true"}
+    return options
+
+
+def read_rasters(spark: SparkSession, path: str, nodata: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """One row per pixel of every file below ``path``; ``nodata`` overrides that of the files.
+
+    Options of s3 hold for the file systems that this read opens; one that the
+    session has opened for the same bucket before keeps its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,7 +200,9 @@ def read_rasters(spark: SparkSession, path: str, nodata: float | None = None) ->
                              pa.array(rows.ravel().astype(np.float64)), same(empty), same(raster.origin[0]), same(raster.origin[1]), same(raster.scale[0]), same(raster.scale[1])],
                             names=["path", "band", "gx", "gy", "value", "nodata", "origin_x", "origin_y", "scale_x", "scale_y"])
 
-    files = spark.read.format("binaryFile").load(checked_path(path)).select("path", "content")
+    source = checked_path(path)
+    options = s3_options(settings) if source.startswith("s3a:") else {}
+    files = spark.read.format("binaryFile").options(**options).load(source).select("path", "content")
     return files.mapInArrow(run, PIXELS)
 
 

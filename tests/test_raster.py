@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.config import Settings
 from gridloom.errors import RasterAggregationException, RasterException
 from gridloom.functions import colors, geometry, tilemath
 from gridloom.operators import aggregate, catalog, layers, pyramid
@@ -199,6 +200,8 @@ def test_files_round_trip(spark, tmp_path):
     with pytest.raises(RasterException):
         rasterfile.checked_path("ftp://x/y.tif")
     assert rasterfile.checked_path("s3://bucket/key") == "s3a://bucket/key"
+    assert rasterfile.s3_options() == {"fs.s3a.requester.pays.enabled": "true"}
+    assert rasterfile.s3_options(Settings(s3_endpoint="http://store:9000"))["fs.s3a.endpoint"] == "http://store:9000"
 
 
 def test_images_and_export(spark):
