@@ -1,4 +1,4 @@
-"""The corpus queries op1 to op10 and their SQL."""
+"""The corpus queries op1 to op13 and their SQL."""
 
 from __future__ import annotations
 
@@ -16,8 +16,12 @@ from gridloom.llm.jaccard import link_documents
 from gridloom.llm.language import identify_documents
 from gridloom.llm.lines import ORACLE_SQL as LINES_SQL
 from gridloom.llm.lines import dedup_report
+from gridloom.llm.middle import ORACLE_SQL as MIDDLE_SQL
+from gridloom.llm.middle import report_middle
 from gridloom.llm.neighbours import search_embeddings
 from gridloom.llm.packing import pack_documents
+from gridloom.llm.secrets import oracle_sql as secrets_sql
+from gridloom.llm.secrets import report_secrets
 from gridloom.llm.sharding import shard_documents
 from gridloom.llm.substrings import ORACLE_SQL as REPEATS_SQL
 from gridloom.llm.substrings import report_repeats
@@ -74,6 +78,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans of every document; see ``secrets.find_secrets``."""
+    return report_secrets(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n, form, prefix_chars, middle_chars and digests of every document; see ``middle.fill_in_middle``."""
+    return report_middle(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -86,6 +100,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html": op8_html,
         "op9_packing": op9_packing,
         "op10_sharding": op10_sharding,
+        "op11_secrets": op11_secrets,
+        "op12_fill_in_middle": op12_fill_in_middle,
     }
 
 
@@ -94,4 +110,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": LINES_SQL,
         "op3_jaccard_join": LINKS_SQL,
         "op7_suffix_dedup": REPEATS_SQL,
+        "op11_secrets": secrets_sql(),
+        "op12_fill_in_middle": MIDDLE_SQL,
     }
