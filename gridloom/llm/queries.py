@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.bpe import encode_documents
 from gridloom.llm.common import table
+from gridloom.llm.conversations import ORACLE_SQL as REPAIR_SQL
+from gridloom.llm.conversations import repair_conversations
 from gridloom.llm.fingerprints import fingerprint_documents
 from gridloom.llm.html import extract_pages
 from gridloom.llm.jaccard import ORACLE_SQL as LINKS_SQL
@@ -88,6 +90,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report_middle(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, counts of faults, cost, audit, repaired_sha256 of every conversation; see ``conversations.repair_conversations``."""
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -102,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_sharding": op10_sharding,
         "op11_secrets": op11_secrets,
         "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
@@ -112,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_suffix_dedup": REPEATS_SQL,
         "op11_secrets": secrets_sql(),
         "op12_fill_in_middle": MIDDLE_SQL,
+        "op13_conversation_repair": REPAIR_SQL,
     }
