@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULTS
-from gridloom.errors import RasterException
+from gridloom.functions import projection
+from gridloom.functions.projection import HALF, RADIUS  # noqa: F401 - names that callers use
 
-#: The sphere's radius, half the world's width, and the highest zoom.
-RADIUS = 6378137.0
-HALF = math.pi * RADIUS
 WORLD = 2 * HALF
 
 
@@ -70,21 +66,13 @@ def nr_of_tiles(bbox: tuple[float, float, float, float], zoom: int) -> int:
 
 
 def project(x: float, y: float, from_srid: int, to_srid: int) -> tuple[float, float]:
-    """A point in another of the two systems EPSG:4326 and EPSG:3857."""
-    if {from_srid, to_srid} - {4326, 3857}:
-        raise RasterException(f"Cannot transform from {from_srid} to {to_srid}; only 4326 and 3857 are known.")
-    if from_srid == to_srid:
-        return x, y
-    if to_srid == 3857:
-        return x * (HALF / 180), math.log(math.tan(math.pi / 4 + y * (math.pi / 360))) * RADIUS
-    return x * (180 / HALF), (math.atan(math.exp(y / RADIUS)) * 2 - math.pi / 2) * (180 / math.pi)
+    """A point in another system; see ``projection.system`` for those that are known."""
+    return projection.transform(x, y, from_srid, to_srid)
 
 
 def project_bbox(bbox: tuple[float, float, float, float], from_srid: int, to_srid: int) -> tuple[float, float, float, float]:
-    """The box around the four corners of a box in another system."""
-    corners = [project(x, y, from_srid, to_srid) for x in (bbox[0], bbox[2]) for y in (bbox[1], bbox[3])]
-    xs, ys = zip(*corners, strict=True)
-    return min(xs), min(ys), max(xs), max(ys)
+    """The box around a box in another system."""
+    return projection.transform_bbox(bbox, from_srid, to_srid)
 
 
 def quadrants(bbox: tuple[float, float, float, float], zoom: int, size: int = DEFAULTS.quadrant_size) -> list[tuple[int, int, int, int]]:
@@ -98,14 +86,28 @@ def quadrant_key(x: Column, y: Column, size: int = DEFAULTS.quadrant_size) -> tu
     return F.floor(x / size).cast("int"), F.floor(y / size).cast("int")
 
 
+def spread(n: Column) -> Column:
+    """The bits of numbers below 2^31 with a zero before each."""
+    n = n.cast("long")
+    # The masks of halves, quarters and so on of a word.
+    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+        n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask))
+    return n
+
+
+def morton(x: Column, y: Column) -> Column:
+    """The place of a tile on a curve along which near tiles are near: the bits of both indexes in turns."""
+    return spread(x).bitwiseOR(F.shiftleft(spread(y), 1))
+
+
 def mercator(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Degrees to metres (EPSG:4326 to 3857)."""
-    return lon * (HALF / 180), F.ln(F.tan(F.lit(math.pi / 4) + lat * (math.pi / 360))) * RADIUS
+    return projection.transform(lon, lat, 4326, 3857, F)
 
 
 def degrees(x: Column, y: Column) -> tuple[Column, Column]:
     """Metres to degrees (EPSG:3857 to 4326)."""
-    return x * (180 / HALF), (F.atan(F.exp(y / RADIUS)) * 2 - math.pi / 2) * (180 / math.pi)
+    return projection.transform(x, y, 3857, 4326, F)
 
 
 def intersect(a: tuple, b: tuple) -> tuple | None:

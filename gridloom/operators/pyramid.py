@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULTS
 from gridloom.errors import RasterAlgebraException
+from gridloom.functions import tilemath
 from gridloom.operators.aggregate import edges, histogram
 from gridloom.operators.layers import drop_empty, drop_nodata, tiles_from_pixels
 
 
-def sampled(source: DataFrame, zoom: int, max_zoom: int) -> DataFrame:
-    """Pixels of a zoom taken from the source grid (gx, gy, value at ``max_zoom``) by nearest neighbour.
+#: Bytes of a row group of a tile table, some tens of tiles, so that a read of a few tiles skips most of a file.
+ROW_GROUP = 16 << 20
+
+
+def zooms_of_pixel(gx: Column, gy: Column, max_zoom: int, zooms: range | None = None) -> Column:
+    """The zooms whose grids hold a pixel of the finest grid, as an array.
 
-    Pixel i of a coarser grid is the source pixel under its centre, so each zoom
-    filters the source itself and nothing is grouped.
+    Pixel i of a grid that is r = 2^k times coarser is the source pixel under its
+    centre, r * i + r / 2. So besides the finest zoom a pixel serves at most one
+    other: that of k = 1 + its trailing zero bits, if column and row have equally many.
     """
-    ratio = 2 ** (max_zoom - zoom)
-    middle = ratio // 2
-    rows = source.where((F.col("gx") % ratio == middle) & (F.col("gy") % ratio == middle)) if ratio > 1 else source
-    return rows.select(F.lit(zoom).alias("tilez"), F.floor(F.col("gx") / ratio).cast("int").alias("gx"), F.floor(F.col("gy") / ratio).cast("int").alias("gy"), "value")
+    def zeros(n: Column) -> Column:
+        return F.bit_count(n.bitwiseAND(-n) - 1)
+
+    coarser = F.when((zeros(gx) == zeros(gy)) & (gx > 0) & (gy > 0), F.lit(max_zoom - 1) - zeros(gx)).otherwise(-1)
+    wanted = zooms if zooms is not None else range(max_zoom + 1)
+    return F.filter(F.array(F.lit(max_zoom), coarser), lambda z: z.isin(*wanted) if wanted else F.lit(False))
+
+
+def sampled(source: DataFrame, max_zoom: int, zooms: range | None = None) -> DataFrame:
+    """Pixels of all zooms from the source grid (gx, gy, value at ``max_zoom``) by nearest neighbour, in one pass over it."""
+    rows = source.select("gx", "gy", "value", F.explode(zooms_of_pixel(F.col("gx"), F.col("gy"), max_zoom, zooms)).alias("tilez"))
+    step = F.lit(max_zoom) - F.col("tilez")
+    shifted = [F.call_function("shiftright", F.col(c).cast("int"), step).alias(c) for c in ("gx", "gy")]
+    return rows.select("tilez", *shifted, "value")
 
 
 def create_tiles(source: DataFrame, max_zoom: int, tile_size: int, nodata: float | None, zooms: range | None = None) -> DataFrame:
-    """Tiles of all zooms from 0 to ``max_zoom``; tiles of nothing but nodata are left out."""
-    levels = reduce(lambda a, b: a.unionByName(b), [sampled(source, z, max_zoom) for z in zooms or range(max_zoom + 1)])
-    ts = tile_size
+    """Tiles of all zooms from 0 to ``max_zoom``; tiles of nothing but nodata are left out. One scan and one shuffle make all zooms."""
+    levels, ts = sampled(source, max_zoom, zooms), tile_size
     pixels = levels.select("tilez", F.floor(F.col("gx") / ts).cast("int").alias("tilex"), F.floor(F.col("gy") / ts).cast("int").alias("tiley"),
                            (F.col("gx") % ts).alias("px"), (F.col("gy") % ts).alias("py"), drop_nodata(F.col("value"), nodata).alias("value"))
     return drop_empty(tiles_from_pixels(pixels, ts))
@@ -42,9 +55,12 @@ def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0, batch
     """
     keys = ["layer_id", "band", *(["batch"] if batch is not None else []), "tilez"]
     named = [F.lit(batch).alias("batch")] if batch is not None else []
-    rows = tiles.select(F.lit(layer_id).alias("layer_id"), F.lit(band).alias("band"), *named, "tilez", "tilex", "tiley", "data")
-    by_quadrant = rows.repartition("tilez", F.floor(F.col("tilex") / DEFAULTS.quadrant_size), F.floor(F.col("tiley") / DEFAULTS.quadrant_size))
-    by_quadrant.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    # Tiles that name their band keep it.
+    own = F.col("band") if "band" in tiles.columns else F.lit(band)
+    rows = tiles.select(F.lit(layer_id).alias("layer_id"), own.alias("band"), *named, "tilez", "tilex", "tiley", "data")
+    by_quadrant = rows.repartition("band", "tilez", F.floor(F.col("tilex") / DEFAULTS.quadrant_size), F.floor(F.col("tiley") / DEFAULTS.quadrant_size))
+    near = by_quadrant.sortWithinPartitions("band", "tilez", tilemath.morton(F.col("tilex"), F.col("tiley")))
+    near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP).partitionBy(*keys).parquet(path)
 
 
 def band_metadata(pixels: DataFrame) -> DataFrame:

@@ -15,11 +15,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import colors, geometry, tilemath
+from gridloom.functions import colors, geometry, projection, tilemath
 from gridloom.operators import aggregate, catalog, layers, pyramid
 from gridloom.operators.algebra import evaluate_pixels, evaluate_tiles
 from gridloom.operators.layers import TILE, Layer
-from gridloom.sources import ingest, tilestore
+from gridloom.sources import images, ingest, source, tilestore, windows
+from gridloom.sources.byteranges import local_path
 
 TS, ZOOM, SIDE = 16, 2, 64
 BOX: geometry.Ring = [(8, 8), (24, 8), (24, 40), (8, 40)]
@@ -554,18 +555,25 @@ def write_read_tiles(spark, sf_dir):
 
 
 #: The grid as a raster in degrees: upper left corner, pixel size, and the zoom that fits.
-DEGREES = ingest.Source(SIDE, SIDE, (-10.0, 62.0), (0.5, -0.5), 4326)
+DEGREES = source.Source(SIDE, SIDE, (-10.0, 62.0), (0.5, -0.5), 4326)
 _TOP = DEGREES.max_zoom(tile_size=TS)
-_BOX = tilemath.tile_index_range(DEGREES.extent(), _TOP, 1e-6)
-_METRES = tilemath.tile_scale(_TOP, TS)
-_SNAPPED = f"""{PIX}, target AS (SELECT x.range AS tx, y.range AS ty, (x.range + 0.5::DOUBLE) * {_d(_METRES)} - {_d(tilemath.HALF)} AS x, {_d(tilemath.HALF)} - (y.range + 0.5::DOUBLE) * {_d(_METRES)} AS y
-  FROM range({_BOX[0] * TS}, {(_BOX[2] + 1) * TS}) x, range({_BOX[1] * TS}, {(_BOX[3] + 1) * TS}) y),
+
+
+def _snapped_sql(top: int) -> str:
+    """The grid's raster in degrees on the pixels of a zoom."""
+    box, metres = tilemath.tile_index_range(DEGREES.extent(), top, 1e-6), tilemath.tile_scale(top, TS)
+    return f"""{PIX}, target AS (SELECT x.range AS tx, y.range AS ty, (x.range + 0.5::DOUBLE) * {_d(metres)} - {_d(tilemath.HALF)} AS x, {_d(tilemath.HALF)} - (y.range + 0.5::DOUBLE) * {_d(metres)} AS y
+  FROM range({box[0] * TS}, {(box[2] + 1) * TS}) x, range({box[1] * TS}, {(box[3] + 1) * TS}) y),
 found AS (SELECT tx, ty, CAST(floor((x * {_d(180 / tilemath.HALF)} + 10) / 0.5) AS INT) AS gx, CAST(floor(((atan(exp(y / {_d(tilemath.RADIUS)})) * 2 - pi() / 2) * {_d(180 / math.pi)} - 62) / -0.5) AS INT) AS gy FROM target),
-snapped AS (SELECT tx, ty, raw AS value FROM found JOIN pix USING (gx, gy) WHERE raw IS NOT NULL)"""
+snapped AS (SELECT tx, ty, raw, q FROM found JOIN pix USING (gx, gy) WHERE raw IS NOT NULL)"""
+
 
+def _zooms_sql(top: int, value: str) -> str:
+    return f"""{_snapped_sql(top)}, lv AS (SELECT CAST(z.range AS INT) AS z, CAST(pow(2, {top} - z.range) AS INT) AS r FROM range({top + 1}) z)
+SELECT z AS tilez, CAST(tx // r AS INT) AS x, CAST(ty // r AS INT) AS y, {value} AS value FROM snapped, lv WHERE tx % r = r // 2 AND ty % r = r // 2"""
 
-@query(f"""{_SNAPPED}, lv AS (SELECT CAST(z.range AS INT) AS z, CAST(pow(2, {_TOP} - z.range) AS INT) AS r FROM range({_TOP + 1}) z)
-SELECT z AS tilez, CAST(tx // r AS INT) AS x, CAST(ty // r AS INT) AS y, value FROM snapped, lv WHERE tx % r = r // 2 AND ty % r = r // 2 AND abs(value) > 1e-8""")
+
+@query(f"{_zooms_sql(_TOP, 'raw')} AND abs(raw) > 1e-8")
 def ingest_pyramid(spark, sf_dir):
     """A raster in degrees, projected, snapped to the tile grid and tiled over all zooms."""
     tiles = ingest.pyramid_of(source_grid(spark, sf_dir, "cnt"), DEGREES, _TOP, TS, 0.0)
@@ -674,6 +682,114 @@ def wide_pyramid(spark, sf_dir):
     return pixels.groupBy("tilez").agg(F.count("*").alias("pixels"), F.sum("value").alias("total"))
 
 
+#: Sides of the cells and of the tiles of a raster file that grows with the table.
+_FILE_TS = 64
+_FILE = "WITH cells AS (SELECT l_partkey // 16 AS gx, l_orderkey // 128 AS gy, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2)"
+
+
+def raster_file(spark: SparkSession, sf_dir: str) -> str:
+    """A GeoTIFF of the quantities of line items by part and order, in strips; cells without any are 0."""
+    cells = read(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_partkey") / 16).cast("int").alias("gx"), F.floor(F.col("l_orderkey") / 128).cast("int").alias("gy")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    placed_ = cells.select(F.lit(0).alias("tilez"), F.floor(F.col("gx") / _FILE_TS).cast("int").alias("tilex"), F.floor(F.col("gy") / _FILE_TS).cast("int").alias("tiley"), (F.col("gx") % _FILE_TS).alias("px"), (F.col("gy") % _FILE_TS).alias("py"), "value")
+    tiles = layers.tiles_from_pixels(placed_, _FILE_TS)
+    box = (0, 0, *tiles.agg(F.max("tilex"), F.max("tiley")).first())
+    raw = images.mosaic_tiff(pyramid.mosaic(tiles, box, 0, _FILE_TS), box, _FILE_TS, (500_000.0, 5_000_000.0), (30.0, -30.0))
+    path = f"{tilestore.scratch(spark, 'file')}.tif"
+    with open(local_path(path), "wb") as out:
+        out.write(raw)
+    return path
+
+
+@query(f'{_FILE} SELECT CAST(gx // 50 AS INT) AS x, CAST(gy // 50 AS INT) AS y, sum(value) AS total, max(value) AS most, count(*) AS filled FROM cells GROUP BY 1, 2')
+def windowed_scan(spark, sf_dir):
+    """A raster file read by windows of some rows each, summed over squares of 50 pixels."""
+    blocks = windows.read_blocks(spark, raster_file(spark, sf_dir), pixels=1 << 14)
+    pixels = windows.pixels_of_blocks(blocks).where("value <> 0")
+    return pixels.groupBy(F.floor(F.col("gx") / 50).cast("int").alias("x"), F.floor(F.col("gy") / 50).cast("int").alias("y")).agg(F.sum("value").alias("total"), F.max("value").alias("most"), F.count("*").alias("filled"))
+
+
+@query(f"{_FILE} SELECT CAST(gx AS INT) AS gx, CAST(gy AS INT) AS gy, value FROM cells WHERE gx BETWEEN 7 AND 40 AND gy BETWEEN 11 AND 30")
+def windowed_scan_box(spark, sf_dir):
+    """A box of a raster file; windows outside it are not fetched."""
+    blocks = windows.read_blocks(spark, raster_file(spark, sf_dir), box=(7, 11, 40, 30), band=0)
+    return windows.pixels_of_blocks(blocks).where("value <> 0").select("gx", "gy", "value")
+
+
+#: The grid as a raster in a UTM zone, and that zone's projection as SQL: Krueger's series.
+UTM = source.Source(SIDE, SIDE, (466_400.0, 5_030_000.0), (1_000.0, -1_000.0), 32633)
+_UTM_TOP = UTM.max_zoom(tile_size=TS)
+_UTM_BOX = tilemath.tile_index_range(UTM.extent(), _UTM_TOP, 1e-6)
+_UTM_METRES = tilemath.tile_scale(_UTM_TOP, TS)
+_N3 = "(1::DOUBLE / 298.257223563 / (2 - 1::DOUBLE / 298.257223563))"
+_UTM_XY = f"""k AS (SELECT *, {_N3} AS n FROM degrees_),
+u AS (SELECT *, 2 * sqrt(n) / (1 + n) AS c, sin(radians(lat)) AS s, radians(lon - 15) AS away FROM k),
+v AS (SELECT *, sinh(atanh(s) - c * atanh(c * s)) AS t FROM u),
+w AS (SELECT *, atan2(t, cos(away)) AS xi, atanh(sin(away) / sqrt(1 + t * t)) AS eta, 0.9996 * 6378137 / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS scaled,
+      [n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 + 41 * n ** 4 / 180, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 + 557 * n ** 4 / 1440, 61 * n ** 3 / 240 - 103 * n ** 4 / 140, 49561 * n ** 4 / 161280] AS a FROM v),
+utm AS (SELECT *, 500000 + scaled * (eta + list_sum(list_transform([1, 2, 3, 4], lambda j: a[j] * cos(2 * j * xi) * sinh(2 * j * eta)))) AS east,
+        scaled * (xi + list_sum(list_transform([1, 2, 3, 4], lambda j: a[j] * sin(2 * j * xi) * cosh(2 * j * eta)))) AS north FROM w)"""
+
+
+@query(f"""{PIX}, degrees_ AS (SELECT tx, ty, x * {_d(180 / tilemath.HALF)} AS lon, (atan(exp(y / {_d(tilemath.RADIUS)})) * 2 - pi() / 2) * {_d(180 / math.pi)} AS lat FROM (
+  SELECT x.range AS tx, y.range AS ty, (x.range + 0.5::DOUBLE) * {_d(_UTM_METRES)} - {_d(tilemath.HALF)} AS x, {_d(tilemath.HALF)} - (y.range + 0.5::DOUBLE) * {_d(_UTM_METRES)} AS y
+  FROM range({_UTM_BOX[0] * TS}, {(_UTM_BOX[2] + 1) * TS}) x, range({_UTM_BOX[1] * TS}, {(_UTM_BOX[3] + 1) * TS}) y)),
+{_UTM_XY}, found AS (SELECT tx, ty, CAST(floor((east - {UTM.origin[0]}) / 1000) AS INT) AS gx, CAST(floor((north - {UTM.origin[1]}) / -1000) AS INT) AS gy FROM utm),
+snapped AS (SELECT tx, ty, raw AS value FROM found JOIN pix USING (gx, gy) WHERE abs(raw) > 1e-8),
+lv AS (SELECT CAST(z.range AS INT) AS z, CAST(pow(2, {_UTM_TOP} - z.range) AS INT) AS r FROM range({_UTM_TOP + 1}) z)
+SELECT z AS tilez, CAST(tx // r AS INT) AS x, CAST(ty // r AS INT) AS y, value FROM snapped, lv WHERE tx % r = r // 2 AND ty % r = r // 2""")
+def ingest_utm(spark, sf_dir):
+    """A raster in a UTM zone, warped block by block onto the tile grid of all zooms."""
+    tiles = ingest.pyramid_of(source_grid(spark, sf_dir, "cnt"), UTM, _UTM_TOP, TS, 0.0)
+    rows = layers.pixels_from_tiles(tiles, TS).where("value is not null")
+    return rows.select("tilez", (F.col("tilex") * TS + F.col("px")).cast("int").alias("x"), (F.col("tiley") * TS + F.col("py")).cast("int").alias("y"), "value")
+
+
+@query(f"""WITH degrees_ AS (SELECT event_id, 12 + event_id * 37 % 600 / 100.0::DOUBLE AS lon, event_id * 53 % 8000 / 100.0::DOUBLE AS lat FROM events), {_UTM_XY}
+SELECT event_id, round(east, 3) AS east, round(north, 3) AS north, round(lon, 9) AS lon, round(lat, 9) AS lat FROM utm""")
+def utm_round_trip(spark, sf_dir):
+    """Points to metres of a UTM zone and back to degrees."""
+    places = read(spark, sf_dir, "events").select("event_id", (F.lit(12) + F.col("event_id") * 37 % 600 / 100.0).alias("lon"), (F.col("event_id") * 53 % 8000 / 100.0).alias("lat"))
+    east, north = projection.transform(F.col("lon"), F.col("lat"), 4326, 32633, F)
+    metres = places.select("event_id", east.alias("east"), north.alias("north"))
+    lon, lat = projection.transform(F.col("east"), F.col("north"), 32633, 4326, F)
+    return metres.select("event_id", F.round("east", 3).alias("east"), F.round("north", 3).alias("north"), F.round(lon, 9).alias("lon"), F.round(lat, 9).alias("lat"))
+
+
+@query(_zooms_sql(_TOP - 1, "q"))
+def ingest_again(spark, sf_dir):
+    """A layer ingested to one zoom, and then other values of it to the zoom below only: nothing of the first is left."""
+    store = tilestore.scratch(spark, "again")
+    place = {"band": F.lit(0), "nodata": F.lit(-1.0), "origin_x": F.lit(-10.0), "origin_y": F.lit(62.0), "scale_x": F.lit(0.5), "scale_y": F.lit(-0.5)}
+    for value, zoom in (("cnt", _TOP), ("qty", _TOP - 1)):
+        ingest.ingest(spark, 3, source_grid(spark, sf_dir, value).withColumns(place), store, srid=4326, max_zoom=zoom, tile_size=TS)
+    rows = layers.pixels_from_tiles(tilestore.read_tiles(spark, f"{store}/tiles", 3), TS).where("value is not null")
+    return rows.select("tilez", (F.col("tilex") * TS + F.col("px")).cast("int").alias("x"), (F.col("tiley") * TS + F.col("py")).cast("int").alias("y"), "value")
+
+
+@query("""SELECT CAST(n_nationkey AS INT) AS layer_id FROM nation WHERE n_nationkey % 3 = 0 OR n_nationkey % 5 = 1 OR n_nationkey > 20""")
+def layers_to_ingest(spark, sf_dir):
+    """Layers of a catalog that changed since their last ingest, failed in it, or never had one."""
+    store = tilestore.scratch(spark, "catalog")
+    nation = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("layer_id"), F.concat(F.lit("rasters/"), "n_name").alias("rasterfile"), F.col("n_regionkey").cast("string").alias("nodata"))
+    before = catalog.ingest_fingerprint(nation).where("layer_id <= 20")
+    line = lambda at, state, mark: before.select("layer_id", F.to_timestamp(F.lit(at)).alias("at"), state.alias("state"), F.lit(None).cast("int").alias("zoom"), F.lit("").alias("message"), mark.alias("fingerprint"))
+    state = F.when(F.col("layer_id") % 5 == 1, catalog.STATES["FAILED"]).otherwise(catalog.STATES["FINISHED"])
+    log = line("2024-01-01", F.lit(catalog.STATES["DOWNLOADING"]), F.lit(None).cast("long")).unionByName(line("2024-01-02", state, F.when(state == catalog.STATES["FINISHED"], F.col("fingerprint"))))
+    log.write.parquet(f"{store}/log")
+    now = nation.withColumn("nodata", F.when(F.col("layer_id") % 3 == 0, "99").otherwise(F.col("nodata")))
+    return ingest.changed_layers(spark, now, store).select("layer_id")
+
+
+@query(f"{_WIDE} SELECT CAST(gx // 256 AS INT) AS tilex, CAST(gy // 256 AS INT) AS tiley, count(*) AS pixels, sum(qty) AS total FROM cells WHERE gx // 256 BETWEEN 0 AND 1 AND gy // 256 BETWEEN 1 AND 2 GROUP BY 1, 2")
+def tiles_in_box(spark, sf_dir):
+    """Tiles of a box from a stored table, whose files lie along a curve."""
+    path = tilestore.scratch(spark, "tiles")
+    pyramid.write_tiles(wide_layers(spark, sf_dir)["q"].tiles.select(*TILE, F.col("qty").alias("data")), path, 1)
+    there = F.filter("data", lambda v: v.isNotNull())
+    found = tilestore.read_tiles(spark, path, 1, zoom=WIDE_ZOOM, box=(0, 1, 1, 2)).select("tilex", "tiley", there.alias("v"))
+    return found.select("tilex", "tiley", F.size("v").cast("long").alias("pixels"), F.aggregate("v", F.lit(0.0), lambda s, v: s + v).alias("total"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

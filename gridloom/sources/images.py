@@ -111,10 +111,8 @@ def readme_text(formula: str, zoom: int, box: tuple[int, int, int, int], layers:
     return "\n".join(lines)
 
 
-def export_archive(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: int, origin: tuple[float, float], scale: tuple[float, float],
-                   formula: str, colormap: dict, filename: str = "", zoom: int = 0, layers: dict[str, tuple[int, str]] | None = None, bbox: tuple | None = None, url: str = "",
-                   description: str = "", nodata: float = 0.0, now: datetime | None = None) -> tuple[str, bytes]:
-    """File name and ZIP of one mosaic with its colour map and a README.
+def mosaic_tiff(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: int, origin: tuple[float, float], scale: tuple[float, float], nodata: float | None = None) -> bytes:
+    """A GeoTIFF of one mosaic.
 
     Each row of tiles is a strip that a task compresses; the driver only strings
     the strips together, as an export is one file, whose size the mosaic
@@ -130,10 +128,17 @@ def export_archive(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size:
 
     dealt = mosaic.select("gx", "gy", "value", F.floor(F.col("gy") / tile_size).cast("int").alias("strip"))
     strips = [bytes(r["packed"]) for r in sorted(dealt.groupBy("strip").applyInArrow(compress, "strip int, packed binary").collect())]
+    return tiff_of_strips([strips], width, height, tile_size, origin, scale, nodata)
+
+
+def export_archive(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: int, origin: tuple[float, float], scale: tuple[float, float],
+                   formula: str, colormap: dict, filename: str = "", zoom: int = 0, layers: dict[str, tuple[int, str]] | None = None, bbox: tuple | None = None, url: str = "",
+                   description: str = "", nodata: float = 0.0, now: datetime | None = None) -> tuple[str, bytes]:
+    """File name and ZIP of one mosaic with its colour map and a README."""
     name = export_name(filename, now)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
-        archive.writestr(f"{name}.tif", tiff_of_strips([strips], width, height, tile_size, origin, scale, nodata))
+        archive.writestr(f"{name}.tif", mosaic_tiff(mosaic, box, tile_size, origin, scale, nodata))
         archive.writestr("README.txt", readme_text(formula, zoom, box, layers or {}, bbox, url, description, now))
         archive.writestr("COLORMAP.txt", colormap_text(colormap))
     return f"{name}.zip", out.getvalue()

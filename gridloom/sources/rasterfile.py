@@ -1,7 +1,7 @@
-"""Raster files as pixel rows: ESRI ASCII grids and TIFFs, also inside ZIP archives.
+"""The formats of raster files: ESRI ASCII grids and TIFFs, also inside ZIP archives.
 
-Spark lists and reads the files (local, HTTP-mounted, object stores: whatever
-its file systems reach); a small decoder runs in the tasks that read them.
+A TIFF is read through a function that fetches bytes, so that its tags, and any
+of its strips or tiles, can be read alone; see ``windows`` for the scan.
 """
 
 from __future__ import annotations
@@ -10,11 +10,11 @@ import io
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,24 +88,32 @@ def unpack_lzw(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_tags(raw: bytes) -> tuple[str, dict[int, list]]:
-    """Byte order and tags of the first image of a TIFF or BigTIFF."""
+#: Reads bytes of a source: ``fetch(start, length)``, fewer where the source ends.
+Fetch = Callable[[int, int], bytes]
+
+
+def fetch_of(raw: bytes) -> Fetch:
+    return lambda start, length: raw[start : start + length]
+
+
+def read_tags(fetch: Fetch) -> tuple[str, dict[int, list]]:
+    """Byte order and tags of the first image of a TIFF or BigTIFF; only the bytes of the tags are read."""
+    raw = fetch(0, 16)
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     kind = struct.unpack(order + "H", raw[2:4])[0] if order and len(raw) >= 8 else 0
     if kind not in (42, 43):
         raise RasterException("Not a TIFF.")
     place, step, number, count = ("I", 12, 4, "H") if kind == 42 else ("Q", 20, 8, "Q")
     at = struct.unpack_from(order + place, raw, 4 if kind == 42 else 8)[0]
-    entries = struct.unpack_from(order + count, raw, at)[0]
-    at += struct.calcsize(count)
+    entries = struct.unpack(order + count, fetch(at, struct.calcsize(count)))[0]
+    listed = fetch(at + struct.calcsize(count), entries * step)
     tags: dict[int, list] = {}
     letters = {1: "B", 2: "s", 3: "H", 4: "I", 11: "f", 12: "d", 16: "Q"}
     for k in range(entries):
-        tag, sort, n = struct.unpack_from(order + "HH" + place, raw, at + step * k)
-        size, value = SIZES.get(sort, 1) * n, at + step * k + 4 + number
-        start = value if size <= number else struct.unpack_from(order + place, raw, value)[0]
+        tag, sort, n = struct.unpack_from(order + "HH" + place, listed, step * k)
+        size, value = SIZES.get(sort, 1) * n, listed[step * k + 4 + number : step * (k + 1)]
         if sort in letters:
-            part = raw[start : start + size]
+            part = value[:size] if size <= number else fetch(struct.unpack(order + place, value)[0], size)
             tags[tag] = [part.rstrip(b"\0").decode("ascii", "replace")] if sort == 2 else list(struct.unpack(f"{order}{n}{letters[sort]}", part))
     return order, tags
 
@@ -117,35 +125,119 @@ def srid_of(tags: dict[int, list]) -> int | None:
     return next((found[k] for k in (3072, 2048) if found.get(k, 32767) != 32767), None)
 
 
-def decode_tiff(raw: bytes) -> Raster:
-    """A TIFF or BigTIFF of strips or tiles, plain, deflated or LZW, with its georeference and nodata."""
-    order, tags = read_tags(raw)
+@dataclass(frozen=True)
+class Layout:
+    """How the pixels of a TIFF lie in its file: strips or tiles of ``high`` rows and ``wide`` columns, plane after plane."""
+
+    width: int
+    height: int
+    samples: int
+    kind: str
+    packing: int
+    predictor: int
+    planes: bool
+    tiled: bool
+    wide: int
+    high: int
+    nodata: float | None
+    origin: tuple[float, float]
+    scale: tuple[float, float]
+    srid: int | None
+
+    @property
+    def across(self) -> int:
+        return -(-self.width // self.wide)
+
+    @property
+    def down(self) -> int:
+        return -(-self.height // self.high)
+
+    @property
+    def per(self) -> int:
+        """Samples of a pixel that lie together."""
+        return 1 if self.planes else self.samples
+
+    def block(self, k: int) -> tuple[int, int, int, int]:
+        """First band, first row, first column and stored rows of a strip or tile."""
+        plane, place = divmod(k, self.across * self.down)
+        row, column = divmod(place, self.across)
+        return plane, row * self.high, column * self.wide, self.high if self.tiled else min(self.high, self.height - row * self.high)
+
+
+def tiff_layout(fetch: Fetch) -> tuple[Layout, list[tuple[int, int]]]:
+    """The layout of a TIFF, and the start and size in bytes of each of its strips or tiles."""
+    order, tags = read_tags(fetch)
     packing, predictor, planar = tags.get(COMPRESSION, [1])[0], tags.get(PREDICTOR, [1])[0], tags.get(PLANAR, [1])[0]
     tiled = TILES in tags
-    if packing not in (1, 5, 8, 32946) or predictor not in (1, 2) or WIDTH not in tags or HEIGHT not in tags or not (tiled or STRIPS in tags):
+    if packing not in (1, 5, 8, 32946) or predictor not in (1, 2, 3) or WIDTH not in tags or HEIGHT not in tags or not (tiled or STRIPS in tags):
         raise RasterException("This kind of TIFF cannot be read.")
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, [1])[0]
     letter, bits = {1: "u", 2: "i", 3: "f"}.get(tags.get(FORMAT, [1])[0]), tags.get(BITS, [8])[0]
-    if letter is None or bits not in (8, 16, 32, 64):
+    if letter is None or bits not in (8, 16, 32, 64) or (predictor == 3 and letter != "f"):
         raise RasterException("Samples of this kind cannot be read.")
-    kind = np.dtype(f"{order}{letter}{bits // 8}")
     wide, high = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS_PER_STRIP, [height])[0]))
-    across, down, per = -(-width // wide), -(-height // high), 1 if planar == 2 else samples
-    planes = np.zeros((samples, down * high, across * wide), kind.newbyteorder("="))
-    places = zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True)
-    unpack = {1: bytes, 5: unpack_lzw}.get(packing, zlib.decompress)
-    for k, (start, size) in enumerate(places):
-        plane, block = divmod(k, across * down)
-        row, column = divmod(block, across)
-        rows = high if tiled else min(high, height - row * high)
-        part = np.frombuffer(unpack(raw[start : start + size]), kind, rows * wide * per).reshape(rows, wide, per).astype(planes.dtype)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=part.dtype)
-        planes[plane if planar == 2 else slice(None), row * high : row * high + rows, column * wide : (column + 1) * wide] = part[:, :, 0] if planar == 2 else part.transpose(2, 0, 1)
     scale, tie = tags.get(SCALE, [1.0, 1.0]), tags.get(TIE, [0.0] * 6)
     nodata = float(tags[NODATA_TAG][0]) if NODATA_TAG in tags else None
     origin = tie[3] - tie[0] * scale[0], tie[4] + tie[1] * scale[1]
-    return Raster(list(planes[:, :height, :width]), nodata, origin, (scale[0], -scale[1]), srid_of(tags))
+    layout = Layout(width, height, samples, f"{order}{letter}{bits // 8}", packing, predictor, planar == 2, tiled, wide, high, nodata, origin, (scale[0], -scale[1]), srid_of(tags))
+    return layout, list(zip(tags[TILES if tiled else STRIPS], tags[TILE_BYTES if tiled else STRIP_BYTES], strict=True))
+
+
+#: Compressed bytes that are read at once.
+CHUNK = 1 << 20
+
+
+def unpacked(fetch: Fetch, layout: Layout, start: int, size: int, piece: int) -> Iterator[bytes]:
+    """The bytes of a strip or tile in pieces of ``piece`` bytes; only LZW is unpacked as a whole."""
+    if layout.packing == 5:
+        raw = unpack_lzw(fetch(start, size))
+        yield from (raw[k : k + piece] for k in range(0, len(raw), piece))
+        return
+    unpack = None if layout.packing == 1 else zlib.decompressobj()
+    held = b""
+    for at in range(start, start + size, CHUNK):
+        raw = fetch(at, min(CHUNK, start + size - at))
+        while raw:
+            held += raw if unpack is None else unpack.decompress(raw, max(piece - len(held), 1))
+            raw = b"" if unpack is None else unpack.unconsumed_tail
+            while len(held) >= piece:
+                yield held[:piece]
+                held = held[piece:]
+    held += b"" if unpack is None else unpack.flush()
+    yield from (held[k : k + piece] for k in range(0, len(held), piece))
+
+
+def block_rows(fetch: Fetch, layout: Layout, k: int, start: int, size: int, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """First row and samples (rows, columns, samples) of parts of a strip or tile, of at most about ``most`` pixels each."""
+    kind, per = np.dtype(layout.kind), layout.per
+    row_bytes = layout.wide * per * kind.itemsize
+    _, first, _, rows = layout.block(k)
+    at = 0
+    for raw in unpacked(fetch, layout, start, size, max(1, most // (layout.wide * per)) * row_bytes):
+        n = min(len(raw) // row_bytes, rows - at)
+        if n <= 0:
+            return
+        if layout.predictor == 3:
+            # Bytes of a row are differences, the highest bytes of all its samples first.
+            spread = np.cumsum(np.frombuffer(raw, np.uint8, n * row_bytes).reshape(n, -1, per), axis=1, dtype=np.uint8).reshape(n, kind.itemsize, -1)
+            part = np.ascontiguousarray(spread.transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(n, layout.wide, per)
+        else:
+            part = np.frombuffer(raw, kind, n * layout.wide * per).reshape(n, layout.wide, per)
+        part = part.astype(kind.newbyteorder("="))
+        yield first + at, np.cumsum(part, axis=1, dtype=part.dtype) if layout.predictor == 2 else part
+        at += n
+
+
+def decode_tiff(raw: bytes) -> Raster:
+    """A TIFF or BigTIFF of strips or tiles, plain, deflated or LZW, with its georeference and nodata."""
+    fetch = fetch_of(raw)
+    layout, places = tiff_layout(fetch)
+    planes = np.zeros((layout.samples, layout.down * layout.high, layout.across * layout.wide), np.dtype(layout.kind).newbyteorder("="))
+    for k, (start, size) in enumerate(places):
+        plane, _, column, _ = layout.block(k)
+        for row, part in block_rows(fetch, layout, k, start, size, 1 << 20):
+            planes[plane : plane + layout.per, row : row + len(part), column : column + layout.wide] = part.transpose(2, 0, 1)
+    return Raster(list(planes[:, : layout.height, : layout.width]), layout.nodata, layout.origin, layout.scale, layout.srid)
 
 
 def decode(raw: bytes) -> Raster:
@@ -178,32 +270,10 @@ def s3_options(settings: Settings = DEFAULTS) -> dict[str, str]:
 
 
 def read_rasters(spark: SparkSession, path: str, nodata: float | None = None, settings: Settings = DEFAULTS) -> DataFrame:
-    """One row per pixel of every file below ``path``; ``nodata`` overrides that of the files.
-
-    Options of s3 hold for the file systems that this read opens; one that the
-    session has opened for the same bucket before keeps its own.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raster = decode(raw)
-                empty = nodata if nodata is not None else raster.nodata
-                for number, band in enumerate(raster.bands):
-                    height, width = band.shape
-                    for top in range(0, height, max(1, (1 << 18) // max(width, 1))):
-                        rows = band[top : top + max(1, (1 << 18) // max(width, 1))]
-                        n = rows.size
-                        same = lambda v, kind=pa.float64(), n=n: pa.array([v] * n, kind)
-                        yield pa.RecordBatch.from_arrays(
-                            [same(name, pa.string()), same(number, pa.int32()), pa.array(np.tile(np.arange(width), len(rows)), pa.int32()), pa.array(np.repeat(np.arange(top, top + len(rows)), width), pa.int32()),
-                             pa.array(rows.ravel().astype(np.float64)), same(empty), same(raster.origin[0]), same(raster.origin[1]), same(raster.scale[0]), same(raster.scale[1])],
-                            names=["path", "band", "gx", "gy", "value", "nodata", "origin_x", "origin_y", "scale_x", "scale_y"])
-
-    source = checked_path(path)
-    options = s3_options(settings) if source.startswith("s3a:") else {}
-    files = spark.read.format("binaryFile").options(**options).load(source).select("path", "content")
-    return files.mapInArrow(run, PIXELS)
+    """One row per pixel of every file at ``path``, in the columns PIXELS; see ``windows.read_blocks``."""
+    from gridloom.sources.windows import pixels_of_blocks, read_blocks  # the scan builds on this module
+
+    return pixels_of_blocks(read_blocks(spark, path, nodata, settings=settings))
 
 
 def without_nodata(pixels: DataFrame, nodata: float) -> DataFrame:

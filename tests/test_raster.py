@@ -396,7 +396,7 @@ def test_ingest_of_a_file_in_degrees(spark, tmp_path):
     assert child == [deepest.data[2 * 4 + 1]] * 16 and tilestore.tile_at(tiles.where("tilez > 0"), 0, 0, 0, 4) is None
     assert tilestore.drop_tiles(spark, store + "/tiles", 4) and not tilestore.drop_tiles(spark, store + "/tiles", 4)
     with pytest.raises(RasterException):
-        ingest.ingest(spark, 5, pixels, store, srid=32610, tile_size=4)
+        ingest.ingest(spark, 5, pixels, store, srid=27700, tile_size=4)
     assert {r.layer_id: r.state for r in ingest.parse_status(spark, store).collect()} == {4: 5, 5: 6}
     with pytest.raises(RasterException):
         ingest.ingest(spark, 6, pixels.limit(0), store)
