@@ -75,18 +75,6 @@ def in_box(tilex: Column, tiley: Column, box: tuple[int, int, int, int]) -> Colu
     return tilex.between(box[0], box[2]) & tiley.between(box[1], box[3])
 
 
-def zones_of_tiles(polygons: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
-    """Each tile beside each polygon (polygon_id, rings) whose box meets it, with both tables' other columns.
-
-    Rings hold structs x, y in pixels of the tiles' zoom. Polygons are opened to
-    the tiles of their boxes and meet tiles by equality of indexes.
-    """
-    numbers = lambda c: F.flatten(F.transform("rings", lambda ring: F.transform(ring, lambda p: p[c])))
-    span = lambda c: F.sequence(F.floor(F.array_min(numbers(c)) / tile_size).cast("int"), F.floor(F.array_max(numbers(c)) / tile_size).cast("int"))
-    opened = polygons.where(F.size(numbers("x")) > 0).withColumn("tilex", F.explode(span("x"))).withColumn("tiley", F.explode(span("y")))
-    return opened.join(tiles, ["tilex", "tiley"])
-
-
 def in_rings(x: Column, y: Column, rings: Column) -> Column:
     """Whether a point lies in the polygon of a column of rings, by the parity of crossed sides."""
     def crossed(ring: Column) -> Column:
@@ -95,12 +83,3 @@ def in_rings(x: Column, y: Column, rings: Column) -> Column:
         return F.aggregate(F.zip_with(ring, after, meets), F.lit(0), lambda n, hit: n + F.coalesce(hit, F.lit(False)).cast("int"))
 
     return F.aggregate(F.transform(rings, crossed), F.lit(0), lambda n, m: n + m) % 2 == 1
-
-
-def zonal_count(polygons: DataFrame, tiles: DataFrame, tile_size: int) -> DataFrame:
-    """polygon_id, value, count of the pixels whose centres lie in each polygon; nodata does not count."""
-    met = zones_of_tiles(polygons.select("polygon_id", "rings"), tiles.select("tilex", "tiley", "data"), tile_size)
-    pixels = met.select("polygon_id", "rings", "tilex", "tiley", F.posexplode("data").alias("pos", "value")).where("value is not null")
-    gx, gy = F.col("tilex") * tile_size + F.col("pos") % tile_size, F.col("tiley") * tile_size + F.floor(F.col("pos") / tile_size)
-    inside = pixels.where(in_rings(gx + 0.5, gy + 0.5, F.col("rings")))
-    return inside.groupBy("polygon_id", "value").agg(F.count("*").alias("count"))

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.functions import colors, geometry, projection, tilemath
+from gridloom.functions import colors, coverage, geometry, projection, tilemath
 from gridloom.operators import aggregate, catalog, layers, pyramid
 from gridloom.operators.algebra import evaluate_pixels, evaluate_tiles
 from gridloom.operators.layers import TILE, Layer
@@ -614,7 +614,51 @@ def _zone_sql(x: str, y: str) -> str:
 SELECT polygon_id, raw AS value, count(*) AS "count" FROM pix, zones WHERE raw IS NOT NULL AND {_zone_sql('(gx + 0.5::DOUBLE)', '(gy + 0.5::DOUBLE)')} GROUP BY 1, 2""")
 def zonal_value_count(spark, sf_dir):
     """Counts of values in each polygon of a table, with holes and parts that lie apart."""
-    return geometry.zonal_count(_zones(spark, sf_dir), layer(spark, sf_dir, "cnt", None).tiles, TS)
+    return coverage.zonal_count(_zones(spark, sf_dir), layer(spark, sf_dir, "cnt", None).tiles, TS, ZOOM)
+
+
+def _zone_touched_sql(x: str, y: str) -> str:
+    sides = [side for ring in _ZONE for side in zip(ring, ring[1:] + ring[:1], strict=True)]
+
+    def meets(a, b) -> str:
+        x1, y1, x2, y2 = (f"({_d(v)} + {z})" for v, z in zip((*a, *b), ("zx", "zy", "zx", "zy"), strict=True))
+        turns = ", ".join(f"({cy} - {y1}) * ({x2} - {x1}) - ({cx} - {x1}) * ({y2} - {y1})" for cx in (x, f"({x} + 1)") for cy in (y, f"({y} + 1)"))
+        return f"({x} <= greatest({x1}, {x2}) AND {x} + 1 >= least({x1}, {x2}) AND {y} <= greatest({y1}, {y2}) AND {y} + 1 >= least({y1}, {y2}) AND least({turns}) <= 0 AND greatest({turns}) >= 0)"
+
+    return "(" + " OR ".join([_zone_sql(f"({x} + 0.5::DOUBLE)", f"({y} + 0.5::DOUBLE)"), *(meets(a, b) for a, b in sides)]) + ")"
+
+
+_ZONES_SQL = "zones AS (SELECT n_nationkey AS polygon_id, CAST(n_nationkey * 7 % 50 AS DOUBLE) AS zx, CAST(n_nationkey * 11 % 45 AS DOUBLE) AS zy FROM nation)"
+_CELLS_SQL = f"cells AS (SELECT CAST(x.range AS INT) AS gx, CAST(y.range AS INT) AS gy FROM range({SIDE}) x, range({SIDE}) y)"
+
+
+@query(f"{PIX}, {_ZONES_SQL} SELECT polygon_id, raw AS value, count(*) AS \"count\" FROM pix, zones WHERE raw IS NOT NULL AND {_zone_touched_sql('gx', 'gy')} GROUP BY 1, 2")
+def zonal_all_touched(spark, sf_dir):
+    """Counts of values in each polygon of a table, of all pixels that it touches."""
+    return coverage.zonal_count(_zones(spark, sf_dir), layer(spark, sf_dir, "cnt", None).tiles, TS, ZOOM, all_touched=True)
+
+
+@query(f"WITH {_ZONES_SQL}, {_CELLS_SQL} SELECT polygon_id, gx, gy FROM cells, zones WHERE {_zone_sql('(gx + 0.5::DOUBLE)', '(gy + 0.5::DOUBLE)')}")
+def rasterize_zones(spark, sf_dir):
+    """Pixels whose centres lie in polygons of a table, by runs of rows."""
+    return coverage.covered_pixels(_zones(spark, sf_dir), ZOOM, TS)
+
+
+@query(f"WITH {_ZONES_SQL}, {_CELLS_SQL} SELECT polygon_id, gx, gy FROM cells, zones WHERE {_zone_touched_sql('gx', 'gy')}")
+def rasterize_zones_touched(spark, sf_dir):
+    """Pixels that polygons of a table touch."""
+    return coverage.covered_pixels(_zones(spark, sf_dir), ZOOM, TS, all_touched=True)
+
+
+@query(f"{PIX}, {_ZONES_SQL} SELECT zx AS polygon_id, CAST(count(*) AS BIGINT) AS pixels, sum(q) AS total FROM pix, (SELECT DISTINCT CAST(n_regionkey AS INT) AS zx FROM nation) WHERE q IS NOT NULL AND gx + 0.5 >= zx AND gx + 0.5 < 60 - zx AND gy + 0.5 >= 2 * zx AND gy + 0.5 < 50 GROUP BY 1")
+def zonal_wide(spark, sf_dir):
+    """Totals in boxes over most of the grid, one for each region: most of their tiles lie in cells inside."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    r = F.col("polygon_id")
+    boxes = read(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("int").alias("polygon_id")).distinct()
+    boxes = boxes.select("polygon_id", F.array(F.array(point(r, r * 2), point(60 - r, r * 2), point(60 - r, F.lit(50)), point(r, F.lit(50)))).alias("rings"))
+    counts = coverage.zonal_count(boxes, layer(spark, sf_dir, "qty", None).tiles, TS, ZOOM)
+    return counts.groupBy("polygon_id").agg(F.sum("count").alias("pixels"), F.sum(F.col("value") * F.col("count")).alias("total"))
 
 
 def _metres(ring: geometry.Ring) -> geometry.Shape:

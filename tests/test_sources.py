@@ -271,3 +271,64 @@ def test_only_changed_layers_are_ingested(spark, tmp_path):
     assert ingest.ingest_changed(spark, layers_of("", "2", ""), store, settings) == [1, 2]
     assert ingest.ingest_changed(spark, layers_of("", "2", ""), store, settings) == []
     assert tilestore.read_tiles(spark, store + "/tiles", 1).count() == 0 and tilestore.read_tiles(spark, store + "/tiles", 2).count() > 0
+
+
+def polygons_of(spark, shapes):
+    rows = [(k, [[{"x": float(x), "y": float(y)} for x, y in ring] for ring in rings]) for k, rings in shapes.items()]
+    return spark.createDataFrame(rows, "polygon_id int, rings array<array<struct<x:double,y:double>>>")
+
+
+def even_odd(rings, x, y):
+    hits = 0
+    for ring in rings:
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+            hits += (y1 > y) != (y2 > y) and x < x1 + (y - y1) * ((x2 - x1) / (y2 - y1))
+    return hits % 2 == 1
+
+
+def test_cells_and_runs_cover_what_points_say(spark):
+    from gridloom.functions import coverage
+
+    rng = np.random.default_rng(4)
+    shapes = {k: [[tuple(p) for p in rng.uniform(-20, 84, (int(n), 2))]] for k, n in enumerate(rng.integers(3, 9, 6))}
+    shapes[7] = [[(-100, -100), (200, -100), (200, 200), (-100, 200)]]  # holds the whole grid; no side touches it
+    shapes[8] = [[(90, 90), (95, 90), (95, 95)]]
+    shapes[9] = [[(16, 16), (48, 16), (48, 48), (16, 48)], [(20, 20), (30, 20), (30, 30), (20, 30)]]
+    shapes[10] = [[]]
+    table = polygons_of(spark, shapes)
+    want = {(k, x, y) for k, rings in shapes.items() for x in range(64) for y in range(64) if even_odd(rings, x + 0.5, y + 0.5)}
+    assert {tuple(r) for r in coverage.covered_pixels(table, 3, 8).collect()} == want
+    # Full cells are the largest that no side touches, and with partial tiles they hold every covered pixel once.
+    cells = coverage.cover(table, 3, 8).collect()
+    of = {}
+    for r in cells:
+        side = 64 >> r.level
+        for x in range(r.cx * side, (r.cx + 1) * side):
+            for y in range(r.cy * side, (r.cy + 1) * side):
+                assert (r.polygon_id, x, y) not in of
+                of[r.polygon_id, x, y] = r.full
+    assert all(p in want for p, full in of.items() if full) and want <= set(of)
+    assert [(r.level, r.full) for r in cells if r.polygon_id == 7] == [(0, True)] and not [r for r in cells if r.polygon_id in (8, 10)]
+    data = rng.integers(0, 4, 64 * 64)
+    rows = [(3, x // 8, y // 8, x % 8, y % 8, float(data[y * 64 + x]) if data[y * 64 + x] else None) for x in range(64) for y in range(64)]
+    tiles = layers.tiles_from_pixels(spark.createDataFrame(rows, "tilez int, tilex int, tiley int, px int, py int, value double"), 8)
+    counts = {}
+    for k, x, y in want:
+        if data[y * 64 + x]:
+            counts[k, float(data[y * 64 + x])] = counts.get((k, float(data[y * 64 + x])), 0) + 1
+    assert {(r.polygon_id, r.value): r["count"] for r in coverage.zonal_count(table, tiles, 8).collect()} == counts
+
+
+def test_a_huge_polygon_opens_only_tiles_on_its_outline(spark):
+    from gridloom.functions import coverage
+
+    n = 256 * 2**12
+    table = polygons_of(spark, {1: [[(10, 10), (n / 2, 10), (n / 2, n - 10), (10, n - 10)]]})
+    cells = coverage.cover(table, 12, 256)
+    full = cells.where("full").agg(F.sum(F.pow(F.lit(4.0), 12 - F.col("level"))).alias("tiles"), F.count("*").alias("cells")).first()
+    # Sides run along the first tiles and along the border in the middle, which belongs to tiles of both sides.
+    assert full.tiles == 2046 * 4094 and full.cells < 40_000
+    assert cells.where("not full").count() == 2 * 4096 + 4096 + 2 * 2046
+    tiles = spark.createDataFrame([(12, 700, 900, [1.0] * 16), (12, 0, 0, [2.0] * 16), (12, 3000, 5, [3.0] * 16)], "tilez int, tilex int, tiley int, data array<double>")
+    met = coverage.tiles_of_polygons(table, tiles, 12, 256).collect()
+    assert sorted((r.tilex, r.tiley, r.full) for r in met) == [(0, 0, False), (700, 900, True)]
