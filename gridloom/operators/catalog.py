@@ -45,12 +45,14 @@ def get_session_colormap(session: str, key: str) -> dict | None:
 
 
 def resolve_colormap(legends: DataFrame, colormap: dict | None = None, legend: str | None = None, session: str | None = None, layer_legend: str | None = None,
-                     value_range: tuple[float, float] = (0.0, 255.0), entries: set[int] | None = None) -> dict:
+                     value_range: tuple[float, float] = (0.0, 255.0), entries: set[int] | None = None, band: tuple[DataFrame, int] | None = None) -> dict:
     """The colour map of a request.
 
     An explicit one comes first, then a legend by session key, id or title, then
     the layer's own, else grey from black to white over the range. An unknown
-    title is an error. ``entries`` keeps only the entries at these places.
+    title is an error. ``entries`` keeps only the entries at these places. A
+    continuous map that names no range takes that of ``band``: the table of
+    band statistics (layer_id, band, min, max) and a layer's id.
     """
     found = colormap
     if found is None and legend is not None:
@@ -65,10 +67,18 @@ def resolve_colormap(legends: DataFrame, colormap: dict | None = None, legend: s
         found = legend_colormap(layer_legend)
     if found is None:
         return {"continuous": True, "from": (0, 0, 0, 255), "to": (255, 255, 255, 255), "range": value_range}
+    if found.get("continuous") and "range" not in found and band is not None:
+        found = found | band_range(*band)
     found = {k: hex_to_rgba(v) if isinstance(v, str) else v for k, v in found.items()}
     return {k: v for i, (k, v) in enumerate(found.items()) if i in entries} if entries is not None else found
 
 
+def band_range(bands: DataFrame, layer_id: int, band: int = 0) -> dict[str, tuple[float, float]]:
+    """The least and greatest value of a band as the ``range`` of a colour map; nothing for a band without statistics."""
+    row = bands.where((F.col("layer_id") == layer_id) & (F.col("band") == band)).select("min", "max").first()
+    return {} if row is None or row["min"] is None else {"range": (row["min"], row["max"])}
+
+
 def ingest_fingerprint(layers: DataFrame) -> DataFrame:
     """A hash of the fields that decide a layer's tiles."""
     return layers.withColumn("fingerprint", F.xxhash64(*[F.col(c) for c in INGEST_FIELDS if c in layers.columns]))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions import colors, coverage, geometry, projection, tilemath
-from gridloom.operators import aggregate, catalog, layers, pyramid
+from gridloom.operators import aggregate, catalog, focal, layers, pyramid
 from gridloom.operators.algebra import evaluate_pixels, evaluate_tiles
 from gridloom.operators.layers import TILE, Layer
 from gridloom.sources import images, ingest, source, tilestore, windows
@@ -834,6 +834,35 @@ def tiles_in_box(spark, sf_dir):
     return found.select("tilex", "tiley", F.size("v").cast("long").alias("pixels"), F.aggregate("v", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 
+@query(f"""{PIX}, near AS (SELECT p.gx, p.gy, o.q, CASE WHEN o.gx = p.gx AND o.gy = p.gy THEN 5 ELSE 1 END AS w FROM pix p JOIN pix o ON abs(o.gx - p.gx) <= 1 AND abs(o.gy - p.gy) <= 1 WHERE p.q IS NOT NULL AND o.q IS NOT NULL)
+SELECT gx, gy, round(sum(q * w) / sum(w), 6) AS value FROM near GROUP BY 1, 2""")
+def focal_smooth(spark, sf_dir):
+    """The weighted mean of each pixel and its neighbours, across the borders of tiles."""
+    made = focal.focal_mean(layer(spark, sf_dir, "qty", None).tiles, TS)
+    return placed(layers.pixels_from_tiles(made, TS).where("value is not null")).select("gx", "gy", F.round("value", 6).alias("value"))
+
+
+@query(f"""{PIX}, v AS (SELECT gx, gy, least(q, 255) AS q FROM pix WHERE q IS NOT NULL),
+near AS (SELECT p.gx, p.gy, p.q AS own, sum(o.q * CASE WHEN o.gx = p.gx AND o.gy = p.gy THEN 5 ELSE 1 END) / sum(CASE WHEN o.gx = p.gx AND o.gy = p.gy THEN 5 ELSE 1 END) AS smooth FROM v p JOIN v o ON abs(o.gx - p.gx) <= 1 AND abs(o.gy - p.gy) <= 1 GROUP BY 1, 2, 3)
+SELECT gx, gy, floor(least(greatest(smooth + (own - smooth) * 2.3::DOUBLE, 0), 255) + 0.5::DOUBLE) AS value FROM near""")
+def focal_sharpness(spark, sf_dir):
+    """A channel made sharper."""
+    tiles = layer(spark, sf_dir, "qty", None).tiles
+    channel = tiles.select(*TILE, F.transform("data", lambda v: F.when(v.isNotNull(), F.least(v, F.lit(255.0)))).alias("data"))
+    made = focal.sharpened(channel, TS, 2.3)
+    return placed(layers.pixels_from_tiles(made, TS).where("value is not null")).select("gx", "gy", "value")
+
+
+@query(f"{PIX} SELECT tilex, tiley, count(*) FILTER (a = 2) AS two, count(*) FILTER (a >= 3 AND a < 6) AS mid, count(*) FILTER (a = 5) AS five, true AS png FROM pix GROUP BY 1, 2")
+def rendered_tiles(spark, sf_dir):
+    """PNGs of tiles and the pixels of each class of the colour map, from one evaluation."""
+    masked = layer(spark, sf_dir, "cnt", 0.0)
+    tiles = masked.tiles.select(*TILE, F.transform(masked.column, lambda v: layers.drop_nodata(v, 0.0)).alias("data"))
+    made = images.rendered(tiles, COLORMAP, TS)
+    count = lambda name: F.element_at("statistics", name)
+    return made.select("tilex", "tiley", count("2").alias("two"), count("(x >= 3) & (x < 6)").alias("mid"), count("5").alias("five"), (F.substring("png", 2, 3) == F.lit(b"PNG")).alias("png"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

@@ -14,10 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.errors import RasterException
 from gridloom.functions import tilemath
+from gridloom.functions.colors import Color
+from gridloom.operators.aggregate import class_condition
 
 
 def encode_png(rgba: np.ndarray) -> bytes:
@@ -72,6 +75,35 @@ def png_tiles(tiles: DataFrame, tile_size: int) -> DataFrame:
     return tiles.select("tilez", "tilex", "tiley", "r", "g", "b", "a").mapInArrow(run, "tilez int, tilex int, tiley int, png binary")
 
 
+def rendered(tiles: DataFrame, colormap: dict[str, Color], tile_size: int) -> DataFrame:
+    """tilez, tilex, tiley, png and ``statistics`` (a map of class to pixels) of tiles (data) in a discrete colour map.
+
+    The classes of a pixel are evaluated once, as bits of one number. Of
+    overlapping classes the later one gives the colour, and each counts for itself;
+    classes without pixels count 0.
+    """
+    names, palette = list(colormap), np.array([(0, 0, 0, 0), *colormap.values()], np.uint8)
+    if len(names) > 62:
+        raise RasterException("A colour map may have 62 classes at most.")
+
+    def bits(value: Column) -> Column:
+        found = [F.when(class_condition(name, value, masked=True), 1 << k).otherwise(0).cast("long") for k, name in enumerate(names)]
+        return reduce(lambda a, b: a + b, found, F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images, counts = [], []
+            for k in range(batch.num_rows):
+                classes = batch.column(3)[k].values.to_numpy(zero_copy_only=False)
+                kinds, at, sizes = np.unique(classes, return_inverse=True, return_counts=True)
+                last = np.array([int(kind).bit_length() for kind in kinds])
+                images.append(encode_png(palette[last[at]].reshape(tile_size, tile_size, 4)))
+                counts.append([(name, int(sizes[(kinds >> j) & 1 == 1].sum())) for j, name in enumerate(names)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(images, pa.binary()), pa.array(counts, pa.map_(pa.string(), pa.int64()))], names=["tilez", "tilex", "tiley", "png", "statistics"])
+
+    return tiles.select("tilez", "tilex", "tiley", F.transform("data", bits).alias("classes")).mapInArrow(run, "tilez int, tilex int, tiley int, png binary, statistics map<string,bigint>")
+
+
 def colormap_text(colormap: dict) -> str:
     """The colour map as lines of value and channels; a continuous one has its colours and range."""
     # The form of the first two lines and of an entry.

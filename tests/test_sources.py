@@ -332,3 +332,41 @@ def test_a_huge_polygon_opens_only_tiles_on_its_outline(spark):
     tiles = spark.createDataFrame([(12, 700, 900, [1.0] * 16), (12, 0, 0, [2.0] * 16), (12, 3000, 5, [3.0] * 16)], "tilez int, tilex int, tiley int, data array<double>")
     met = coverage.tiles_of_polygons(table, tiles, 12, 256).collect()
     assert sorted((r.tilex, r.tiley, r.full) for r in met) == [(0, 0, False), (700, 900, True)]
+
+
+def test_a_filter_equals_that_of_the_joined_mosaic(spark):
+    from gridloom.operators import focal
+
+    rng = np.random.default_rng(2)
+    image = rng.integers(0, 255, (24, 24)).astype(float)
+    image[rng.random((24, 24)) < 0.1] = np.nan
+    rows = [(2, x // 8, y // 8, x % 8, y % 8, None if np.isnan(image[y, x]) else float(image[y, x])) for x in range(24) for y in range(24) if (x // 8, y // 8) != (1, 1)]
+    tiles = layers.tiles_from_pixels(spark.createDataFrame(rows, "tilez int, tilex int, tiley int, px int, py int, value double"), 8)
+    image[8:16, 8:16] = np.nan
+    weights = ((1.0, 2.0, 0.0), (3.0, 4.0, 5.0), (0.0, 6.0, 7.0))
+    got = {(r.tilex * 8 + r.px, r.tiley * 8 + r.py): r.value for r in layers.pixels_from_tiles(focal.focal_mean(tiles, 8, weights), 8).where("value is not null").collect()}
+    wide = np.pad(image, 1, constant_values=np.nan)
+    for y in range(24):
+        for x in range(24):
+            if np.isnan(image[y, x]):
+                assert (x, y) not in got
+                continue
+            part, w = wide[y : y + 3, x : x + 3], np.array(weights)
+            seen = ~np.isnan(part)
+            assert got[x, y] == pytest.approx((part[seen] * w[seen]).sum() / w[seen].sum(), rel=1e-12)
+    same = focal.sharpened(tiles, 8, 1.0)
+    assert same.join(tiles.withColumnRenamed("data", "own"), ["tilez", "tilex", "tiley"]).where("data is distinct from own").count() == 0
+
+
+def test_rendered_tiles_and_ranges(spark):
+    tiles = spark.createDataFrame([(0, 0, 0, [1.0, 5.0, None, float("nan")])], "tilez int, tilex int, tiley int, data array<double>")
+    row = images.rendered(tiles, {"x > 0": (1, 2, 3, 255), "5": (9, 9, 9, 9)}, 2).first()
+    assert row.statistics == {"x > 0": 2, "5": 1}
+    at = row.png.index(b"IDAT") + 4
+    pixels = zlib.decompress(row.png[at : at + int.from_bytes(row.png[at - 8 : at - 4], "big")])
+    assert pixels == b"\0" + bytes([1, 2, 3, 255, 9, 9, 9, 9]) + b"\0" + bytes(8)
+    bands = spark.createDataFrame([(4, 0, 2.0, 7.0)], "layer_id int, band int, min double, max double")
+    shades = {"continuous": True, "from": (0, 0, 0, 255), "to": (9, 9, 9, 255)}
+    legends = spark.createDataFrame([], "legend_id int, title string, json string")
+    assert catalog.resolve_colormap(legends, shades, band=(bands, 4))["range"] == (2.0, 7.0)
+    assert "range" not in catalog.resolve_colormap(legends, shades, band=(bands, 5)) and catalog.resolve_colormap(legends, shades | {"range": (0, 1)}, band=(bands, 4))["range"] == (0, 1)
