@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,3 +77,31 @@ def only_ids(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
     if ids.count() > most:
         return docs
     return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("only doc_id"))), F.col("doc_id") == F.col("only doc_id"), "left_semi")
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, though lambdas inside ``body`` use it for each of their elements."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(numbers: Column, combine: Callable[[Column, Column], Column]) -> Column:
+    """The totals under ``combine``, from 0 on, of all heads of an array of longs, the empty one first.
+
+    Totals run within blocks of about the root of the size, so cost grows with
+    the power 1.5 of it.
+    """
+    zero = F.lit(0).cast("long")
+
+    def heads(first: Column, part: Column) -> Column:
+        return F.aggregate(part, F.array(first), lambda seen, x: F.concat(seen, F.array(combine(F.element_at(seen, -1), x))))
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda part: F.aggregate(part, zero, combine))
+        inner = bound(heads(zero, sums), lambda ends: F.flatten(F.transform(blocks, lambda part, k: F.slice(heads(F.element_at(ends, k + 1), part), 2, F.size(part)))))
+        return F.concat(F.array(zero), inner)
+
+    def of(whole: Column, block: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(whole) / block) - 1, F.lit(0)).cast("int"))
+        return bound(F.transform(starts, lambda k: F.slice(whole, k * block + 1, block)), of_blocks)
+
+    return bound(numbers, lambda whole: bound(F.greatest(F.ceil(F.sqrt(F.size(whole))), F.lit(1)).cast("int"), lambda block: of(whole, block)))

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import cut, listed, stored
+from gridloom.llm.common import bound, cut, listed, running, stored
 
 #: Lines of fewer words take no part: one edit must leave a similarity of 0.8.
 MIN_WORDS = 5
@@ -87,11 +87,10 @@ def forms(lines: DataFrame) -> DataFrame:
     that differ in that word, and without it (role 2), for a line that is this
     form (role 0).
     """
-    def running(shift: int) -> Column:
-        hashed = F.transform("words", lambda w, j: F.xxhash64(w, j - shift))
-        return F.aggregate(hashed, F.array(F.lit(0).cast("long")), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1).bitwiseXOR(x))))
+    def totals_of(shift: int) -> Column:
+        return running(F.transform("words", lambda w, j: F.xxhash64(w, j - shift)), lambda a, x: a.bitwiseXOR(x))
 
-    totals = lines.withColumn("left", running(0)).withColumn("right", running(1))
+    totals = lines.withColumn("left", totals_of(0)).withColumn("right", totals_of(1))
     end = F.element_at("right", -1)
     rest = lambda i: F.element_at("left", i + 1).bitwiseXOR(end).bitwiseXOR(F.element_at("right", i + 2))
     n = F.col("n")
@@ -164,7 +163,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     joined = docs.select(*[F.col(f"`{c}`") for c in kept]).join(gone, F.col("doc_id") == F.col("gone doc_id"), "left")
     lines = F.split("text", "\n")
-    left = F.when(F.col("gone lines").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.array_contains("gone lines", i)))
+    # Places that stay are a difference of sets: no line is looked up among all that go.
+    staying = bound(lines, lambda own: F.transform(F.array_except(F.sequence(F.lit(0), F.size(own) - 1), "gone lines"), lambda i: F.get(own, i)))
+    left = F.when(F.col("gone lines").isNull(), lines).otherwise(staying)
     counted = joined.withColumn("all lines", lines).withColumn("left lines", left)
     size = lambda column: F.when(F.col("text").isNull(), 0).otherwise(F.size(column))
     counted = counted.withColumn("n_lines", size("all lines")).withColumn("n_removed", size("all lines") - size("left lines"))

@@ -14,7 +14,6 @@ Only column functions run on Spark; the queries are read off the few rules in th
 from __future__ import annotations
 
 import itertools
-from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as ops
 from re import _parser as reader
@@ -22,7 +21,7 @@ from re import _parser as reader
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import stored
+from gridloom.llm.common import bound, running, stored
 
 #: Strings that a part of an expression is spelt out into, and clauses of a query; beyond, a part is left out of the query, which only admits more rows.
 MOST_SPELT, MOST_CLAUSES = 64, 64
@@ -150,11 +149,6 @@ def trigram_query(pattern: str) -> Query:
     return query if strings is None else _both(query, _of_strings(strings))
 
 
-def bound(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, though lambdas inside ``body`` use it for each of their elements."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _key() -> Column:
     """Names a row in the index. Rows that share a key by chance share postings, which only admits more of them to the check."""
     return F.xxhash64("doc_id", "text")
@@ -179,28 +173,6 @@ def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
     return met.where("met = wanted").groupBy("key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def running_total(numbers: Column) -> Column:
-    """The sums of all heads of an array, from the empty one on (one more element).
-
-    Sums run within blocks of about the root of the size, so cost grows with the power 1.5 of it.
-    """
-    zero = F.lit(0).cast("long")
-
-    def heads(first: Column, part: Column) -> Column:
-        return F.aggregate(part, F.array(first), lambda seen, x: F.concat(seen, F.array(F.element_at(seen, -1) + x)))
-
-    def of_blocks(blocks: Column) -> Column:
-        sums = F.transform(blocks, lambda part: F.aggregate(part, zero, lambda a, x: a + x))
-        inner = bound(heads(zero, sums), lambda ends: F.flatten(F.transform(blocks, lambda part, k: F.slice(heads(F.element_at(ends, k + 1), part), 2, F.size(part)))))
-        return F.concat(F.array(zero), inner)
-
-    def of(whole: Column, block: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(whole) / block) - 1, F.lit(0)).cast("int"))
-        return bound(F.transform(starts, lambda k: F.slice(whole, k * block + 1, block)), of_blocks)
-
-    return bound(numbers, lambda whole: bound(F.greatest(F.ceil(F.sqrt(F.size(whole))), F.lit(1)).cast("int"), lambda block: of(whole, block)))
-
-
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
     """The matches of a rule in a text as structs (first, order, last): code points, end exclusive; null for a null text."""
     pattern = F.lit(rule.pattern)
@@ -213,7 +185,7 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     def found(places: Column) -> Column:
         return F.transform(measured, lambda size, k: F.struct(F.element_at(places, 2 * k + 2).alias("first"), F.lit(order).alias("order"), F.element_at(places, 2 * k + 3).alias("last"), size.alias("size")))
 
-    kept = F.filter(bound(running_total(steps), found), lambda m: m["size"] >= rule.least)
+    kept = F.filter(bound(running(steps, lambda a, x: a + x), found), lambda m: m["size"] >= rule.least)
     return F.transform(kept, lambda m: F.struct(m["first"].alias("first"), m["order"].alias("order"), m["last"].alias("last")))
 
 

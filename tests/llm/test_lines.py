@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 
 import pytest
@@ -88,3 +89,12 @@ def test_extra_columns_stay(spark):
     docs = spark.createDataFrame([(1, "a b c d e", 7, "x"), (2, "a b c d e\nq", 8, "y")], "doc_id long, text string, _id int, _gone string")
     got = sorted(L.dedup_lines(docs).collect())
     assert [(r.doc_id, r.text, r._id, r._gone, r.n_lines, r.n_removed) for r in got] == [(1, "a b c d e", 7, "x", 1, 0), (2, "q", 8, "y", 2, 1)]
+
+
+def test_long_lines_and_many_removed_lines_take_linear_time(spark):
+    long = [f"w{k}q" for k in range(64_000)]
+    many = "\n".join(f"line {chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{chr(97 + k // 676 % 26)} holds some more words" for k in range(15_000))
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(["other", *long[1:]])), (3, many), (4, many + "\nthe last line stays where it is")], "doc_id long, text string")
+    begun = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in L.dedup_report(docs).collect()}
+    assert got == {1: (1, 0), 2: (1, 1), 3: (15_000, got[3][1]), 4: (15_001, 15_000)} and time.time() - begun < 60

@@ -86,7 +86,7 @@ def test_odd_rows(spark):
 
 def test_running_total(spark):
     for n in (0, 1, 2, 3, 10, 101):
-        row = spark.range(1).select(F.array(*[F.lit(k) for k in range(n)]).cast("array<bigint>").alias("x")).select(S.running_total(F.col("x")).alias("t")).first()
+        row = spark.range(1).select(F.array(*[F.lit(k) for k in range(n)]).cast("array<bigint>").alias("x")).select(S.running(F.col("x"), lambda a, x: a + x).alias("t")).first()
         assert row.t == [sum(range(k)) for k in range(n + 1)]
 
 
