@@ -181,15 +181,16 @@ def held_out_column():
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> ByteNetwork | None:
     """Train on a sample of at most about ``rows_per_language`` rows of each language.
 
-    Rows are chosen by a hash of their id among those not held out; each brings
-    ``WINDOWS_PER_ROW`` windows spread over its whole text.
+    Rows are chosen by a hash of id and text among those not held out; rows of one
+    language and text count once, so many rows of one id, or of none, keep to the
+    bound. Each brings ``WINDOWS_PER_ROW`` windows spread over its whole text.
     """
     usable = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out_column())
     counts = usable.groupBy("lang").agg(F.count("*").alias("n")).collect()
     share = F.lit(0.0)
     for row in counts:
         share = F.when(F.col("lang") == row["lang"], min(1.0, rows_per_language / row["n"])).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    chosen = usable.where(F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text").distinct()
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 
+from gridloom.llm import language
 from gridloom.llm.language import (WINDOW, ByteNetwork, fit, identify, identify_documents, keep_identified, log_softmax, train,
                                    windows_of)
 
@@ -94,3 +95,11 @@ def test_texts_that_no_language_claims_go(spark):
     for least in (0.0, scores[2], scores[2] + 1e-9, 1.1):
         assert {r.doc_id for r in keep_identified(docs, net, least).collect()} == {i for i in (1, 2) if scores[i] >= least}
     assert {r.doc_id for r in keep_identified(docs, None).collect()} == {1, 2}
+
+
+def test_rows_that_share_an_id_keep_to_the_bound(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "train", lambda windows, langs: seen.update(n=len(windows)))
+    rows = [(None if k % 2 else 7, f"some text {k % 3000} of words", "en") for k in range(20_000)]
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 100)
+    assert 0 < seen["n"] <= 200
