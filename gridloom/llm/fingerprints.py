@@ -23,13 +23,16 @@ BROADCAST_ROWS = 500_000
 
 
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, white space folded to single spaces, trimmed; null counts as empty.
+    """NFKC, full case folding, NFKC again, white space folded to single spaces, trimmed; null counts as empty.
 
-    The normaliser is the one of the ICU library that Spark itself ships, called
-    as a SQL function.
+    Normaliser and folding are those of the ICU library that Spark itself ships,
+    called as SQL functions.
     """
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\p{Z}\x85\x1c-\x1f]+", " "))
+    def composed(value: Column) -> Column:
+        return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), value, F.lit(True))
+
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed(F.coalesce(text, F.lit(""))), F.lit(True))
+    return F.trim(F.regexp_replace(composed(folded), r"[\s\p{Z}\x85\x1c-\x1f]+", " "))
 
 
 def digest(canonical_text: Column) -> Column:

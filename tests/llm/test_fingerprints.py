@@ -2,7 +2,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from gridloom.llm.fingerprints import class_ids, fingerprint_documents, with_next_text
+from gridloom.llm.fingerprints import canonical, class_ids, fingerprint_documents, with_next_text
 
 
 def docs_of(spark, rows):
@@ -82,3 +82,9 @@ def test_an_outlying_id_leaves_cells_small(spark):
     docs = spark.range(1, 20001).select("id").union(spark.createDataFrame([(10**15,)], "id long")).select(F.col("id").alias("_value"), F.lit(False).alias("_null"))
     cells = docs.select(P._cell(P._pieces(docs, 100)).alias("c")).groupBy("c").count()
     assert cells.agg(F.max("count")).first()[0] < 1000
+
+
+def test_case_is_folded_in_full(spark):
+    pairs = [("STRASSE", "Straße"), ("ΟΔΟΣ", "οδος"), ("ΟΔΟΣ", "οδοσ"), ("ﬁne  É", "FINE é"), ("İ", "i̇")]
+    frame = spark.createDataFrame(pairs, "a string, b string").select(canonical(F.col("a")).alias("a"), canonical(F.col("b")).alias("b"))
+    assert all(r.a == r.b for r in frame.collect())
