@@ -417,11 +417,12 @@ def band_histogram_100(spark, sf_dir):
     return rows.select("bin", F.element_at("hist_bins", F.col("bin") + 1).alias("low"), F.element_at("hist_bins", F.col("bin") + 2).alias("high"), "count")
 
 
-def _grid64(spark) -> DataFrame:
-    return spark.range(SIDE * SIDE).select((F.col("id") % SIDE).cast("int").alias("gx"), F.floor(F.col("id") / SIDE).cast("int").alias("gy"))
+def _pixels(spark, sf_dir) -> DataFrame:
+    """gx, gy of all pixels of the grid layer's tiles."""
+    return placed(layers.pixels_from_tiles(layer(spark, sf_dir, "cnt", None).tiles, TS)).select("gx", "gy")
 
 
-_FULL = f"WITH f AS (SELECT CAST(x.range AS INT) AS gx, CAST(y.range AS INT) AS gy FROM range({SIDE}) x, range({SIDE}) y)"
+_FULL = f"{PIX}, f AS (SELECT gx, gy FROM pix)"
 
 
 def _touched(ring: geometry.Ring) -> str:
@@ -436,14 +437,14 @@ def _touched(ring: geometry.Ring) -> str:
 
 for _ring_name, _ring in (("box", BOX), ("polygon", TRIANGLE), ("tiny", TINY)):
     query(f"{_FULL} SELECT gx, gy, CASE WHEN {_inside(_ring)} THEN 99.0::DOUBLE ELSE 0 END AS value FROM f", f"rasterize_{_ring_name}")(
-        lambda spark, sf_dir, r=_ring: _grid64(spark).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), r, 99).alias("value")))
+        lambda spark, sf_dir, r=_ring: _pixels(spark, sf_dir).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), r, 99).alias("value")))
     query(f"{_FULL} SELECT gx, gy, CASE WHEN {_touched(_ring)} THEN 1.0::DOUBLE ELSE 0 END AS value FROM f", f"rasterize_all_touched_{_ring_name}")(
-        lambda spark, sf_dir, r=_ring: _grid64(spark).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), r, 1, all_touched=True).alias("value")))
+        lambda spark, sf_dir, r=_ring: _pixels(spark, sf_dir).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), r, 1, all_touched=True).alias("value")))
 
 
 @query(f"{_FULL} SELECT gx, gy, gx + CASE WHEN {_inside(TRIANGLE)} THEN 2.0::DOUBLE ELSE 0 END AS value FROM f")
 def rasterize_add(spark, sf_dir):
-    return _grid64(spark).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), TRIANGLE, 2, add_to=F.col("gx").cast("double")).alias("value"))
+    return _pixels(spark, sf_dir).select("gx", "gy", geometry.rasterize(F.col("gx"), F.col("gy"), TRIANGLE, 2, add_to=F.col("gx").cast("double")).alias("value"))
 
 
 @query(f"{PIX} SELECT CAST(x.range AS INT) AS gx, CAST(y.range AS INT) AS gy, coalesce(q, 0) AS value FROM range(16, 96) x, range(16, 48) y LEFT JOIN pix ON gx = x.range AND gy = y.range")
