@@ -23,8 +23,8 @@ from gridloom.llm.common import bound, cut, listed, running, stored
 
 #: Lines of fewer words take no part: one edit must leave a similarity of 0.8.
 MIN_WORDS = 5
-#: Forms and lines that are broadcast up to this many; beyond, the other side is shuffled to them.
-BROADCAST_ROWS = 200_000
+#: Forms and lines that are broadcast up to this many; with none, one way is taken at every size: the other side is shuffled to them.
+BROADCAST_ROWS = 0
 #: Document and line number as one number in reading order.
 PLACE = 2**32
 
