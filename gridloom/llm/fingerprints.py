@@ -18,8 +18,8 @@ from gridloom.llm.common import cut
 ROWS_PER_CELL = 1000
 #: Ranges between quantiles of the ids, and cells whose followers are found together.
 PIECES, CELLS_PER_BLOCK = 256, 4096
-#: Buckets of two or more that are broadcast; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 500_000
+#: Buckets of two or more that are broadcast; with none, one way is taken at every size: texts are shuffled to them.
+BROADCAST_ROWS = 0
 
 
 def canonical(text: Column) -> Column:
