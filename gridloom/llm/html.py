@@ -8,7 +8,9 @@ gives the undecided ones the label of the nearest decided neighbours.
 An article or main tag is a feature of the blocks in it and around it, on pages
 where it holds as much prose as stands outside; elsewhere it is only a block.
 Stop words tell nothing on a page in a language that is not listed; there the
-length of a block takes their place.
+length of a block takes their place. Short blocks that read as a copyright line or
+an invitation to share are bad wherever they stand. On a page without any good
+block, short sentences are the text, and so is a page without tags.
 """
 
 from __future__ import annotations
@@ -56,6 +58,13 @@ STOP_WORDS = frozenset(
     "aber als auch auf aus bei das dem den der die ein eine einen er es für ich ihr im ist mit nach nicht noch sich sie sind so über um und von "
     "war wie wird zu zum "
     "al como con del el ella esta este fue ha hay las lo los más no para pero por se si sin su sus también una y ya".split())
+# How copyright lines and invitations to share begin or end, in the same languages.
+NOTICE = re.compile(
+    r"^(?:©|\(c\)|copyright\b(?=\W*(?:©|\(c\)|\d{4})))|\b(?:all rights reserved|tous droits réservés|alle rechte vorbehalten"
+    r"|(?:todos los )?derechos reservados)\W*$"
+    r"|^(?:share (?:this|on|with|via)|tweet this|follow us|partage[rz] (?:cet|sur|cette)|suivez-nous|artikel teilen|folgen sie uns"
+    r"|compart[ei]r? (?:en|este|esta)|síguenos)\b", re.IGNORECASE)
+SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)]*$")
 
 TOKEN = re.compile(
     r"<(?:!--(?:.*?)(?:--!?>|\Z)|[!?][^>]*+(?:>|\Z)"
@@ -96,6 +105,11 @@ class Block:
         """Characters outside links."""
         return max(0, len(self.text) - self.links)
 
+    @property
+    def notice(self) -> bool:
+        """Whether it is a short copyright line or an invitation to share."""
+        return len(self.text) < SHORT_LENGTH and not self.heading and bool(NOTICE.search(self.text))
+
 
 @dataclass(frozen=True)
 class Place:
@@ -114,7 +128,7 @@ class Place:
         part = self.part
         if attrs and not outside and name not in ("html", "body"):
             outside = bool(HIDDEN.search(attrs))
-            if not outside and names_a_part(attrs):
+            if not outside and names_a_part(attrs, self.article > 0):
                 part = len(parts)
                 parts.append(Part(self.part, self.article))
         return Place(name, outside, article, self.link or name == "a", self.heading or name in HEADINGS, part)
@@ -132,13 +146,18 @@ class Part:
     longest: int = 0
 
 
-def names_a_part(attrs: str) -> bool:
-    """Whether a class, id or role is one of ``PARTS`` or a compound of which such a word is the head (user-comments)."""
+def names_a_part(attrs: str, in_article: bool) -> bool:
+    """Whether a class, id or role is one of ``PARTS`` or a compound of which such a word is the head (user-comments).
+
+    Inside an article a header is the article's own, as the tag of that name is,
+    unless its name holds another part (comment-header).
+    """
     for _, *values in ATTRIBUTE.findall(attrs):
         for value in values:
             for token in value.split():
                 words = [w for w in NAME_PARTS.split(CAMEL.sub(" ", token).lower()) if w]
-                if words and words[-1] in PARTS and STATES.isdisjoint(words[:-1]):
+                own = in_article and words[-1:] == ["header"] and PARTS.isdisjoint(words[:-1])
+                if words and words[-1] in PARTS and STATES.isdisjoint(words[:-1]) and not own:
                     return True
     return False
 
@@ -186,6 +205,9 @@ def blocks_of(page: str) -> list[Block]:
     found: list[Block] = []
     named: list[Part] = []
     stack = [Place("")]
+    # How many elements of a name are open, and the places of block elements on the stack: closing never searches in vain.
+    open_names: dict[str, int] = {}
+    open_blocks: list[int] = []
     parts: list[str] = []
     links = 0
 
@@ -205,6 +227,14 @@ def blocks_of(page: str) -> list[Block]:
             if stack[-1].link:
                 links += len(text.strip())
 
+    def cut(k: int) -> None:
+        """End the elements from place ``k`` of the stack on."""
+        for place in stack[k:]:
+            open_names[place.name] -= 1
+        del stack[k:]
+        while open_blocks and open_blocks[-1] >= k:
+            open_blocks.pop()
+
     at = 0
     while True:
         match = TOKEN.search(page, at)
@@ -219,11 +249,13 @@ def blocks_of(page: str) -> list[Block]:
         if match["close"]:
             if name in BLOCK:
                 close_block(stack[-1])
+            if not open_names.get(name):
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == name:
                     if (stack[-1].outside, stack[-1].article, stack[-1].part) != (stack[k - 1].outside, stack[k - 1].article, stack[k - 1].part):
                         close_block(stack[-1])
-                    del stack[k:]
+                    cut(k)
                     break
             continue
         if name in RAW:
@@ -236,12 +268,8 @@ def blocks_of(page: str) -> list[Block]:
             close_block(stack[-1])
             if name not in VOID:
                 # A block ends an open paragraph, and an item the item before it.
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == "p" or stack[k].name == name == "li":
-                        del stack[k:]
-                        break
-                    if stack[k].name in BLOCK:
-                        break
+                if open_blocks and (stack[open_blocks[-1]].name == "p" or stack[open_blocks[-1]].name == name == "li"):
+                    cut(open_blocks[-1])
         if name in VOID:
             if name != "br":
                 parts.append("")
@@ -249,6 +277,9 @@ def blocks_of(page: str) -> list[Block]:
         place = stack[-1].inside(name, match["attrs"], at, named)
         if (place.outside, place.part) != (stack[-1].outside, stack[-1].part):
             close_block(stack[-1])
+        if name in BLOCK:
+            open_blocks.append(len(stack))
+        open_names[name] = open_names.get(name, 0) + 1
         stack.append(place)
     close_block(stack[-1])
     set_parts_apart(found, named)
@@ -265,7 +296,7 @@ def stop_words_tell(blocks: list[Block]) -> bool:
 
 def label_alone(block: Block, telling: bool) -> str:
     """First pass: the block's label from what it holds; low density alone leaves it undecided."""
-    if block.outside or block.link_share > LINK_SHARE:
+    if block.outside or block.link_share > LINK_SHARE or block.notice:
         return BAD
     if len(block.text) < SHORT_LENGTH:
         return BAD if block.links else SHORT
@@ -280,7 +311,7 @@ def with_article(block: Block, label: str, telling: bool) -> str:
     if block.outside:
         return BAD
     if block.article:
-        if block.link_share > ARTICLE_LINK_SHARE:
+        if block.link_share > ARTICLE_LINK_SHARE or block.notice:
             return BAD
         long = len(block.text) >= SHORT_LENGTH and not block.heading
         return GOOD if long and (not telling or block.stops >= STOP_LOW * block.words) else SHORT
@@ -347,6 +378,14 @@ def label_by_neighbours(blocks: list[Block]) -> None:
             block.label = GOOD if GOOD in decided[i] or block.heading else BAD
 
 
+def label_short_page(blocks: list[Block], bare: bool) -> None:
+    """On a page whose first pass finds nothing good: its short sentences are good, and so is a page without tags."""
+    if not any(b.label in (GOOD, NEAR) for b in blocks):
+        for block in blocks:
+            if block.label == SHORT and (bare or not block.heading and SENTENCE_END.search(block.text)):
+                block.label = GOOD
+
+
 def main_text(page: str | None) -> str:
     """The article of a page: good blocks in page order, one space between them."""
     blocks = blocks_of(page or "")
@@ -359,12 +398,19 @@ def main_text(page: str | None) -> str:
         for block in blocks:
             block.label = with_article(block, block.label, telling)
         label_articles(blocks)
+    else:
+        label_short_page(blocks, TOKEN.search(page or "") is None)
     label_by_neighbours(blocks)
     return " ".join(b.text for b in blocks if b.label == GOOD)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every page; a null page is empty and gives empty text."""
+    """page_id, url, text and n_chars of every page.
+
+    A null page is empty and gives empty text; null ids and urls stay null. Repeated
+    rows give repeated rows, an empty table gives none, and other columns of any
+    name are ignored. A page is parsed whole, in time linear in its length for well-quoted tags.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -91,3 +91,28 @@ def test_query_shape(spark):
     got = extract_pages(pages).collect()
     assert sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in got) == [(0, None, "", 0), (1, "u", "é x", 3), (1, "u", "é x", 3)]
     assert extract_pages(pages.limit(0)).count() == 0
+
+
+def test_unclosed_and_stray_tags_take_linear_time():
+    pages = ["<b>" * 20000 + "</i>" * 20000 + "Said.", "<div>" * 20000 + "</p>" * 20000 + "Said.", "<b>" * 20000 + "<p>Said.</p>" * 20000,
+             "<ul>" + "<li><i>" * 20000 + "Said.", "<p><i>Said. " * 20000]
+    for page in pages:
+        begun = time.monotonic()
+        assert "Said." in main_text(page)
+        assert time.monotonic() - begun < 3
+
+
+@pytest.mark.parametrize("page, text", [
+    (f"<article><div class='article-header'>{LONG}</div><p>{LONG}</p></article>", f"{LONG.strip()} {LONG.strip()}"),
+    (f"<article><p>{LONG}</p><div class='comment-header'>no</div><div class='subscribe-header'>no</div></article>", LONG.strip()),
+    (f"<div class=header>{LONG[:131]}</div><article><p>{LONG}</p></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p>Copyright 2020 All rights reserved</p></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p>Share this with friends</p><p>© 2020 A. B.</p></article>", LONG.strip()),
+    (f"<article><p>{LONG}</p><p>Copyright law is dull.</p><p>The end</p></article>", f"{LONG.strip()} Copyright law is dull. The end"),
+    ("<p>Hi there.</p>", "Hi there."),
+    ("<h1>Title</h1><p>Hi there.</p><p><a href=1>menu</a></p><p>© 2020 A. B.</p>", "Title Hi there."),
+    ("<div><a href=1>menu</a></div><p>Hi there.</p><nav>No text.</nav>", "Hi there."),
+    ("text without tags", "text without tags"), ("a &lt; b\n c", "a < b c"), ("<nav>Home.</nav><footer>No.</footer>", ""),
+])
+def test_names_notices_and_short_pages(page, text):
+    assert main_text(page) == text
