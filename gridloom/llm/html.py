@@ -58,10 +58,9 @@ STOP_WORDS = frozenset(
     "aber als auch auf aus bei das dem den der die ein eine einen er es für ich ihr im ist mit nach nicht noch sich sie sind so über um und von "
     "war wie wird zu zum "
     "al como con del el ella esta este fue ha hay las lo los más no para pero por se si sin su sus también una y ya".split())
-# How copyright lines and invitations to share begin or end, in the same languages.
+# How copyright lines and invitations to share begin, in the same languages.
 NOTICE = re.compile(
-    r"^(?:©|\(c\)|copyright\b(?=\W*(?:©|\(c\)|\d{4})))|\b(?:all rights reserved|tous droits réservés|alle rechte vorbehalten"
-    r"|(?:todos los )?derechos reservados)\W*$"
+    r"^(?:©|\(c\)|copyright\b(?=\W*(?:©|\(c\)|\d{4})))"
     r"|^(?:share (?:this|on|with|via)|tweet this|follow us|partage[rz] (?:cet|sur|cette)|suivez-nous|artikel teilen|folgen sie uns"
     r"|compart[ei]r? (?:en|este|esta)|síguenos)\b", re.IGNORECASE)
 SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’»)]*$")

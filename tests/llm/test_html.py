@@ -109,6 +109,7 @@ def test_unclosed_and_stray_tags_take_linear_time():
     (f"<article><p>{LONG}</p><p>Copyright 2020 All rights reserved</p></article>", LONG.strip()),
     (f"<article><p>{LONG}</p><p>Share this with friends</p><p>© 2020 A. B.</p></article>", LONG.strip()),
     (f"<article><p>{LONG}</p><p>Copyright law is dull.</p><p>The end</p></article>", f"{LONG.strip()} Copyright law is dull. The end"),
+    (f"<article><p>{LONG}</p><p>All rights reserved.</p></article>", f"{LONG.strip()} All rights reserved."),
     ("<p>Hi there.</p>", "Hi there."),
     ("<h1>Title</h1><p>Hi there.</p><p><a href=1>menu</a></p><p>© 2020 A. B.</p>", "Title Hi there."),
     ("<div><a href=1>menu</a></div><p>Hi there.</p><nav>No text.</nav>", "Hi there."),
