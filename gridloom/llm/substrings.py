@@ -20,15 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import listed, only_ids, small_batches, stored
+from gridloom.llm.common import small_batches, stored
 from gridloom.llm.suffix_array import permuted_prefixes, suffix_array
 
 LENGTH, RUN = 100, 20
 CHUNK_BYTES = 1 << 18
 #: Bytes of pieces in one shard, and the most differing pieces of one run that are sorted together.
 SHARD_BYTES, MOST_PIECES = 1 << 20, 10_000
-#: Ids or spans that are broadcast; beyond, texts are shuffled to them.
-BROADCAST_ROWS = 400_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _rng = np.random.default_rng(12345)
@@ -204,7 +202,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                          pa.array([text[p["at"] : p["at"] + p["starts"] + length - 1] for p in found], pa.binary())],
                         names=["doc_id", "at", "starts", "run", "crowded", "bytes"])
 
-    located = only_ids(docs.select("doc_id", "text"), wanted, BROADCAST_ROWS).join(wanted, "doc_id").mapInArrow(bring, SPAN + ", run long, crowded boolean, bytes binary")
+    located = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").mapInArrow(bring, SPAN + ", run long, crowded boolean, bytes binary")
     located = stored(located)
 
     def sort_shard(table: pa.Table) -> pa.Table:
@@ -246,9 +244,14 @@ def kept_bytes(text: bytes, gone: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    spans = stored(removed_spans(small_batches(docs), length).withColumnRenamed("doc_id", "span doc_id").withColumnRenamed("spans", "span list"))
-    return docs.join(listed(spans, BROADCAST_ROWS, F.size("span list") + 1), F.col("doc_id") == F.col("span doc_id"), "left").drop("span doc_id")
+def _with_spans(docs: DataFrame, length: int) -> tuple[DataFrame, str]:
+    """``docs`` with the spans of each document, and the name of their column, which no column of ``docs`` has."""
+    taken, key, name = {c.lower() for c in docs.columns}, "span doc_id", "span list"
+    while key in taken or name in taken:
+        key, name = key + "_", name + "_"
+    # Merged at every size, as spans grow with the documents.
+    spans = stored(removed_spans(small_batches(docs), length).withColumnRenamed("doc_id", key).withColumnRenamed("spans", name))
+    return docs.join(spans.hint("merge"), F.col("doc_id") == F.col(f"`{key}`"), "left").drop(key), name
 
 
 def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -268,30 +271,31 @@ def report_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(digest, pa.string())],
                                              names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    joined = _with_spans(docs.select("doc_id", "text"), length)
-    return joined.select("doc_id", "text", "span list").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, name = _with_spans(docs.select("doc_id", "text"), length)
+    return joined.select("doc_id", "text", name).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages taken out of ``text``; bytes of characters cut in part are dropped.
 
     A null text stays null, and rows with a null doc_id stay whole. Rows that
-    share a doc_id lose the same places. Other columns stay as they are; an input
-    column named ``span list`` is an error.
+    share a doc_id lose the same places. Other columns stay as they are, whatever
+    their names, and an empty table gives an empty one.
     """
     names = docs.columns
+    joined, name = _with_spans(docs, length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column("span list").to_pylist(), strict=True):
+            for text, spans in zip(batch.column(at).to_pylist(), batch.column(name).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 gone = merged(spans, len(raw), length)
                 texts.append(kept_bytes(raw, gone).decode("utf-8", "ignore") if gone else text)
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names)
 
-    return _with_spans(docs, length).mapInArrow(run, docs.schema)
+    return joined.mapInArrow(run, docs.schema)
 
 
 #: The same over all strings of 100 bytes; bytes are written as two hexadecimal digits.

@@ -47,10 +47,9 @@ def test_documents_against_brute_force(spark):
     check(spark, made(1))
 
 
-def test_crowded_runs_small_shards_and_shuffled_spans(spark, monkeypatch):
+def test_crowded_runs_and_small_shards(spark, monkeypatch):
     monkeypatch.setattr(S, "MOST_PIECES", 2)
     monkeypatch.setattr(S, "SHARD_BYTES", 500)
-    monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     check(spark, made(2) + [(30_000 + k, f"{k} left of it " + "the common passage that all of these documents hold in their midst, word for word, " * 2 + f" {k}") for k in range(30)])
 
 
@@ -60,6 +59,9 @@ def test_empty_and_null_ids(spark):
     assert S.report_repeats(docs.limit(0)).count() == 0
     rows = S.remove_repeats(spark.createDataFrame([(1, "é" * 200, 5), (2, "é" * 200 + "end", 6)], "doc_id long, text string, n_chars int")).collect()
     assert sorted((r.doc_id, r.text, r.n_chars) for r in rows) == [(1, "é", 5), (2, "end", 6)]
+    named = spark.createDataFrame([(1, "é" * 200, 5, "a"), (2, "é" * 200 + "end", 6, "b")], "doc_id long, text string, `Span List` int, `span doc_id` string")
+    kept = S.remove_repeats(named)
+    assert kept.columns == named.columns and sorted(map(tuple, kept.collect())) == [(1, "é", 5, "a"), (2, "end", 6, "b")]
 
 
 @settings(max_examples=150, deadline=None)
