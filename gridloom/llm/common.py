@@ -69,16 +69,6 @@ def listed(df: DataFrame, most: int, weight: Column | None = None) -> DataFrame:
     return F.broadcast(df) if total <= most else df
 
 
-def only_ids(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is among ``ids``, if those are few enough to broadcast; else all.
-
-    It lessens what a later join on doc_id has to move, and never changes its result.
-    """
-    if ids.count() > most:
-        return docs
-    return docs.join(F.broadcast(ids.select(F.col("doc_id").alias("only doc_id"))), F.col("doc_id") == F.col("only doc_id"), "left_semi")
-
-
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, though lambdas inside ``body`` use it for each of their elements."""
     return F.element_at(F.transform(F.array(value), body), 1)
