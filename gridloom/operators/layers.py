@@ -1,6 +1,8 @@
 """Layers as tiles and pixels, their alignment, and lookups between zooms.
 
 tiles: layer_id, band, tilez, tilex, tiley, data (row-major array, NULL is nodata)
+sparse tiles: the same with places, ascending, of the pixels that data holds, and size, the
+pixels of the whole tile; all others are nodata
 pixels: the same keys with px, py and value
 """
 
@@ -55,10 +57,7 @@ def bands_from_pixels(pixels: DataFrame, tile_size: int, bands: dict[str, str],
     tile are an error of the caller and are left out.
     """
     n = tile_size * tile_size
-    inside = F.col("px").between(0, tile_size - 1) & F.col("py").between(0, tile_size - 1)
-    place = (F.col("py") * tile_size + F.col("px")).cast("int")
-    row = F.struct(place.alias("pos"), *[F.col(column).cast("double").alias(f"v{i}") for i, column in enumerate(bands.values())])
-    sorted_ = pixels.where(inside).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    sorted_ = _gathered(pixels, tile_size, bands, keys)
 
     def dense(i: int) -> Column:
         before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get("_rows", k - 1)["pos"])
@@ -70,10 +69,45 @@ def bands_from_pixels(pixels: DataFrame, tile_size: int, bands: dict[str, str],
     return sorted_.select(*keys, *[dense(i).alias(name) for i, name in enumerate(bands)])
 
 
+def _gathered(pixels: DataFrame, tile_size: int, bands: dict[str, str], keys: list[str]) -> DataFrame:
+    """The pixels of each tile as one array of pos, v0, v1 and so on, in their order."""
+    inside = F.col("px").between(0, tile_size - 1) & F.col("py").between(0, tile_size - 1)
+    place = (F.col("py") * tile_size + F.col("px")).cast("int")
+    row = F.struct(place.alias("pos"), *[F.col(column).cast("double").alias(f"v{i}") for i, column in enumerate(bands.values())])
+    return pixels.where(inside).groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+
+
+def sparse_from_pixels(pixels: DataFrame, tile_size: int, bands: dict[str, str], keys: list[str] = TILE) -> DataFrame:
+    """Sparse tiles from pixel rows: places, one array for each of ``bands``, and size.
+
+    They hold what ``bands_from_pixels`` would, but for the pixels without a row, so
+    their bytes grow with the pixels only, however few of a tile's are there.
+    """
+    # Of rows at one place the first counts.
+    first = F.filter("_rows", lambda row, k: (k == 0) | (F.get("_rows", k - 1)["pos"] != row["pos"]))
+    rows = _gathered(pixels, tile_size, bands, keys).select(*keys, first.alias("_rows"))
+    return rows.select(*keys, F.col("_rows.pos").alias("places"), *[F.col(f"_rows.v{i}").alias(name) for i, name in enumerate(bands)], F.lit(tile_size * tile_size).alias("size"))
+
+
+def is_sparse(tiles: DataFrame) -> bool:
+    return "places" in tiles.columns
+
+
+def whole_array(values: Column) -> Column:
+    """The array of all pixels of a sparse tile; those that it does not hold are nodata."""
+    nothing, places = F.lit(None).cast("double"), F.col("places")
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(places, k - 1))
+    piece = lambda v, k: F.concat(F.array_repeat(nothing, F.get(places, k) - before(k) - 1), F.array(v))
+    rest = F.array_repeat(nothing, F.col("size") - 1 - F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(-1)))
+    return F.concat(F.flatten(F.transform(values, piece)), rest)
+
+
 def pixels_from_tiles(tiles: DataFrame, tile_size: int, column: str = "data") -> DataFrame:
-    """One row per pixel; its place is pos = py * tile_size + px."""
-    keys = [c for c in tiles.columns if c != column]
-    rows = tiles.select(*keys, F.posexplode(column).alias("pos", "value"))
+    """One row per pixel, of sparse tiles per pixel that they hold; its place is pos = py * tile_size + px."""
+    sparse = is_sparse(tiles)
+    keys = [c for c in tiles.columns if c != column and not (sparse and c in ("places", "size"))]
+    opened = F.inline(F.arrays_zip(F.col("places").alias("pos"), F.col(column).alias("value"))) if sparse else F.posexplode(column).alias("pos", "value")
+    rows = tiles.select(*keys, opened)
     return rows.select(*keys, (F.col("pos") % tile_size).alias("px"), F.floor(F.col("pos") / tile_size).cast("int").alias("py"), "value")
 
 
@@ -101,14 +135,18 @@ def bind(tiles: DataFrame, layers: str, nodata: dict[int, float | None]) -> dict
     return {name: Layer(band_of(tiles, layer, band), nodata.get(layer)) for name, (layer, band) in parse_layers(layers).items()}
 
 
+def masked_array(data: Column, nodata: float | None) -> Column:
+    return F.transform(data, lambda v: drop_nodata(v, nodata)) if nodata is not None else data
+
+
 def aligned(layers: dict[str, Layer]) -> DataFrame:
-    """Tiles that all layers have, one array column for each name. Layers of one table of tiles are read together."""
+    """Tiles that all layers have, one array column for each name, which is whole. Layers of one table of tiles are read together."""
     if not layers:
         raise RasterAlgebraException("No layers are bound.")
 
     def masked(layer: Layer) -> Column:
         data = F.col(layer.column)
-        return F.transform(data, lambda v: drop_nodata(v, layer.nodata)) if layer.nodata is not None else data
+        return masked_array(whole_array(data) if is_sparse(layer.tiles) else data, layer.nodata)
 
     tables: dict[int, dict[str, Layer]] = {}
     for name, layer in layers.items():
@@ -117,6 +155,25 @@ def aligned(layers: dict[str, Layer]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, TILE), parts)
 
 
+def sparse_table(layers: dict[str, Layer]) -> DataFrame | None:
+    """The table of sparse tiles whose bands the layers are; None if they lie in several tables or in whole arrays."""
+    tables = {id(layer.tiles): layer.tiles for layer in layers.values()}
+    table = next(iter(tables.values()), None)
+    return table if len(tables) == 1 and is_sparse(table) else None
+
+
+def aligned_sparse(layers: dict[str, Layer], rest: Column) -> DataFrame:
+    """Sparse tiles of layers of one table, raw, one array column for each name, beside _places and _size.
+
+    ``rest`` is a constant, what comes of a pixel that no layer has. Unless it is
+    NULL, all pixels of a tile are in its arrays.
+    """
+    table, few = sparse_table(layers), rest.isNull()
+    arrays = [F.when(few, F.col(layer.column)).otherwise(whole_array(F.col(layer.column))).alias(name) for name, layer in layers.items()]
+    places = F.when(few, F.col("places")).otherwise(F.sequence(F.lit(0), F.col("size") - 1))
+    return table.select(*TILE, F.col("size").alias("_size"), places.alias("_places"), *arrays)
+
+
 def values_of(layers: dict[str, Layer], element: Column | None = None) -> dict[str, Value]:
     """Formula variables for the columns of ``aligned`` or of its pixels."""
     return {n: Value(F.col(n) if element is None else element[n], "double", layer.nodata is not None, layer.nodata) for n, layer in layers.items()}

@@ -9,10 +9,11 @@ from gridloom.config import DEFAULTS
 from gridloom.errors import RasterAlgebraException
 from gridloom.functions import tilemath
 from gridloom.operators.aggregate import edges, histogram
-from gridloom.operators.layers import drop_empty, drop_nodata, tiles_from_pixels
+from gridloom.operators.layers import drop_empty, drop_nodata, is_sparse, sparse_from_pixels, tiles_from_pixels
 
 
-#: Bytes of a row group of a tile table, some tens of tiles, so that a read of a few tiles skips most of a file.
+#: Bytes of a row group of a tile table, some tens of tiles, so that a read of a few tiles skips most of a file. A reader opens whole
+#: arrays of a row group together, and few bytes of a file may hold very many equal pixels, so tiles are counted as they are in memory.
 ROW_GROUP = 16 << 20
 
 
@@ -39,16 +40,16 @@ def sampled(source: DataFrame, max_zoom: int, zooms: range | None = None) -> Dat
     return rows.select("tilez", *shifted, "value")
 
 
-def create_tiles(source: DataFrame, max_zoom: int, tile_size: int, nodata: float | None, zooms: range | None = None) -> DataFrame:
-    """Tiles of all zooms from 0 to ``max_zoom``; tiles of nothing but nodata are left out. One scan and one shuffle make all zooms."""
+def create_tiles(source: DataFrame, max_zoom: int, tile_size: int, nodata: float | None, zooms: range | None = None, sparse: bool = False) -> DataFrame:
+    """Tiles of all zooms from 0 to ``max_zoom``, ``sparse`` if wanted; tiles of nothing but nodata are left out. One scan and one shuffle make all zooms."""
     levels, ts = sampled(source, max_zoom, zooms), tile_size
     pixels = levels.select("tilez", F.floor(F.col("gx") / ts).cast("int").alias("tilex"), F.floor(F.col("gy") / ts).cast("int").alias("tiley"),
                            (F.col("gx") % ts).alias("px"), (F.col("gy") % ts).alias("py"), drop_nodata(F.col("value"), nodata).alias("value"))
-    return drop_empty(tiles_from_pixels(pixels, ts))
+    return drop_empty(sparse_from_pixels(pixels, ts, {"data": "value"}) if sparse else tiles_from_pixels(pixels, ts))
 
 
-def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0, batch: str | None = None) -> None:
-    """Write tiles partitioned by layer, band and zoom, replacing that band's partitions of these zooms only.
+def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0, batch: str | None = None, tile_size: int = DEFAULTS.tile_size) -> None:
+    """Write tiles, whole or sparse, partitioned by layer, band and zoom, replacing that band's partitions of these zooms only.
 
     With ``batch``, below layer and band the partitions are also those of a batch, and
     only a batch of that name is replaced. A table is written either with batches or without.
@@ -57,10 +58,13 @@ def write_tiles(tiles: DataFrame, path: str, layer_id: int, band: int = 0, batch
     named = [F.lit(batch).alias("batch")] if batch is not None else []
     # Tiles that name their band keep it.
     own = F.col("band") if "band" in tiles.columns else F.lit(band)
-    rows = tiles.select(F.lit(layer_id).alias("layer_id"), own.alias("band"), *named, "tilez", "tilex", "tiley", "data")
+    sparse = is_sparse(tiles)
+    rows = tiles.select(F.lit(layer_id).alias("layer_id"), own.alias("band"), *named, "tilez", "tilex", "tiley", "data", *(["places", "size"] if sparse else []))
     by_quadrant = rows.repartition("band", "tilez", F.floor(F.col("tilex") / DEFAULTS.quadrant_size), F.floor(F.col("tiley") / DEFAULTS.quadrant_size))
-    near = by_quadrant.sortWithinPartitions("band", "tilez", tilemath.morton(F.col("tilex"), F.col("tiley")))
-    near.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("parquet.block.size", ROW_GROUP).partitionBy(*keys).parquet(path)
+    # The order begins with the keys of the folders, else the writer sorts anew.
+    near = by_quadrant.sortWithinPartitions(*keys, tilemath.morton(F.col("tilex"), F.col("tiley")))
+    most = {} if sparse else {"parquet.block.row.count.limit": max(ROW_GROUP // (8 * tile_size**2), 1)}
+    near.write.mode("overwrite").options(**{"partitionOverwriteMode": "dynamic", "parquet.block.size": ROW_GROUP, **most}).partitionBy(*keys).parquet(path)
 
 
 def band_metadata(pixels: DataFrame) -> DataFrame:

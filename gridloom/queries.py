@@ -685,7 +685,7 @@ def layer_value_count_area(spark, sf_dir):
     return got.withColumn("count", F.round("count", 1))
 
 
-#: A grid of tiles of the default size that grows with the table: parts by orders.
+#: A grid of tiles of the default size that grows with the table: parts by orders. A few of a hundred of its pixels are there, so its tiles are sparse.
 WIDE_ZOOM = 12
 
 
@@ -700,7 +700,7 @@ _WIDE = "WITH cells AS (SELECT l_partkey // 4 AS gx, l_orderkey // 32 AS gy, CAS
 
 
 def wide_layers(spark, sf_dir) -> dict[str, Layer]:
-    tiles = layers.bands_from_pixels(wide(spark, sf_dir), tilemath.DEFAULTS.tile_size, {"cnt": "cnt", "qty": "qty"})
+    tiles = layers.sparse_from_pixels(wide(spark, sf_dir), tilemath.DEFAULTS.tile_size, {"cnt": "cnt", "qty": "qty"})
     return {"a": Layer(tiles, 0.0, "cnt"), "q": Layer(tiles, -1.0, "qty")}
 
 
@@ -829,7 +829,7 @@ def layers_to_ingest(spark, sf_dir):
 def tiles_in_box(spark, sf_dir):
     """Tiles of a box from a stored table, whose files lie along a curve."""
     path = tilestore.scratch(spark, "tiles")
-    pyramid.write_tiles(wide_layers(spark, sf_dir)["q"].tiles.select(*TILE, F.col("qty").alias("data")), path, 1)
+    pyramid.write_tiles(wide_layers(spark, sf_dir)["q"].tiles.select(*TILE, "places", "size", F.col("qty").alias("data")), path, 1)
     there = F.filter("data", lambda v: v.isNotNull())
     found = tilestore.read_tiles(spark, path, 1, zoom=WIDE_ZOOM, box=(0, 1, 1, 2)).select("tilex", "tiley", there.alias("v"))
     return found.select("tilex", "tiley", F.size("v").cast("long").alias("pixels"), F.aggregate("v", F.lit(0.0), lambda s, v: s + v).alias("total"))

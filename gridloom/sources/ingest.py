@@ -98,7 +98,7 @@ def ingest(spark: SparkSession, layer_id: int, source_rows: DataFrame, store: st
             pixels = pixels_from_tiles(raw, tile_size).where("value is not null")
             grid = pixels.select("band", (F.col("tilex") * tile_size + F.col("px")).cast("int").alias("gx"), (F.col("tiley") * tile_size + F.col("py")).cast("int").alias("gy"), "value")
             grid.write.mode("overwrite").partitionBy("band").parquet(f"{store}/reprojected/layer_id={layer_id}")
-        write_tiles(tiles_of_blocks(blocks, source, top, tile_size, empty, zooms), target, layer_id)
+        write_tiles(tiles_of_blocks(blocks, source, top, tile_size, empty, zooms), target, layer_id, tile_size=tile_size)
         log("Tiles of nothing but nodata are left out.", "DROPPING_EMPTY")
         opened = blocks.select("band", F.explode("data").alias("value"))
         statistics = [_described(opened.where(F.col("band") == band).where("value is not null"), empty).withColumn("band", F.lit(band)) for band in bands]

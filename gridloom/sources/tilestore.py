@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.config import DEFAULTS
-from gridloom.operators.layers import TILE, ancestors, overzoom
+from gridloom.operators.layers import TILE, ancestors, overzoom, whole_array
 
 
-#: Columns of a tile table.
-TABLE = "tilex int, tiley int, data array<double>, layer_id int, band int, tilez int"
+#: Columns of a tile table; places and size are those of sparse tiles, and NULL for others.
+TABLE = "tilex int, tiley int, data array<double>, places array<int>, size int, layer_id int, band int, tilez int"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -78,7 +78,7 @@ def discard(spark: SparkSession, path: str, layer_id: int, version: str) -> None
 
 
 def read_tiles(spark: SparkSession, path: str, layer_id: int, band: int = 0, zoom: int | None = None, box: tuple[int, int, int, int] | None = None) -> DataFrame:
-    """tilez, tilex, tiley, data of one band of a layer; only its partitions are listed and read.
+    """tilez, tilex, tiley, data of one band of a layer, whole; only its partitions are listed and read.
 
     ``box`` (of tile indexes, ends inside) also reaches the files: tiles lie in the
     order of a curve, so most row groups outside it are skipped.
@@ -89,7 +89,8 @@ def read_tiles(spark: SparkSession, path: str, layer_id: int, band: int = 0, zoo
     if box is not None:
         there = there & F.col("tilex").between(box[0], box[2]) & F.col("tiley").between(box[1], box[3])
     rows = spark.read.schema(TABLE).parquet(in_force(spark, path, layer_id) or path).where(there)
-    return rows.select(F.col("tilez").cast("int").alias("tilez"), "tilex", "tiley", "data")
+    data = F.when(F.col("places").isNull(), F.col("data")).otherwise(whole_array(F.col("data")))
+    return rows.select(F.col("tilez").cast("int").alias("tilez"), "tilex", "tiley", data.alias("data"))
 
 
 def tiles_at(requests: DataFrame, tiles: DataFrame, tile_size: int = DEFAULTS.tile_size) -> DataFrame:

@@ -8,6 +8,7 @@ import threading
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,6 +220,21 @@ def test_a_read_of_one_tile_skips_row_groups(spark, tmp_path, monkeypatch):
     assert all(r.m == sum(((r.x >> k) & 1) << 2 * k | ((r.y >> k) & 1) << 2 * k + 1 for k in range(3)) for r in curve)
 
 
+def test_a_tile_table_of_nearly_empty_tiles_is_read_in_bounded_memory(spark, tmp_path):
+    rows = spark.range(100).select(F.lit(7).alias("tilez"), F.col("id").cast("int").alias("tilex"), F.lit(0).alias("tiley"), F.lit(5).alias("px"), F.lit(9).alias("py"), (F.col("id") + 0.5).alias("value"))
+    whole, sparse = layers.tiles_from_pixels(rows, 256), layers.sparse_from_pixels(rows, 256, {"data": "value"})
+    for name, tiles in (("whole", whole), ("sparse", sparse)):
+        pyramid.write_tiles(tiles, str(tmp_path / name), 1)
+        held = []
+        for file in (tmp_path / name).rglob("*.parquet"):
+            opened = pq.ParquetFile(file)
+            held += [sum(map(len, opened.read_row_group(k).column("data").to_pylist())) for k in range(opened.num_row_groups)]
+        # A reader opens a row group's arrays together; their pixels, not their bytes on disk, take its memory.
+        assert max(held) <= pyramid.ROW_GROUP / 8 and (name == "whole" or sum(held) == 100)
+        read = tilestore.read_tiles(spark, str(tmp_path / name), 1, zoom=7, box=(3, 0, 4, 0))
+        assert sorted((r.tilex, len(r.data), r.data[9 * 256 + 5], sum(v is not None for v in r.data)) for r in read.collect()) == [(3, 65536, 3.5, 1), (4, 65536, 4.5, 1)]
+
+
 def write(path, values):
     path.write_bytes(images.encode_tiff([np.full((8, 8), v) for v in values], (0.0, 40.0), (5.0, -5.0), 9.0))
 
