@@ -38,6 +38,12 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows == sorted((tuple(map(rounded, r)) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
 
 
+def test_wide_queries_hold_the_pixels_of_the_table_only(spark, tables):
+    cells = tables.sql(f"{Q._WIDE} SELECT count(*) FROM cells").fetchall()[0][0]
+    bound = Q.wide_layers(spark, SF)
+    assert Q.evaluate_tiles(bound, "a * 2 + q / 4 - 1").agg(Q.F.sum(Q.F.size("data"))).first()[0] == cells
+
+
 def test_formula_scan_prunes_and_aggregates_partially(spark):
     plan = Q.flagship(spark, SF)._jdf.queryExecution().toString()
     assert "partial_count" in plan and "ReadSchema: struct<l_orderkey" in plan and "Python" not in plan

@@ -124,6 +124,29 @@ def test_a_whole_tile_of_the_default_size_is_built_in_linear_time(spark):
     assert tile.data == [None if i % 3 == 0 else float(i) for i in range(side * side)] and time.time() - begun < 10
 
 
+@pytest.mark.parametrize("formula", ["a * 2 + b / 4 - 1", "~a + b", "(a == NULL) * 3 + 1", "a * (b > 2)", "a / max(b) + mean(a)", "7", "log(a - 5)", "max(a)"])
+def test_sparse_tiles_give_what_whole_ones_give(spark, formula):
+    rows = [(0, 0, 0, 1, 0, 5.0, 1.0), (0, 0, 0, 3, 3, None, 2.0), (0, 0, 0, 2, 1, 7.0, 3.0), (0, 0, 0, 2, 1, 6.0, 4.0), (0, 0, 0, 4, 0, 9.0, 9.0), (0, 1, 0, 0, 0, 8.0, 8.0)]
+    pixels = spark.createDataFrame(rows, "tilez int, tilex int, tiley int, px int, py int, x double, y double")
+    made = [build(pixels, 4, {"x": "x", "y": "y"}) for build in (layers.bands_from_pixels, layers.sparse_from_pixels)]
+    there = lambda df: sorted(tuple(r) for r in df.select("tilex", "px", "py", "value").where("value is not null").collect())
+    for nodata in (8.0, None):
+        if nodata is None and "~" in formula:
+            continue
+        bound = [{"a": Layer(t, nodata, "x"), "b": Layer(t, -1.0, "y")} for t in made]
+        whole, sparse = (there(evaluate_pixels(b, formula, 4)) for b in bound)
+        assert sparse == whole
+        whole, sparse = (there(layers.pixels_from_tiles(evaluate_tiles(b, formula), 4)) for b in bound)
+        assert sparse == whole
+
+
+def test_pixels_that_a_sparse_tile_lacks_are_no_rows(spark):
+    rows = spark.range(3).select(F.lit(2).alias("tilez"), F.lit(1).alias("tilex"), F.lit(0).alias("tiley"), (F.col("id") * 80).alias("px"), F.lit(255).alias("py"), F.col("id").cast("double").alias("v"))
+    bound = {"a": Layer(layers.sparse_from_pixels(rows, 256, {"v": "v"}), 9.0, "v")}
+    assert evaluate_pixels(bound, "a * 2", 256).count() == 3 and evaluate_pixels(bound, "a == NULL", 256).count() == 65536
+    assert [(r.tilex, r.places, r.data, r["size"]) for r in evaluate_tiles(bound, "a * 2").collect()] == [(1, [65280, 65360, 65440], [0.0, 2.0, 4.0], 65536)]
+
+
 def test_layers_of_one_table_are_never_joined(spark):
     both = spark.createDataFrame([(0, 0, 0, [1.0, 2.0, 3.0, 0.0], [5.0, -1.0, 7.0, 8.0])], "tilez int, tilex int, tiley int, a array<double>, b array<double>")
     made = evaluate_pixels({"x": Layer(both, 0.0, "a"), "y": Layer(both, -1.0, "b")}, "x + y", 2)
