@@ -723,7 +723,7 @@ SELECT z AS tilez, count(*) AS pixels, sum(qty) AS total FROM cells, lv WHERE gx
 def wide_pyramid(spark, sf_dir):
     """A pyramid of tiles of 256 pixels over thirteen zooms."""
     source = wide(spark, sf_dir).select("gx", "gy", F.col("qty").alias("value"))
-    pixels = layers.pixels_from_tiles(pyramid.create_tiles(source, WIDE_ZOOM, tilemath.DEFAULTS.tile_size, -1.0), tilemath.DEFAULTS.tile_size).where("value is not null")
+    pixels = layers.pixels_from_tiles(pyramid.create_tiles(source, WIDE_ZOOM, tilemath.DEFAULTS.tile_size, -1.0, sparse=True), tilemath.DEFAULTS.tile_size).where("value is not null")
     return pixels.groupBy("tilez").agg(F.count("*").alias("pixels"), F.sum("value").alias("total"))
 
 

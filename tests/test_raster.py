@@ -147,6 +147,13 @@ def test_pixels_that_a_sparse_tile_lacks_are_no_rows(spark):
     assert [(r.tilex, r.places, r.data, r["size"]) for r in evaluate_tiles(bound, "a * 2").collect()] == [(1, [65280, 65360, 65440], [0.0, 2.0, 4.0], 65536)]
 
 
+def test_a_pyramid_of_sparse_tiles(spark):
+    source = spark.range(900).select((F.col("id") % 30).alias("gx"), F.floor(F.col("id") / 30).alias("gy"), (F.col("id") % 11).cast("double").alias("value")).where("gx * gy % 3 < 2")
+    opened = lambda sparse: sorted(tuple(r) for r in layers.pixels_from_tiles(pyramid.create_tiles(source, 3, 4, 0.0, sparse=sparse), 4).where("value is not null").collect())
+    assert opened(True) == opened(False)
+    assert pyramid.create_tiles(source, 3, 4, 0.0, sparse=True).agg(F.sum(F.size("data"))).first()[0] == pyramid.sampled(source, 3).count()
+
+
 def test_layers_of_one_table_are_never_joined(spark):
     both = spark.createDataFrame([(0, 0, 0, [1.0, 2.0, 3.0, 0.0], [5.0, -1.0, 7.0, 8.0])], "tilez int, tilex int, tiley int, a array<double>, b array<double>")
     made = evaluate_pixels({"x": Layer(both, 0.0, "a"), "y": Layer(both, -1.0, "b")}, "x + y", 2)
