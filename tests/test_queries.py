@@ -42,6 +42,7 @@ def test_wide_queries_hold_the_pixels_of_the_table_only(spark, tables):
     cells = tables.sql(f"{Q._WIDE} SELECT count(*) FROM cells").fetchall()[0][0]
     bound = Q.wide_layers(spark, SF)
     assert Q.evaluate_tiles(bound, "a * 2 + q / 4 - 1").agg(Q.F.sum(Q.F.size("data"))).first()[0] == cells
+    assert Q.evaluate_pixels(bound, "a * (q > 30)", 256).count() == cells
 
 
 def test_formula_scan_prunes_and_aggregates_partially(spark):
