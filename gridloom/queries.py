@@ -20,7 +20,6 @@ from gridloom.operators import aggregate, catalog, focal, layers, pyramid
 from gridloom.operators.algebra import evaluate_pixels, evaluate_tiles
 from gridloom.operators.layers import TILE, Layer
 from gridloom.sources import images, ingest, source, tilestore, windows
-from gridloom.sources.byteranges import local_path
 
 TS, ZOOM, SIDE = 16, 2, 64
 BOX: geometry.Ring = [(8, 8), (24, 8), (24, 40), (8, 40)]
@@ -733,23 +732,21 @@ _FILE = "WITH cells AS (SELECT l_partkey // 16 AS gx, l_orderkey // 128 AS gy, C
 
 
 def raster_file(spark: SparkSession, sf_dir: str) -> str:
-    """A GeoTIFF of the quantities of line items by part and order, in strips; cells without any are 0."""
-    cells = read(spark, sf_dir, "lineitem").groupBy(F.floor(F.col("l_partkey") / 16).cast("int").alias("gx"), F.floor(F.col("l_orderkey") / 128).cast("int").alias("gy")).agg(F.sum("l_quantity").cast("double").alias("value"))
+    """A GeoTIFF of the quantities of line items by part and order, in tiles; cells without any are 0, and tiles without any take no bytes."""
+    items = read(spark, sf_dir, "lineitem")
+    cells = items.groupBy(F.floor(F.col("l_partkey") / 16).cast("int").alias("gx"), F.floor(F.col("l_orderkey") / 128).cast("int").alias("gy")).agg(F.sum("l_quantity").cast("double").alias("value"))
     placed_ = cells.select(F.lit(0).alias("tilez"), F.floor(F.col("gx") / _FILE_TS).cast("int").alias("tilex"), F.floor(F.col("gy") / _FILE_TS).cast("int").alias("tiley"), (F.col("gx") % _FILE_TS).alias("px"), (F.col("gy") % _FILE_TS).alias("py"), "value")
-    tiles = layers.tiles_from_pixels(placed_, _FILE_TS)
-    box = (0, 0, *tiles.agg(F.max("tilex"), F.max("tiley")).first())
-    raw = images.mosaic_tiff(pyramid.mosaic(tiles, box, 0, _FILE_TS), box, _FILE_TS, (500_000.0, 5_000_000.0), (30.0, -30.0))
+    part, order = items.agg(F.max("l_partkey"), F.max("l_orderkey")).first()
+    box = (0, 0, (part or 0) // 16 // _FILE_TS, (order or 0) // 128 // _FILE_TS)
     path = f"{tilestore.scratch(spark, 'file')}.tif"
-    with open(local_path(path), "wb") as out:
-        out.write(raw)
+    images.write_tiff(layers.sparse_from_pixels(placed_, _FILE_TS, {"data": "value"}), box, _FILE_TS, path, (500_000.0, 5_000_000.0), (30.0, -30.0))
     return path
 
 
 @query(f'{_FILE} SELECT CAST(gx // 50 AS INT) AS x, CAST(gy // 50 AS INT) AS y, sum(value) AS total, max(value) AS most, count(*) AS filled FROM cells GROUP BY 1, 2')
 def windowed_scan(spark, sf_dir):
-    """A raster file read by windows of some rows each, summed over squares of 50 pixels."""
-    blocks = windows.read_blocks(spark, raster_file(spark, sf_dir), pixels=1 << 14)
-    pixels = windows.pixels_of_blocks(blocks).where("value <> 0")
+    """A raster file read by windows of some tiles each, summed over squares of 50 pixels."""
+    pixels = windows.read_pixels(spark, raster_file(spark, sf_dir), 0.0, pixels=1 << 14)
     return pixels.groupBy(F.floor(F.col("gx") / 50).cast("int").alias("x"), F.floor(F.col("gy") / 50).cast("int").alias("y")).agg(F.sum("value").alias("total"), F.max("value").alias("most"), F.count("*").alias("filled"))
 
 

@@ -1,8 +1,9 @@
-"""Sinks: PNG and GeoTIFF bytes of tiles, and the export archive of a mosaic."""
+"""Sinks: PNG and GeoTIFF bytes of tiles, GeoTIFF files that tasks write, and the export archive of a mosaic."""
 
 from __future__ import annotations
 
 import io
+import os
 import re
 import struct
 import unicodedata
@@ -21,6 +22,9 @@ from gridloom.errors import RasterException
 from gridloom.functions import tilemath
 from gridloom.functions.colors import Color
 from gridloom.operators.aggregate import class_condition
+from gridloom.operators.layers import is_sparse
+from gridloom.sources.byteranges import local_path
+from gridloom.sources.tilestore import delete
 
 
 def encode_png(rgba: np.ndarray) -> bytes:
@@ -163,6 +167,104 @@ def mosaic_tiff(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: in
     return tiff_of_strips([strips], width, height, tile_size, origin, scale, nodata)
 
 
+#: Bytes of pixels of the tiles that are packed together, at most.
+PACKED = 16 << 20
+
+
+def write_tiff(tiles: DataFrame, box: tuple[int, int, int, int], tile_size: int, path: str, origin: tuple[float, float], scale: tuple[float, float], nodata: float | None = None) -> None:
+    """Write tiles (tilex, tiley, data; whole or sparse) over an index box as one tiled BigTIFF of any size, in a folder that all tasks share.
+
+    Tasks deflate runs of neighbouring tiles, kept beside the file until their places
+    in it are known, and write them there; the driver sees the bytes of each run
+    only. Pixels without a value are ``nodata``, or 0 without such a number. Tiles that
+    are not there take no bytes: their place and size are 0, as in GDAL's sparse files.
+    """
+    spark, sparse, n = tiles.sparkSession, is_sparse(tiles), tile_size * tile_size
+    across, down = box[2] - box[0] + 1, box[3] - box[1] + 1
+    empty, run = 0.0 if nodata is None else nodata, max(PACKED // (8 * n), 1)
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("k")
+        numbers, sizes, packed = [], [], []
+        for k, data, *places in zip(*(table[c] for c in ("k", "data", *(["places"] if sparse else []))), strict=True):
+            held = data.values.to_numpy(zero_copy_only=False)
+            grid, gone = np.full(n, empty), data.values.is_null().to_numpy(zero_copy_only=False)
+            grid[places[0].values.to_numpy() if sparse else slice(None)] = np.where(gone, empty, held)
+            packed.append(zlib.compress(grid.astype("<f8").tobytes(), 1))
+            numbers.append(k.as_py())
+            sizes.append(len(packed[-1]))
+        return pa.table({"run": pa.array([numbers[0] // run], pa.int64()), "bytes": pa.array([sum(sizes)], pa.int64()), "numbers": pa.array([numbers], pa.list_(pa.int64())),
+                         "sizes": pa.array([sizes], pa.list_(pa.int64())), "packed": pa.array([b"".join(packed)], pa.binary())})
+
+    inside = F.col("tilex").between(box[0], box[2]) & F.col("tiley").between(box[1], box[3])
+    k = (F.col("tiley") - box[1]).cast("long") * across + F.col("tilex") - box[0]
+    numbered = tiles.where(inside).select(F.floor(k / run).alias("run"), k.alias("k"), "data", *(["places"] if sparse else []))
+    form = "run long, bytes long, numbers array<long>, sizes array<long>, packed binary"
+    numbered.groupBy("run").applyInArrow(pack, form).write.parquet(f"{path}.packed")
+    runs = spark.read.schema(form).parquet(f"{path}.packed")
+
+    head, tables = _big_head(across * tile_size, down * tile_size, tile_size, across * down, origin, scale, nodata)
+    starts, at = {}, len(head) + 16 * across * down
+    for row in runs.select("run", "bytes").sort("run").collect():
+        starts[row[0]] = at
+        at += row[1]
+    target = local_path(path)
+    with open(target, "wb") as out:
+        out.write(head)
+        out.truncate(at)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = os.open(target, os.O_WRONLY)
+        try:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    ends = np.cumsum([starts[row["run"]], *row["sizes"]])
+                    _write(file, row["packed"], int(ends[0]))
+                    first, last = row["numbers"][0], row["numbers"][-1]
+                    index = np.zeros((2, last - first + 1), "<u8")
+                    index[:, np.array(row["numbers"]) - first] = ends[:-1], row["sizes"]
+                    for table, part in zip(tables, index, strict=True):
+                        _write(file, part.tobytes(), table + 8 * first)
+                yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+        finally:
+            os.close(file)
+
+    if runs.mapInArrow(place, "n long").agg(F.sum("n")).first()[0] != (len(starts) or None):
+        raise RasterException(f"{path} was not written as a whole.")
+    delete(spark, f"{path}.packed")
+
+
+def _write(file: int, raw: bytes, at: int) -> None:
+    view = memoryview(raw)
+    while view:
+        done = os.pwrite(file, view, at)
+        view, at = view[done:], at + done
+
+
+def _big_head(width: int, height: int, tile_size: int, count: int, origin: tuple[float, float], scale: tuple[float, float], nodata: float | None) -> tuple[bytes, tuple[int, int]]:
+    """The start of a BigTIFF of deflated tiles of doubles, and the places of the tables of starts and of sizes; these follow it."""
+    text = b"" if nodata is None else f"{nodata!r}\0".encode()
+    wanted = [(256, "I", [width]), (257, "I", [height]), (258, "H", [64]), (259, "H", [8]), (262, "H", [1]), (277, "H", [1]), (284, "H", [1]), (322, "I", [tile_size]), (323, "I", [tile_size]),
+              (324, "Q", None), (325, "Q", None), (339, "H", [3]), (33550, "d", [scale[0], abs(scale[1]), 0.0]), (33922, "d", [0.0, 0.0, 0.0, *origin, 0.0]), *([(42113, "s", text)] if text else [])]
+    free = 16 + 8 + 20 * len(wanted) + 8
+    long = [struct.pack(f"<{len(v)}{kind}", *v) if kind != "s" else v for _, kind, v in wanted if v is not None]
+    tables_at = free + sum(len(raw) for raw in long if len(raw) > 8)
+    tables_at += -tables_at % 8
+    tables = (tables_at, tables_at + 8 * count)
+    head, tail = b"II" + struct.pack("<HHHQQ", 43, 8, 0, 16, len(wanted)), b""
+    for tag, kind, numbers in wanted:
+        if numbers is None:  # one number stands in the tag itself, and is then found there
+            head += struct.pack("<HHQ", tag, 16, count)
+            if count == 1:
+                tables = (len(head), tables[1]) if tag == 324 else (tables[0], len(head))
+            head += struct.pack("<Q", 0 if count == 1 else tables[tag == 325])
+            continue
+        raw = numbers if kind == "s" else struct.pack(f"<{len(numbers)}{kind}", *numbers)
+        head += struct.pack("<HHQ", tag, {"H": 3, "I": 4, "d": 12, "s": 2}[kind], len(numbers)) + (raw.ljust(8, b"\0") if len(raw) <= 8 else struct.pack("<Q", free + len(tail)))
+        tail += raw if len(raw) > 8 else b""
+    return (head + struct.pack("<Q", 0) + tail).ljust(tables_at, b"\0"), tables
+
+
 def export_archive(mosaic: DataFrame, box: tuple[int, int, int, int], tile_size: int, origin: tuple[float, float], scale: tuple[float, float],
                    formula: str, colormap: dict, filename: str = "", zoom: int = 0, layers: dict[str, tuple[int, str]] | None = None, bbox: tuple | None = None, url: str = "",
                    description: str = "", nodata: float = 0.0, now: datetime | None = None) -> tuple[str, bytes]:

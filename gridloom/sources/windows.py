@@ -33,6 +33,9 @@ WINDOW_PIXELS, GAP, MOST_TASKS = 1 << 20, 1 << 16, 20_000
 BLOCKS = "path string, band int, gx int, gy int, width int, height int, data array<double>, nodata double, origin_x double, origin_y double, scale_x double, scale_y double, srid int"
 #: The same for Arrow.
 SCHEMA = pa.schema([(name, {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}[kind]) for name, kind in (c.split(" ") for c in BLOCKS.split(", "))])
+PIXEL_NAMES = [column.split(" ")[0] for column in PIXELS.split(", ")]
+#: Pixel rows that go on together, about.
+BATCH_ROWS = 1 << 16
 Box = tuple[int, int, int, int]
 
 
@@ -51,8 +54,11 @@ class Windows(InputPartition):
     value: list[Window]
 
 
-def plan(path: str, box: Box | None = None, band: int | None = None, most: int = WINDOW_PIXELS) -> list[Window]:
-    """The windows of a file that meet a box of pixels (left, top, right, bottom; ends are inside)."""
+def plan(path: str, box: Box | None = None, band: int | None = None, most: int = WINDOW_PIXELS, without: float | None = None) -> list[Window]:
+    """The windows of a file that meet a box of pixels (left, top, right, bottom; ends are inside).
+
+    Strips and tiles that a sparse file leaves out are not planned if their value is the one to do ``without``.
+    """
     ranges = Ranges(path)
     try:
         if ranges.fetch(0, 2) not in (b"II", b"MM"):
@@ -62,6 +68,8 @@ def plan(path: str, box: Box | None = None, band: int | None = None, most: int =
         ranges.close()
     wanted: list[tuple[int, int, int]] = []
     for k, (start, size) in enumerate(places):
+        if size == 0 and without is not None and layout.empty == without:
+            continue
         plane, row, column, rows = layout.block(k)
         meets = box is None or (column <= box[2] and column + layout.wide > box[0] and row <= box[3] and row + rows > box[1])
         if meets and not (band is not None and layout.planes and plane != band):
@@ -84,8 +92,11 @@ def plan(path: str, box: Box | None = None, band: int | None = None, most: int =
 
 def _fetched(ranges: Ranges, parts: tuple[tuple[int, int, int], ...]):
     """A function that fetches the bytes of some strips, whose near neighbours are read at once, if they are small."""
-    first, last = min(s for _, s, _ in parts), max(s + n for _, s, n in parts)
-    used = sum(n for *_, n in parts)
+    held = [(s, n) for _, s, n in parts if n]
+    if not held:
+        return ranges.fetch
+    first, last = min(s for s, _ in held), max(s + n for s, n in held)
+    used = sum(n for _, n in held)
     if last - first > used + GAP * len(parts) or last - first > 8 * WINDOW_PIXELS:
         return ranges.fetch
     raw = ranges.fetch(first, last - first)
@@ -160,14 +171,17 @@ def batch_of(path: str, blocks: list[tuple], nodata: float | None) -> pa.RecordB
 
 
 class RasterBlocks(DataSource):
-    """``spark.read.format("raster_blocks")``: options files (JSON list), box (JSON list), band, nodata, folder, pixels."""
+    """``spark.read.format("raster_blocks")``: options files (JSON list), box (JSON list), band, nodata, folder, pixels, without.
+
+    With ``without`` the rows are pixels, but for those of that value.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "raster_blocks"
 
     def schema(self) -> str:
-        return BLOCKS
+        return PIXELS if "without" in self.options else BLOCKS
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return BlockReader(dict(self.options))
@@ -180,24 +194,57 @@ class BlockReader(DataSourceReader):
         self.band = int(options["band"]) if "band" in options else None
         self.nodata = float(options["nodata"]) if "nodata" in options else None
         self.folder, self.most = options.get("folder", ""), int(options.get("pixels", WINDOW_PIXELS))
+        self.without = float(options["without"]) if "without" in options else None
 
     def partitions(self) -> list[Windows]:
         def planned(path: str) -> list[Window]:
             if is_web(path) and Ranges(path).size is None:
                 path = download(path, self.folder)
-            return plan(path, self.box, self.band, self.most)
+            return plan(path, self.box, self.band, self.most, self.without)
 
         with ThreadPoolExecutor(16) as pool:
             windows = [w for one in pool.map(planned, self.files) for w in one]
         each = -(-len(windows) // MOST_TASKS)
+        if self.without is not None:  # small windows bound what is decoded at once, not what a task does
+            each = max(each, WINDOW_PIXELS // self.most)
         return [Windows(windows[k : k + each]) for k in range(0, len(windows), max(each, 1))]
 
-    def read(self, partition: Windows) -> Iterator[pa.RecordBatch]:
-        for window in partition.value:
+    def read(self, partition: Windows | None) -> Iterator[pa.RecordBatch]:
+        windows = partition.value if partition else []  # Spark reads a scan of no partition as None
+        if self.without is not None:
+            yield from self._pixels(windows)
+            return
+        for window in windows:
             for block in decoded(window, self.box, self.band, self.most):
                 yield batch_of(window.path, [block], self.nodata)
 
 
+    def _pixels(self, windows: list[Window]) -> Iterator[pa.RecordBatch]:
+        """Rows of PIXELS, those of several blocks together."""
+        held, rows = [], 0
+        for window in windows:
+            for band, column, row, pixels, nodata, origin, scale, _ in decoded(window, self.box, self.band, self.most):
+                y, x = np.nonzero(pixels != self.without)
+                if not len(y):
+                    continue
+                fixed = (nodata if self.nodata is None else self.nodata, *origin, *scale)
+                n, number = len(y), pixels[y, x].astype(np.float64)
+                columns = [pa.repeat(pa.scalar(window.path), n), pa.repeat(pa.scalar(band, pa.int32()), n), pa.array(x + column, pa.int32()), pa.array(y + row, pa.int32()), pa.array(number),
+                           *(pa.repeat(pa.scalar(v, pa.float64()), n) for v in fixed)]
+                held.append(pa.RecordBatch.from_arrays(columns, names=PIXEL_NAMES))
+                rows += n
+                if rows >= BATCH_ROWS:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
+def read_pixels(spark: SparkSession, path: str, without: float, nodata: float | None = None, box: Box | None = None, band: int | None = None, settings: Settings = DEFAULTS, pixels: int = WINDOW_PIXELS) -> DataFrame:
+    """Rows of ``pixels_of_blocks(read_blocks(...))`` but for pixels of the value ``without``, which never become rows; see ``read_blocks``."""
+    return _scan(spark, path, nodata, box, band, settings, pixels, without)
+
+
 def read_blocks(spark: SparkSession, path: str, nodata: float | None = None, box: Box | None = None, band: int | None = None, settings: Settings = DEFAULTS, pixels: int = WINDOW_PIXELS) -> DataFrame:
     """One row for each block of pixels of every file at ``path`` (a file, folder or pattern), in the columns BLOCKS.
 
@@ -206,6 +253,10 @@ def read_blocks(spark: SparkSession, path: str, nodata: float | None = None, box
     file is an error here, before any job. Options of s3 hold for the file systems
     that this read opens.
     """
+    return _scan(spark, path, nodata, box, band, settings, pixels)
+
+
+def _scan(spark: SparkSession, path: str, nodata: float | None, box: Box | None, band: int | None, settings: Settings, pixels: int, without: float | None = None) -> DataFrame:
     source = checked_path(path)
     scheme = source.partition(":")[0] if "://" in source else ""
     if is_web(source):
@@ -215,14 +266,16 @@ def read_blocks(spark: SparkSession, path: str, nodata: float | None = None, box
         options = s3_options(settings) if scheme == "s3a" else {}
         listing = spark.read.format("binaryFile").options(**options).load(source)
         if scheme not in ("", "file"):
-            return _whole_files(listing, nodata, box, band)
+            blocks = _whole_files(listing, nodata, box, band)
+            return blocks if without is None else pixels_of_blocks(blocks).where((F.col("value") != without) | F.col("value").isNull())
         files = sorted(r.path for r in listing.select("path").collect())  # names only; contents are not read
     if not files:
-        return spark.createDataFrame([], BLOCKS)
+        return spark.createDataFrame([], BLOCKS if without is None else PIXELS)
     wanted = {"files": json.dumps(files), "pixels": str(pixels)}
     wanted |= {"box": json.dumps(box)} if box is not None else {}
     wanted |= {"band": str(band)} if band is not None else {}
     wanted |= {"nodata": repr(float(nodata))} if nodata is not None else {}
+    wanted |= {"without": repr(float(without))} if without is not None else {}
     wanted |= {"folder": scratch(spark, "download")} if is_web(source) else {}
     spark.dataSource.register(RasterBlocks)
     return spark.read.format("raster_blocks").options(**wanted).load()
@@ -242,6 +295,5 @@ def _whole_files(listing: DataFrame, nodata: float | None, box: Box | None, band
 
 def pixels_of_blocks(blocks: DataFrame) -> DataFrame:
     """One row per pixel, in the columns PIXELS."""
-    names = [column.split(" ")[0] for column in PIXELS.split(", ")]
     opened = blocks.select("*", F.posexplode("data").alias("pos", "value"))
-    return opened.withColumns({"gx": F.col("gx") + F.col("pos") % F.col("width"), "gy": (F.col("gy") + F.floor(F.col("pos") / F.col("width"))).cast("int")}).select(*names)
+    return opened.withColumns({"gx": F.col("gx") + F.col("pos") % F.col("width"), "gy": (F.col("gy") + F.floor(F.col("pos") / F.col("width"))).cast("int")}).select(*PIXEL_NAMES)

@@ -38,6 +38,16 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows == sorted((tuple(map(rounded, r)) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["windowed_scan"])
+def test_a_raster_file_may_have_more_pixels_than_an_export(spark, tmp_path, name):
+    rows = [(11 * 128, 7 * 16, 3.0), (30 * 128 + 5, 40 * 16, 4.0), (30 * 128 + 5, 40 * 16 + 15, 2.5), (9_000_000, 1_200_000, 7.0)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = db.sql(Q.oracle_sql()[name])
+    assert sorted(map(tuple, Q.queries()[name](spark, str(tmp_path)).select(*want.columns).collect())) == sorted(want.fetchall())
+
+
 def test_wide_queries_hold_the_pixels_of_the_table_only(spark, tables):
     cells = tables.sql(f"{Q._WIDE} SELECT count(*) FROM cells").fetchall()[0][0]
     bound = Q.wide_layers(spark, SF)

@@ -64,6 +64,29 @@ def test_a_large_tiff_is_read_by_windows(spark, tmp_path):
     assert tuple(seen) == (300, 600, 260, 270, 301 * 11)
 
 
+@pytest.mark.parametrize("nodata", [None, -3.0])
+@pytest.mark.parametrize("box, kept", [((1, 0, 3, 2), "tilex != 2"), ((1, 0, 1, 0), "true"), ((1, 0, 2, 0), "false")])
+def test_a_tiff_written_by_tasks_leaves_out_empty_tiles(spark, tmp_path, monkeypatch, nodata, box, kept):
+    monkeypatch.setattr(images, "PACKED", 2 * 8 * 16)
+    rows = spark.range(400).select(F.lit(0).alias("tilez"), *[F.floor(c / 4).cast("int").alias(n) for c, n in ((F.col("id") % 20, "tilex"), (F.floor(F.col("id") / 20), "tiley"))], (F.col("id") % 4).alias("px"),
+                                   (F.floor(F.col("id") / 20) % 4).alias("py"), F.when(F.col("id") % 7 != 0, F.col("id").cast("double")).alias("value")).where(f"px != 3 and {kept}")
+    empty = 0.0 if nodata is None else nodata
+    want = np.full((20, 20), empty)
+    for r in rows.where("value is not null").collect():
+        want[r.tiley * 4 + r.py, r.tilex * 4 + r.px] = r.value
+    want = want[box[1] * 4 : box[3] * 4 + 4, box[0] * 4 : box[2] * 4 + 4]
+    for name, tiles in (("whole", layers.tiles_from_pixels(rows, 4)), ("sparse", layers.sparse_from_pixels(rows, 4, {"data": "value"}))):
+        path = str(tmp_path / f"{name}.tif")
+        images.write_tiff(tiles, box, 4, path, (100.0, 900.0), (2.0, -2.0), nodata)
+        found = rasterfile.decode((tmp_path / f"{name}.tif").read_bytes())
+        assert np.array_equal(found.bands[0], want) and (found.nodata, found.origin, found.scale) == (nodata, (100.0, 900.0), (2.0, -2.0))
+        assert os.listdir(tmp_path).count(f"{name}.tif.packed") == 0
+        blocks = windows.pixels_of_blocks(windows.read_blocks(spark, path, pixels=40))
+        assert sorted((r.gy, r.gx, r.value) for r in blocks.collect()) == [(y, x, v) for (y, x), v in np.ndenumerate(want)]
+        few = windows.read_pixels(spark, path, empty, pixels=40, box=(1, 0, 9, 6))
+        assert sorted(few.collect()) == sorted(blocks.where(f"value != {empty} and gx between 1 and 9 and gy <= 6").collect()) and few.columns == blocks.columns
+
+
 def test_one_strip_of_a_whole_raster_is_unpacked_in_pieces(spark, tmp_path, monkeypatch):
     band = np.arange(600 * 400, dtype=np.float64).reshape(600, 400)
     (tmp_path / "a.tif").write_bytes(images.encode_tiff([band, -band], (0.0, 0.0), (1.0, -1.0), 7.0))
