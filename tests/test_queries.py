@@ -38,7 +38,7 @@ def test_query_equals_its_sql(spark, tables, name):
     assert rows == sorted((tuple(map(rounded, r)) for r in want.project(", ".join(f'"{c}"' for c in columns)).fetchall()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["windowed_scan"])
+@pytest.mark.parametrize("name", ["windowed_scan", "windowed_scan_box"])
 def test_a_raster_file_may_have_more_pixels_than_an_export(spark, tmp_path, name):
     rows = [(11 * 128, 7 * 16, 3.0), (30 * 128 + 5, 40 * 16, 4.0), (30 * 128 + 5, 40 * 16 + 15, 2.5), (9_000_000, 1_200_000, 7.0)]
     spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
